@@ -91,15 +91,40 @@ class ByteTokenizer:
         return "".join(out)
 
     def decode_batch(self, ids: pa.Array, skip_special: bool = False) -> pa.Array:
-        res = []
-        for row in ids.to_pylist():
-            if row is None:
-                res.append(None)
-                continue
-            if skip_special:
-                row = [t for t in row if t >= BYTE_OFFSET]
-            res.append(self.decode_one(row))
-        return pa.array(res, type=pa.string())
+        """Vectorised: ids - 17 are the UTF-8 bytes; rows holding specials
+        (kept) or bytes that are not valid UTF-8 are decoded one by one."""
+        n = len(ids)
+        lens = np.asarray(pc.list_value_length(ids).fill_null(0), dtype=np.int64)
+        vals = np.asarray(pc.list_flatten(ids), dtype=np.int32)
+        special = vals < BYTE_OFFSET
+        row_of = np.repeat(np.arange(n), lens)
+        if skip_special and special.any():
+            keep = ~special
+            vals = vals[keep]
+            lens = np.bincount(row_of[keep], minlength=n).astype(np.int64)
+            special = np.zeros(len(vals), dtype=bool)
+            row_of = np.repeat(np.arange(n), lens)
+        slow = np.zeros(n, dtype=bool)
+        if special.any():
+            slow[np.unique(row_of[special])] = True
+        offs = np.zeros(n + 1, dtype=np.int64)
+        np.cumsum(lens, out=offs[1:])
+        data = np.where(special, 0, vals - BYTE_OFFSET).astype(np.uint8)
+        bin_arr = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offs), pa.py_buffer(data)])
+        rows = None
+        if not slow.any():
+            try:
+                out = bin_arr.cast(pa.large_string())
+            except pa.ArrowInvalid:
+                rows = bin_arr.to_pylist()
+                out = pa.array([r.decode("utf-8", errors="replace") for r in rows], type=pa.large_string())
+        else:
+            rows = ids.to_pylist()
+            out = pa.array([self.decode_one([t for t in r if not skip_special or t >= BYTE_OFFSET])
+                            if r is not None else None for r in rows], type=pa.large_string())
+        if ids.null_count:
+            out = pc.if_else(pc.is_null(ids), pa.scalar(None, pa.large_string()), out)
+        return out.cast(pa.string())
 
 
 class JsonFileTokenizer:

@@ -34,35 +34,65 @@ def bucket_hex(order: Column | str, digits: int = 4) -> Column:
     return F.conv(F.substring(o, 1, digits), 16, 10).cast("bigint")
 
 
-def running_sum(df: DataFrame, value: str, order: Sequence[str], by: Sequence[str] = (),
-                bucket: Column | None = None, out: str = "offset",
-                inclusive: bool = False) -> DataFrame:
-    """Add ``out`` = running sum of ``value`` in ``order`` within ``by``
-    (exclusive unless ``inclusive``). ``bucket`` must be non-decreasing in
-    ``order`` within ``by``; without it the window partitions by ``by`` only,
-    which is fine only when every ``by`` group is small."""
+_AGG = {"sum": F.sum, "min": F.min, "max": F.max}
+
+
+def running(df: DataFrame, value: str | Column, how: str, order: Sequence[str], by: Sequence[str] = (),
+            bucket: Column | None = None, out: str = "running", inclusive: bool = True) -> DataFrame:
+    """Add ``out`` = running ``how`` (sum / min / max) of ``value`` in
+    ``order`` within ``by``; exclusive (rows strictly before) unless
+    ``inclusive``, null when no row precedes. ``bucket`` must be
+    non-decreasing in ``order`` within ``by``; without it the window
+    partitions by ``by`` only, which is fine only for small groups."""
     by, order = list(by), list(order)
-    v = F.col(value).cast("bigint")
+    agg = _AGG[how]
+    v = F.col(value) if isinstance(value, str) else value
+    df = df.withColumn("__v", v)
+    hi = 0 if inclusive else -1
     if bucket is None:
         if not by:
-            raise ValueError("a global running sum needs a bucket expression")
-        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        s = F.sum(v).over(w)
-        return df.withColumn(out, s if inclusive else s - v)
-
+            raise ValueError("a global running aggregate needs a bucket expression")
+        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, hi)
+        return df.withColumn(out, agg("__v").over(w)).drop("__v")
     b = df.withColumn(_B, bucket)
-    w = Window.partitionBy(*by, _B).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = b.withColumn("__local", F.sum(v).over(w))
-    totals = b.groupBy(*by, _B).agg(F.sum(v).alias("__tot"))
+    w = Window.partitionBy(*by, _B).orderBy(*order).rowsBetween(Window.unboundedPreceding, hi)
+    local = b.withColumn("__local", agg("__v").over(w))
+    totals = b.groupBy(*by, _B).agg(agg("__v").alias("__tot"))
     wb = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy(_B) \
         .rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select(*by, _B, F.coalesce(F.sum("__tot").over(wb), F.lit(0)).alias("__base"))
+    bases = totals.select(*by, _B, agg("__tot").over(wb).alias("__base"))
     res = local.join(bases, on=[*by, _B], how="inner")
-    incl = F.col("__base") + F.col("__local")
-    return res.withColumn(out, incl if inclusive else incl - v).drop(_B, "__local", "__base")
+    if how == "sum":
+        comb = F.coalesce(F.col("__base"), F.lit(0)) + F.coalesce(F.col("__local"), F.lit(0))
+        comb = F.when(F.col("__base").isNull() & F.col("__local").isNull(), F.lit(None)).otherwise(comb)
+    elif how == "min":
+        comb = F.least("__base", "__local")
+    else:
+        comb = F.greatest("__base", "__local")
+    return res.withColumn(out, comb).drop(_B, "__local", "__base", "__v")
+
+
+def running_sum(df: DataFrame, value: str, order: Sequence[str], by: Sequence[str] = (),
+                bucket: Column | None = None, out: str = "offset",
+                inclusive: bool = False) -> DataFrame:
+    """Add ``out`` = running sum of ``value`` (as bigint) in ``order``
+    within ``by``; exclusive (0 for the first row) unless ``inclusive``."""
+    r = running(df, F.col(value).cast("bigint"), "sum", order, by, bucket, out, inclusive=True)
+    if not inclusive:
+        r = r.withColumn(out, F.col(out) - F.col(value).cast("bigint"))
+    return r
 
 
 def ordinal(df: DataFrame, order: Sequence[str], by: Sequence[str] = (),
             bucket: Column | None = None, out: str = "ordinal") -> DataFrame:
-    """0-based row number in ``order`` within ``by``, two-level as above."""
+    """0-based row number in ``order`` within ``by``, two-level as above.
+    ``order`` must be unique within ``by``."""
     return running_sum(df.withColumn("__one", F.lit(1)), "__one", order, by, bucket, out).drop("__one")
+
+
+def count_by(df: DataFrame, by: Sequence[str], out: str = "n") -> DataFrame:
+    """``df`` with the row count of its ``by`` group joined on (the count
+    table has one row per group), or of the whole table as a scalar subquery."""
+    if by:
+        return df.join(df.groupBy(*by).agg(F.count("*").alias(out)), on=list(by))
+    return df.withColumn(out, df.agg(F.count("*")).scalar())
