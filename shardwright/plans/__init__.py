@@ -1,3 +1,3 @@
 """Named queries over the driver tables; importing registers them all."""
 
-from . import chat_plans, dataset_plans, packing_plans, report_plans  # noqa: F401
+from . import chat_plans, dataset_plans, document_plans, packing_plans, report_plans  # noqa: F401
