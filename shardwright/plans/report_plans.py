@@ -79,7 +79,7 @@ def q_score_average(spark, sf_dir):
 PLATEAU_LIMIT = 3
 
 
-@query("plateau_alert", sql=f"""
+ORACLE_PLATEAU = f"""
 WITH s AS (SELECT user_id, event_id, ts, value,
                   row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step,
                   min(value) OVER (PARTITION BY user_id ORDER BY ts, event_id
@@ -91,7 +91,10 @@ l AS (SELECT *, max(CASE WHEN improved THEN step ELSE -1 END)
                         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last FROM i)
 SELECT user_id AS run, event_id, step, best, improved, (step - last)::INTEGER AS bad,
        step - last >= {PLATEAU_LIMIT} AS alert
-FROM l""")
+FROM l"""
+
+
+@query("plateau_alert", sql=ORACLE_PLATEAU)
 def q_plateau_alert(spark, sf_dir):
     ev = table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), "event_id", "ts", "value")
     p = reports.plateau(ev, "run", ["ts", "event_id"], "value", PLATEAU_LIMIT,
