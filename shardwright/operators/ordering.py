@@ -54,6 +54,8 @@ def running(df: DataFrame, value: str | Column, how: str, order: Sequence[str],
             raise ValueError("a global running aggregate needs a bucket expression")
         w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, hi)
         return df.withColumn(out, agg("__v").over(w)).drop("__v")
+    # callers materialise expensive inputs (e.g. tokenized text) first: the
+    # totals branch re-reads ``df`` with only the columns it needs
     b = df.withColumn(_B, bucket)
     w = Window.partitionBy(*by, _B).orderBy(*order).rowsBetween(Window.unboundedPreceding, hi)
     local = b.withColumn("__local", agg("__v").over(w))

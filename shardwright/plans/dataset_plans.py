@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import order_key
 from ..operators import mixing, packing, sharding, splits
 from ..operators.ordering import bucket_hex, bucket_numeric, count_by, ordinal
+from ..session import materialize
 from . import packing_plans as pp
 from .registry import query
 
@@ -34,7 +35,9 @@ def _ok(seed, x):
 
 
 def files(spark, sf_dir):
-    return packing.file_table(pp.stats(spark, sf_dir), "source")
+    """The shard-file table (one small row per file), written once so the
+    queries that use it several times do not re-run the packing."""
+    return materialize(spark, packing.file_table(pp.stats(spark, sf_dir), "source"), "files")
 
 
 def samples(files_df):

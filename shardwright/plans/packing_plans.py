@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names, tokens
 from ..operators import packing
+from ..session import materialize
 from .registry import query
 from .tables import table
 
@@ -39,10 +40,13 @@ p AS (
 """
 
 
-def tokenized(spark, sf_dir, cols=("doc_id", "source", "text")):
+def tokenized(spark, sf_dir, cols=("doc_id", "source", "text"), persist: bool = True):
+    """Tokenized documents with their writer part; written once to the
+    shared folder (the token table), then read by the packing steps."""
     docs = table(spark, sf_dir, "documents").select(*cols)
     tok = packing.tokenize(docs, "text", add_bos=SPEC.add_bos, add_eos=SPEC.add_eos).drop("text")
-    return packing.assign_shard(tok, "doc_id", SPEC.shards)
+    tok = packing.assign_shard(tok, "doc_id", SPEC.shards)
+    return materialize(spark, tok, "tokens") if persist else tok
 
 
 @query("tokenize_counts", sql="""
@@ -51,7 +55,7 @@ SELECT doc_id, strlen(text) + 1 AS n_tokens,
                                        lambda x: ('0x' || x)::INTEGER + 17), [0]), ',')) AS ids_md5
 FROM documents""")
 def q_tokenize_counts(spark, sf_dir):
-    t = tokenized(spark, sf_dir, ("doc_id", "text"))
+    t = tokenized(spark, sf_dir, ("doc_id", "text"), persist=False)
     return t.select("doc_id", "n_tokens", F.md5(F.array_join("ids", ",")).alias("ids_md5"))
 
 

@@ -14,7 +14,7 @@ from . import report_plans
 from .registry import query
 from .tables import table
 
-GROUP_ROWS = 100
+ARRIVALS = 6   # files the documents / events arrive in, one per trigger
 C = 2048
 SHARDS = 4
 
@@ -65,12 +65,13 @@ pc AS (SELECT shard, win, doc_id, lo, hi - lo AS len,
 SELECT shard::INTEGER AS shard, win, arg_min(doc_id, lo) AS first_doc_id, md5(string_agg(s, ',' ORDER BY lo)) AS ids_md5
 FROM pc GROUP BY shard, win HAVING sum(len) = {C}""")
 def q_stream_pack(spark, sf_dir):
-    """Documents arrive in doc_id order, one file of 100 per trigger;
-    windows per shard carry their partial tail across triggers."""
+    """Documents arrive in doc_id order in ARRIVALS files, one per
+    trigger; windows per shard carry their partial tail across triggers."""
     base = scratch_path(spark, "streampack")
     inp, out, ckpt = f"{base}/in", f"{base}/out", f"{base}/ckpt"
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text") \
-        .withColumn("grp", F.floor(F.col("doc_id") / GROUP_ROWS).cast("long"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    n = docs.agg(F.max("doc_id")).first()[0] + 1
+    docs = docs.withColumn("grp", F.floor(F.col("doc_id") * ARRIVALS / F.lit(n)).cast("long"))
     _write_ordered_files(docs, "grp", inp)
     stream = spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", 1).json(inp)
     tok = packing.assign_shard(packing.tokenize(stream, "text"), "doc_id", SHARDS)
@@ -81,13 +82,13 @@ def q_stream_pack(spark, sf_dir):
 
 @query("stream_plateau", sql=report_plans.ORACLE_PLATEAU)
 def q_stream_plateau(spark, sf_dir):
-    """Z3: evaluation events arrive in event order, ten files one per
-    trigger; the plateau counters of each run live in state."""
+    """Z3: evaluation events arrive in event order in ARRIVALS files, one
+    per trigger; the plateau counters of each run live in state."""
     base = scratch_path(spark, "streamplateau")
     inp, out, ckpt = f"{base}/in", f"{base}/out", f"{base}/ckpt"
     ev = table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), "event_id", "ts", "value")
     n = ev.agg(F.max("event_id")).first()[0] + 1
-    ev = ev.withColumn("grp", F.floor(F.col("event_id") * 10 / F.lit(n)).cast("long"))
+    ev = ev.withColumn("grp", F.floor(F.col("event_id") * ARRIVALS / F.lit(n)).cast("long"))
     _write_ordered_files(ev, "grp", inp)
     stream = spark.readStream.schema("run long, event_id long, ts timestamp, value double") \
         .option("maxFilesPerTrigger", 1).json(inp)

@@ -62,3 +62,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if base.startswith("file:"):
         base = base[len("file:"):]
     return os.path.join(base, "scratch", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def materialize(spark: SparkSession, df, name: str):
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it
+    back: later branches read only the columns they need, expensive
+    upstream work (a tokenizer) runs once, and a lost executor does not
+    send the job back to the raw input."""
+    path = scratch_path(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.parquet(path)

@@ -80,7 +80,7 @@ def _write_files(out_dir: str, dtype: str):
 
 
 def export_shards(pieces: DataFrame, stats: DataFrame, out_dir: str, prefix: str = "source",
-                  shard: str = "shard", dtype: str = "i4") -> DataFrame:
+                  shard: str = "shard", dtype: str = "i4", tokens_per_task: int = 64 << 20) -> DataFrame:
     """K1 / K3: write ``prefix-UUU-CCCCC.data`` files from the shard pieces.
     The header comes from ``stats`` (one row per file, joined on); pieces of
     a file go to one task in offset order and are streamed to disk. Returns
@@ -88,8 +88,11 @@ def export_shards(pieces: DataFrame, stats: DataFrame, out_dir: str, prefix: str
     key = [prefix, shard, "file_no"]
     p = pieces.select(*key, "file_offset", "ids").join(stats.select(*key, "num_tokens", "num_special_tokens"), key)
     p = p.withColumn("file_name", names.shard_file_name(F.col(prefix), F.col(shard), F.col("file_no")))
-    n_files = stats.count()   # the file table: one row per output file
-    p = p.repartition(max(1, n_files), "file_name").sortWithinPartitions("file_name", "file_offset")
+    # tasks: one per file for full-size files, fewer when files are small
+    # (about ``tokens_per_task`` tokens each); sizes come from the file table
+    n_files, total = stats.agg(F.count("*"), F.sum("num_tokens")).first()
+    n_tasks = max(1, min(n_files or 1, -(-(total or 0) // tokens_per_task)))
+    p = p.repartition(n_tasks, "file_name").sortWithinPartitions("file_name", "file_offset")
     os.makedirs(out_dir, exist_ok=True)
     return p.select("file_name", "num_tokens", "num_special_tokens", "ids").mapInPandas(
         _write_files(out_dir, dtype), "file_name string, written long")
