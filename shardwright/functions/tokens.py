@@ -53,6 +53,9 @@ def _utf8_parts(arr: pa.Array):
 class ByteTokenizer:
     """Bytes + 17; special strings map to their ids. Stateless."""
 
+    # a vectorised byte copy: re-running it is cheaper than writing its output
+    cheap = True
+
     def encode_one(self, text: str) -> np.ndarray:
         out = []
         for part in _SPECIAL_RE.split(text):
@@ -131,6 +134,8 @@ class JsonFileTokenizer:
     """A ``tokenizers`` JSON file, loaded lazily once per Python worker."""
 
     _cache: dict = {}
+    # BPE costs far more than a write of its output: callers persist it
+    cheap = False
 
     def __init__(self, path: str):
         self.path = path

@@ -40,13 +40,17 @@ p AS (
 """
 
 
-def tokenized(spark, sf_dir, cols=("doc_id", "source", "text"), persist: bool = True):
-    """Tokenized documents with their writer part; written once to the
-    shared folder (the token table), then read by the packing steps."""
+def tokenized(spark, sf_dir, cols=("doc_id", "source", "text"), tokenizer=None):
+    """Tokenized documents with their writer part. The packing steps read
+    the token table twice (lengths for the offsets, then the ids), so an
+    expensive tokenizer's output is written once to the shared folder; the
+    byte tokenizer is cheaper to re-run than to write (measured)."""
+    tok_impl = tokenizer or tokens.DEFAULT_TOKENIZER
     docs = table(spark, sf_dir, "documents").select(*cols)
-    tok = packing.tokenize(docs, "text", add_bos=SPEC.add_bos, add_eos=SPEC.add_eos).drop("text")
+    tok = packing.tokenize(docs, "text", tokenizer=tok_impl, add_bos=SPEC.add_bos,
+                           add_eos=SPEC.add_eos).drop("text")
     tok = packing.assign_shard(tok, "doc_id", SPEC.shards)
-    return materialize(spark, tok, "tokens") if persist else tok
+    return tok if getattr(tok_impl, "cheap", False) else materialize(spark, tok, "tokens")
 
 
 @query("tokenize_counts", sql="""
@@ -55,7 +59,7 @@ SELECT doc_id, strlen(text) + 1 AS n_tokens,
                                        lambda x: ('0x' || x)::INTEGER + 17), [0]), ',')) AS ids_md5
 FROM documents""")
 def q_tokenize_counts(spark, sf_dir):
-    t = tokenized(spark, sf_dir, ("doc_id", "text"), persist=False)
+    t = tokenized(spark, sf_dir, ("doc_id", "text"))
     return t.select("doc_id", "n_tokens", F.md5(F.array_join("ids", ",")).alias("ids_md5"))
 
 
