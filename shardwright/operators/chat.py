@@ -176,3 +176,30 @@ def tree_paths(spark, edges: DataFrame, max_depth: int = 100) -> DataFrame:
 def drop_empty(df: DataFrame, text: str = "text") -> DataFrame:
     """Documents with empty text are dropped."""
     return df.filter(F.coalesce(F.length(text), F.lit(0)) > 0)
+
+
+def nested_tree_edges(df: DataFrame, prompt: str = "prompt", tree_id: str = "id",
+                      max_depth: int = 64) -> DataFrame:
+    """Edge table of nested trees ``{role, text, replies: [...]}`` given as
+    JSON text (one tree per row). Each level is parsed with ``from_json``
+    into ``(role, text, replies array<string>)`` and its replies exploded
+    with their position; the loop stops at the first empty level (one
+    small action per level), or at ``max_depth``."""
+    node = "struct<role:string,text:string,replies:array<string>>"
+    level = df.select(F.col(tree_id).cast("string").alias("tree_id"),
+                      F.lit("0").alias("node_id"), F.lit(None).cast("string").alias("parent_id"),
+                      F.lit(0).alias("ordinal"), F.from_json(F.col(prompt), node).alias("n"))
+    out = None
+    for _ in range(max_depth):
+        cur = level.select("tree_id", "node_id", "parent_id", "ordinal",
+                           F.col("n.role").alias("role"), F.col("n.text").alias("text"))
+        out = cur if out is None else out.unionByName(cur)
+        nxt = level.select("tree_id", F.col("node_id").alias("parent_id"),
+                           F.posexplode_outer("n.replies").alias("ordinal", "child")) \
+            .filter(F.col("child").isNotNull()) \
+            .select("tree_id", F.concat_ws(".", "parent_id", F.col("ordinal").cast("string")).alias("node_id"),
+                    "parent_id", "ordinal", F.from_json("child", node).alias("n"))
+        if nxt.isEmpty():
+            break
+        level = nxt
+    return out

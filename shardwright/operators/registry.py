@@ -114,3 +114,31 @@ CHAT_DATASETS: dict[str, ChatSpec] = {
 
 def register_chat_dataset(name: str, spec: ChatSpec) -> None:
     CHAT_DATASETS[name] = spec
+
+
+def prepare_chat(spark: SparkSession, name: str, input_path: str, output_path: str | None = None,
+                 max_file_bytes: int = 400 * 1024 * 1024) -> DataFrame:
+    """Read a chat dataset's raw files with its reader, normalise, and
+    (with ``output_path``) write ``(id, text, chat)`` Parquet per dataset.
+    Rows without an id get ``path/position``; trees give one chat per path."""
+    from ..sources import readers, sinks
+    spec = CHAT_DATASETS[name]
+    if spec.tree:
+        raw = readers.read_jsonl_positions(spark, input_path, "id string, prompt string", pattern=spec.glob)
+        raw = raw.select(F.coalesce(F.nullif("id", F.lit("")), readers.default_id()).alias("id"), "prompt")
+        out = spec.normalise(spark, chat.nested_tree_edges(raw))
+    else:
+        schema_text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", spec.glob)
+        if spec.fmt == "json_array":
+            sample = schema_text.option("multiLine", True).json(input_path)
+            raw = readers.read_json_positions(spark, input_path, sample.schema.simpleString(), pattern=spec.glob)
+        else:
+            sample = schema_text.json(input_path)
+            raw = readers.read_jsonl_positions(spark, input_path, sample.schema, pattern=spec.glob)
+        default = readers.default_id("file_path", "id_in_file")
+        id_col = "id" if "id" in raw.columns else None
+        out = spec.normalise(raw, id_col=id_col, default_id=default, **spec.kwargs)
+    out = out.withColumn("dataset_name", F.lit(name))
+    if output_path:
+        sinks.write_chat(out, output_path, max_file_bytes)
+    return out

@@ -99,3 +99,20 @@ def missing_corpora(files_matched: DataFrame, config: DataFrame, corpus: str = "
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
+
+
+def choose_split(files: DataFrame, seed, *, untokenized_config: DataFrame | None = None,
+                 folder_split: bool = False, config: DataFrame | None = None,
+                 validation_rate: float = 0.005, name: str = "file_name") -> DataFrame:
+    """T5: the reference's order of split routes: an untokenized-corpus
+    config, else ``train/`` and ``validation/`` folders, else a corpus
+    config (prefix match), else a rate split of all files."""
+    if untokenized_config is not None:
+        from ..functions.names import dataset_name
+        f = files.withColumn("corpus", dataset_name(F.col(name))).filter(F.col("corpus").isNotNull())
+        return split_config(f, untokenized_config, seed, name=name)
+    if folder_split:
+        return split_by_folder(files.withColumn("path", F.col(name))).filter(F.col("split").isNotNull())
+    if config is not None:
+        return split_config(prefix_match(files, config.select("corpus"), name=name), config, seed, name=name)
+    return split_rate(files, validation_rate, seed, name=name)

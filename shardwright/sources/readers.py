@@ -235,3 +235,36 @@ def cached_splits(spark: SparkSession, base: str, build: Callable[[], DataFrame]
         df.filter(F.col("split") == "validation").drop("split").write.mode("overwrite").parquet(va)
     return (spark.read.parquet(tr).withColumn("split", F.lit("train"))
             .unionByName(spark.read.parquet(va).withColumn("split", F.lit("validation"))))
+
+
+# --- format dispatch (S8 / S17) ----------------------------------------------------
+
+FORMATS = ("parquet", "jsonl", "json", "text", "xml")
+
+
+def read_format(spark: SparkSession, root, fmt: str, schema=None, fn: Callable[[DataFrame], DataFrame] | None = None,
+                where=None) -> DataFrame:
+    """Read a folder the way its format handler does; ``fn`` is the row map
+    (E1) and ``where`` the row filter (a map returning nothing drops the
+    row). ``jsonl`` also reads ``.gz`` files and the ``.jsonl`` members of
+    ``.tar.gz`` archives; ``json`` files hold arrays; ``text``/``xml`` give
+    one pretty-printed ``text`` row per file. An unknown format raises."""
+    pattern = glob_filter(fmt)
+    if fmt == "parquet":
+        df = read_parquet(spark, root, pattern=pattern)
+    elif fmt == "jsonl":
+        if schema is None:
+            raise ValueError("jsonl needs a schema")
+        plain = read_jsonl(spark, root, schema, pattern="{*.jsonl,*json,*.json.gz,*.jsonl.gz}")
+        tar = read_tar(spark, root, schema if isinstance(schema, str) else schema.simpleString(),
+                       member_suffix=".jsonl", pattern="{*.json.tar.gz,*.jsonl.tar.gz}")
+        df = plain.unionByName(tar.drop("file_path", "member", "id_in_file"), allowMissingColumns=True)
+    elif fmt == "json":
+        if schema is None:
+            raise ValueError("json needs a schema")
+        df = read_json_array(spark, root, schema, pattern=pattern)
+    else:
+        df = read_whole_text(spark, root, pattern=pattern).select("text")
+    if fn is not None:
+        df = df.transform(fn)
+    return df.where(where) if where is not None else df
