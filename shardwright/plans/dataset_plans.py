@@ -332,3 +332,23 @@ def q_epochs(spark, sf_dir):
 
 
 _unused = bucket_numeric
+
+
+@query("name_dataset", sql="""
+WITH f AS (SELECT doc_id,
+                  CASE WHEN doc_id % 4 = 0 THEN source || '.parquet'
+                       ELSE printf('%03d_%s_%05d.parquet', doc_id % 10, source || '_v' || (doc_id % 3)::VARCHAR, doc_id)
+                  END AS name
+           FROM documents)
+SELECT doc_id, name, nullif(regexp_extract(name, '^\\d+_(.*?)_\\d+\\.parquet', 1), '') AS dataset FROM f""")
+def q_name_dataset(spark, sf_dir):
+    """dataset of ``N_name_N.parquet`` (lazy match, so a name holding
+    ``_`` keeps it); any other name gives NULL."""
+    from ..functions import names
+    d = pp.table(spark, sf_dir, "documents").select("doc_id", "source")
+    name = F.when(F.col("doc_id") % 4 == 0, F.concat(F.col("source"), F.lit(".parquet"))).otherwise(
+        F.format_string("%03d_%s_%05d.parquet", (F.col("doc_id") % 10).cast("int"),
+                        F.concat(F.col("source"), F.lit("_v"), (F.col("doc_id") % 3).cast("string")),
+                        F.col("doc_id")))
+    d = d.select("doc_id", F.concat(F.lit("data/"), name).alias("path"), name.alias("name"))
+    return d.select("doc_id", "name", names.dataset_name("path").alias("dataset"))
