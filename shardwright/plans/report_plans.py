@@ -98,5 +98,5 @@ FROM l"""
 def q_plateau_alert(spark, sf_dir):
     ev = table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), "event_id", "ts", "value")
     p = reports.plateau(ev, "run", ["ts", "event_id"], "value", PLATEAU_LIMIT,
-                        bucket=bucket_numeric(F.unix_micros(F.col("ts").cast("timestamp")), 3_600_000_000))   # hourly
+                        bucket=F.unix_date(F.to_date("ts")) * 24 + F.hour("ts"))   # hourly, no time zone
     return p.select("run", "event_id", "step", "best", "improved", "bad", "alert")
