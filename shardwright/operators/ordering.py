@@ -38,12 +38,16 @@ _AGG = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
 def running(df: DataFrame, value: str | Column, how: str, order: Sequence[str], by: Sequence[str] = (),
-            bucket: Column | None = None, out: str = "running", inclusive: bool = True) -> DataFrame:
+            bucket: Column | None = None, out: str = "running", inclusive: bool = True,
+            bucket_out: str | None = None) -> DataFrame:
     """Add ``out`` = running ``how`` (sum / min / max) of ``value`` in
     ``order`` within ``by``; exclusive (rows strictly before) unless
     ``inclusive``, null when no row precedes. ``bucket`` must be
     non-decreasing in ``order`` within ``by``; without it the window
-    partitions by ``by`` only, which is fine only for small groups."""
+    partitions by ``by`` only, which is fine only for small groups. With
+    ``bucket_out`` the bucket stays as that column: the result is then
+    hash-partitioned by (``by``, bucket), which a later group-by on a
+    superset of those keys reuses without a shuffle."""
     by, order = list(by), list(order)
     agg = _AGG[how]
     v = F.col(value) if isinstance(value, str) else value
@@ -71,15 +75,17 @@ def running(df: DataFrame, value: str | Column, how: str, order: Sequence[str],
         comb = F.least("__base", "__local")
     else:
         comb = F.greatest("__base", "__local")
-    return res.withColumn(out, comb).drop(_B, "__local", "__base", "__v")
+    res = res.withColumn(out, comb).drop("__local", "__base", "__v")
+    return res.withColumnRenamed(_B, bucket_out) if bucket_out else res.drop(_B)
 
 
 def running_sum(df: DataFrame, value: str, order: Sequence[str], by: Sequence[str] = (),
                 bucket: Column | None = None, out: str = "offset",
-                inclusive: bool = False) -> DataFrame:
+                inclusive: bool = False, bucket_out: str | None = None) -> DataFrame:
     """Add ``out`` = running sum of ``value`` (as bigint) in ``order``
     within ``by``; exclusive (0 for the first row) unless ``inclusive``."""
-    r = running(df, F.col(value).cast("bigint"), "sum", order, by, bucket, out, inclusive=True)
+    r = running(df, F.col(value).cast("bigint"), "sum", order, by, bucket, out, inclusive=True,
+                bucket_out=bucket_out)
     if not inclusive:
         r = r.withColumn(out, F.col(out) - F.col(value).cast("bigint"))
     return r
