@@ -207,13 +207,10 @@ SELECT printf('%s-%03d-%05d.data', source, shard, file_no) AS file_name, num_tok
        'i4' AS dtype
 FROM s""")
 def q_shard_export(spark, sf_dir):
-    out = scratch_path(spark, "shards")
-    pieces = pp.q_pack_shards.__wrapped__(spark, sf_dir) if hasattr(pp.q_pack_shards, "__wrapped__") else None
-    tok = pp.tokenized(spark, sf_dir)
     from ..operators import packing
-    pieces = packing.pack_shards(tok, pp.SPEC, pp.BY, "doc_id")
-    stats = packing.shard_stats(pieces, pp.BY)
-    sinks.export_shards(pieces, stats, out).write.format("noop").mode("overwrite").save()
+    out = scratch_path(spark, "shards")
+    pieces = packing.pack_shards(pp.tokenized(spark, sf_dir), pp.SPEC, pp.BY, "doc_id")
+    sinks.export_shards(pieces, out).write.format("noop").mode("overwrite").save()
     h = sinks.shard_headers(spark, out)
     return h.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("file_name"), "num_tokens",
                     "num_special_tokens", "dtype")
@@ -241,8 +238,7 @@ def q_shard_import(spark, sf_dir):
     from ..operators import packing
     out = scratch_path(spark, "shards")
     pieces = packing.pack_shards(pp.tokenized(spark, sf_dir), pp.SPEC, pp.BY, "doc_id")
-    stats = packing.shard_stats(pieces, pp.BY)
-    sinks.export_shards(pieces, stats, out).write.format("noop").mode("overwrite").save()
+    sinks.export_shards(pieces, out).write.format("noop").mode("overwrite").save()
     ch = sinks.import_shards(spark, out, pp.SPEC.context)
     return ch.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("file_name"), "chunk_no",
                      F.md5(F.array_join("ids", ",")).alias("ids_md5"))

@@ -41,61 +41,80 @@ def write_chat(df: DataFrame, path: str, max_file_bytes: int = 400 * 1024 * 1024
 
 
 def _write_files(out_dir: str, dtype: str):
-    """mapInPandas body: rows sorted by (file_name, file_offset) arrive in
-    batches; each file is written to a temporary name and renamed when it
-    is complete, so a retried task simply rewrites it."""
+    """mapInArrow body: rows sorted by (file_name, file_offset) arrive in
+    Arrow batches; each run of rows of one file is written with one slice
+    of the batch's flat id buffer. The header is written last (seek to 0)
+    from the counts of what was written, so no statistics pass is needed.
+    A file is written under a temporary name and renamed when complete, so
+    a retried task simply rewrites it."""
+    import pyarrow as pa
     np_dtype = np.dtype(dtype).newbyteorder("<")
     code = DTYPE_CODES[dtype]
 
     def run(batches):
-        cur, fh, tmp, written = None, None, None, 0
+        st = {"cur": None, "fh": None, "tmp": None, "ntok": 0, "nspec": 0}
         done = []
 
         def close():
-            nonlocal fh
-            if fh is not None:
-                fh.close()
-                os.replace(tmp, os.path.join(out_dir, cur))
-                done.append((cur, written))
-                fh = None
-
-        for pdf in batches:
-            for name, ntok, nspec, ids in zip(pdf["file_name"], pdf["num_tokens"], pdf["num_special_tokens"],
-                                              pdf["ids"]):
-                if name != cur:
-                    close()
-                    if ntok > INT32_MAX:
-                        raise ValueError(f"{name}: {ntok} tokens do not fit the header")
-                    cur, written = name, 0
-                    tmp = os.path.join(out_dir, f".{name}.tmp")
-                    fh = open(tmp, "wb")
-                    fh.write(struct.pack(HEADER_FORMAT, MAGIC, VERSION, int(ntok), int(nspec), code))
-                arr = np.asarray(ids, dtype=np_dtype)
-                fh.write(arr.tobytes())
-                written += len(arr)
+            fh = st["fh"]
+            if fh is None:
+                return
+            if st["ntok"] > INT32_MAX:
+                raise ValueError(f"{st['cur']}: {st['ntok']} tokens do not fit the header")
+            fh.seek(0)
+            fh.write(struct.pack(HEADER_FORMAT, MAGIC, VERSION, st["ntok"], st["nspec"], code))
+            fh.close()
+            os.replace(st["tmp"], os.path.join(out_dir, st["cur"]))
+            done.append((st["cur"], st["ntok"], st["nspec"]))
+            st["fh"] = None
+
+        def open_file(name):
+            close()
+            st.update(cur=name, ntok=0, nspec=0, tmp=os.path.join(out_dir, f".{name}.tmp"))
+            st["fh"] = open(st["tmp"], "wb")
+            st["fh"].write(b"\0" * HEADER_SIZE)
+
+        for batch in batches:
+            names_ = batch.column("file_name").to_pylist()
+            spec = batch.column("num_special_tokens").to_numpy(zero_copy_only=False)
+            ids = batch.column("ids")
+            offs = ids.offsets.to_numpy()
+            vals = ids.values.to_numpy(zero_copy_only=False)
+            i, n = 0, len(names_)
+            while i < n:
+                j = i
+                while j + 1 < n and names_[j + 1] == names_[i]:
+                    j += 1
+                if names_[i] != st["cur"]:
+                    open_file(names_[i])
+                part = vals[offs[i]:offs[j + 1]].astype(np_dtype)
+                st["fh"].write(part.tobytes())
+                st["ntok"] += len(part)
+                st["nspec"] += int(spec[i:j + 1].sum())
+                i = j + 1
         close()
         if done:
-            yield pd.DataFrame({"file_name": [d[0] for d in done], "written": [d[1] for d in done]})
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64()),
+                 pa.array([d[2] for d in done], pa.int64())],
+                names=["file_name", "num_tokens", "num_special_tokens"])
     return run
 
 
-def export_shards(pieces: DataFrame, stats: DataFrame, out_dir: str, prefix: str = "source",
-                  shard: str = "shard", dtype: str = "i4", tokens_per_task: int = 64 << 20) -> DataFrame:
-    """K1 / K3: write ``prefix-UUU-CCCCC.data`` files from the shard pieces.
-    The header comes from ``stats`` (one row per file, joined on); pieces of
-    a file go to one task in offset order and are streamed to disk. Returns
-    ``(file_name, written)``; the export runs when that is evaluated."""
-    key = [prefix, shard, "file_no"]
-    p = pieces.select(*key, "file_offset", "ids").join(stats.select(*key, "num_tokens", "num_special_tokens"), key)
-    p = p.withColumn("file_name", names.shard_file_name(F.col(prefix), F.col(shard), F.col("file_no")))
-    # tasks: one per file for full-size files, fewer when files are small
-    # (about ``tokens_per_task`` tokens each); sizes come from the file table
-    n_files, total = stats.agg(F.count("*"), F.sum("num_tokens")).first()
-    n_tasks = max(1, min(n_files or 1, -(-(total or 0) // tokens_per_task)))
-    p = p.repartition(n_tasks, "file_name").sortWithinPartitions("file_name", "file_offset")
+def export_shards(pieces: DataFrame, out_dir: str, prefix: str = "source", shard: str = "shard",
+                  dtype: str = "i4") -> DataFrame:
+    """K1 / K3: write ``prefix-UUU-CCCCC.data`` files from the shard pieces
+    (``pack_shards``). The pieces of a file meet in one task (hash by file
+    name; AQE merges small partitions) in offset order and are streamed to
+    disk. Returns ``(file_name, num_tokens, num_special_tokens)``; the
+    export runs when that is evaluated. ``out_dir`` must be shared storage
+    mounted on every executor."""
+    p = pieces.select(names.shard_file_name(F.col(prefix), F.col(shard), F.col("file_no")).alias("file_name"),
+                      "file_offset", "num_special_tokens", "ids")
+    p = p.repartition("file_name").sortWithinPartitions("file_name", "file_offset")
     os.makedirs(out_dir, exist_ok=True)
-    return p.select("file_name", "num_tokens", "num_special_tokens", "ids").mapInPandas(
-        _write_files(out_dir, dtype), "file_name string, written long")
+    return p.mapInArrow(_write_files(out_dir, dtype),
+                        "file_name string, num_tokens long, num_special_tokens long")
 
 
 def _read_headers(batches):
@@ -122,22 +141,30 @@ def shard_headers(spark: SparkSession, root: str, pattern: str = "*.data") -> Da
     """Validated headers ``(path, num_tokens, num_special_tokens, dtype)``
     of the shard files (20 bytes read per file)."""
     from .readers import list_files
-    files = list_files(spark, root, pattern).select("path")
+    # the listing holds one short row per file: a task per core is plenty
+    files = list_files(spark, root, pattern).select("path").coalesce(spark.sparkContext.defaultParallelism)
     return files.mapInPandas(_read_headers, "path string, num_tokens long, num_special_tokens long, dtype string")
 
 
 def _read_ranges(batches):
-    for pdf in batches:
-        out_p, out_c, out_ids = [], [], []
-        for path, dtype, chunk, start, count in zip(pdf["path"], pdf["dtype"], pdf["chunk_no"],
-                                                   pdf["start"], pdf["count"]):
+    """mapInArrow body: each ``(path, start, count)`` range is one seek and
+    one read; ids go out as an Arrow list column without pandas objects."""
+    import pyarrow as pa
+    for batch in batches:
+        cols = batch.to_pydict()
+        chunks, lens = [], []
+        for path, dtype, start, count in zip(cols["path"], cols["dtype"], cols["start"], cols["count"]):
             local = path[len("file:"):] if path.startswith("file:") else path
             dt = np.dtype(dtype).newbyteorder("<")
             arr = np.fromfile(local, dtype=dt, count=int(count), offset=HEADER_SIZE + int(start) * dt.itemsize)
-            out_p.append(path)
-            out_c.append(chunk)
-            out_ids.append(arr.astype(np.int32))
-        yield pd.DataFrame({"path": out_p, "chunk_no": out_c, "ids": out_ids})
+            chunks.append(arr.astype(np.int32))
+            lens.append(len(arr))
+        offsets = np.zeros(len(lens) + 1, dtype=np.int32)
+        np.cumsum(lens, out=offsets[1:])
+        values = np.concatenate(chunks) if chunks else np.zeros(0, np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+        yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("chunk_no"), ids],
+                                         names=["path", "chunk_no", "ids"])
 
 
 def import_shards(spark: SparkSession, root: str, chunk_tokens: int, pattern: str = "*.data") -> DataFrame:
@@ -151,7 +178,7 @@ def import_shards(spark: SparkSession, root: str, chunk_tokens: int, pattern: st
         "chunk_no", F.explode(F.sequence(F.lit(0).cast("bigint"), n_chunks - 1)))
     r = r.withColumn("start", F.col("chunk_no") * chunk_tokens) \
         .withColumn("count", F.least(F.lit(chunk_tokens), F.col("num_tokens") - F.col("start")))
-    return r.select("path", "dtype", "chunk_no", "start", "count").repartition("path", "chunk_no").mapInPandas(
+    return r.select("path", "dtype", "chunk_no", "start", "count").repartition("path", "chunk_no").mapInArrow(
         _read_ranges, "path string, chunk_no long, ids array<int>")
 
 
