@@ -76,7 +76,7 @@ def repeat_epochs(df: DataFrame, n_epochs: int, out: str = "epoch") -> DataFrame
     (a generator per row, not a join)."""
     if n_epochs < 1:
         raise ValueError("epochs must be a positive number")
-    return df.withColumn(out, F.explode(F.sequence(F.lit(0), F.lit(n_epochs - 1))))
+    return df.withColumn(out, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_epochs - 1).cast("bigint"))))
 
 
 def skip_allotment(weights: DataFrame, skip: int, weight_col: str = "weight", out: str = "skip") -> DataFrame:

@@ -22,7 +22,7 @@ def rank_files(files: DataFrame, seed, name: str = "file_name", by: Sequence[str
     (``md5(seed:name)``, ties by name) within ``by``."""
     key = order_key(seed, F.col(name))
     w = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy(key, F.col(name))
-    return files.withColumn(out, F.row_number().over(w))
+    return files.withColumn(out, F.row_number().over(w).cast("bigint"))
 
 
 def split_rate(files: DataFrame, validation_rate: float, seed, name: str = "file_name",

@@ -69,7 +69,7 @@ def tree_edges(spark, sf_dir):
 
 def summary(df: DataFrame) -> DataFrame:
     """Comparable form of a chat table."""
-    return df.select("id", F.md5("text").alias("text_md5"), F.size("chat").alias("n_turns"),
+    return df.select("id", F.md5("text").alias("text_md5"), F.size("chat").cast("bigint").alias("n_turns"),
                      F.array_join(F.transform("chat", lambda x: x["role"]), ",").alias("roles"))
 
 
@@ -99,7 +99,7 @@ _ZH_CODE = chat.CODE_PROBLEM_INSTRUCTION["zh"]
 WITH {_PIVOT},
 x AS (SELECT id, CASE WHEN {_u('id')} < 0.8::DOUBLE THEN '{_EN_CODE}' ELSE '{_ZH_CODE}' END AS inst, t0, t1 FROM c)
 SELECT id, md5({_render("'instruction'", 'inst')} || {_render("'user'", 't0')} || {_render("'assistant'", 't1')}) AS text_md5,
-       3 AS n_turns, 'instruction,user,assistant' AS roles
+       3::BIGINT AS n_turns, 'instruction,user,assistant' AS roles
 FROM x""")
 def q_chat_code_problem(spark, sf_dir):
     return summary(chat.code_problem(raw_code_problem(spark, sf_dir), seed=SEED))
@@ -113,7 +113,7 @@ SELECT id,
        md5(CASE WHEN length(instruction) > 0 THEN {_render("'instruction'", 'instruction')} ELSE '' END
            || CASE WHEN length(input) > 0 THEN {_render("'user'", 'input')} ELSE '' END
            || {_render("'assistant'", 'output')}) AS text_md5,
-       (length(instruction) > 0)::INTEGER + (length(input) > 0)::INTEGER + 1 AS n_turns,
+       ((length(instruction) > 0)::INTEGER + (length(input) > 0)::INTEGER + 1)::BIGINT AS n_turns,
        concat_ws(',', CASE WHEN length(instruction) > 0 THEN 'instruction' END,
                  CASE WHEN length(input) > 0 THEN 'user' END, 'assistant') AS roles
 FROM x""")
@@ -143,7 +143,7 @@ def q_chat_alternating(spark, sf_dir):
 @query("chat_inst_output", sql=f"""
 WITH {_PIVOT}
 SELECT id, md5({_render("'instruction'", "coalesce(t0, 'None')")} || {_render("'assistant'", "coalesce(t1, 'None')")}) AS text_md5,
-       2 AS n_turns, 'instruction,assistant' AS roles
+       2::BIGINT AS n_turns, 'instruction,assistant' AS roles
 FROM c""")
 def q_chat_inst_output(spark, sf_dir):
     return summary(chat.inst_output(raw_inst_output(spark, sf_dir)))
@@ -163,7 +163,7 @@ y AS (SELECT id,
         t0 || chr(10) || chr(10) || CASE WHEN en THEN 'Modification requirements: ' ELSE '修改要求：' END || t1 AS usr,
         tl FROM x)
 SELECT id, md5({_render("'instruction'", 'inst')} || {_render("'user'", 'usr')} || {_render("'assistant'", 'tl')}) AS text_md5,
-       3 AS n_turns, 'instruction,user,assistant' AS roles
+       3::BIGINT AS n_turns, 'instruction,user,assistant' AS roles
 FROM y""")
 def q_chat_commit_edit(spark, sf_dir):
     return summary(chat.commit_edit(raw_commit(spark, sf_dir), seed=SEED))
@@ -184,7 +184,7 @@ leaf AS (
   SELECT * FROM walk w
   WHERE depth > 1 AND NOT EXISTS (SELECT 1 FROM e c WHERE c.tree_id = w.tree_id AND c.parent_id = w.node_id))
 SELECT tree_id::VARCHAR || '/' || (row_number() OVER (PARTITION BY tree_id ORDER BY ords) - 1)::VARCHAR AS id,
-       md5(txt) AS text_md5, depth AS n_turns, roles
+       md5(txt) AS text_md5, depth::BIGINT AS n_turns, roles
 FROM leaf"""
 
 

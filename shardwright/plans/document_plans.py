@@ -67,7 +67,7 @@ FROM pages""")
 def q_text_title_content(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("title"), F.col("html").alias("content"))
     t = registry.title_content(p)
-    return t.select("page_id", F.md5("text").alias("text_md5"), F.octet_length("text").alias("n_bytes"))
+    return t.select("page_id", F.md5("text").alias("text_md5"), F.octet_length("text").cast("bigint").alias("n_bytes"))
 
 
 def _wanjuan(spark, sf_dir):

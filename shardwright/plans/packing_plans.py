@@ -49,7 +49,7 @@ def tokenized(spark, sf_dir, cols=("doc_id", "source", "text"), tokenizer=None):
     docs = table(spark, sf_dir, "documents").select(*cols)
     tok = packing.tokenize(docs, "text", tokenizer=tok_impl, add_bos=SPEC.add_bos,
                            add_eos=SPEC.add_eos).drop("text")
-    tok = packing.assign_shard(tok, "doc_id", SPEC.shards)
+    tok = packing.assign_shard(tok, "doc_id", SPEC.shards).withColumn("shard", F.col("shard").cast("bigint"))
     return tok if getattr(tok_impl, "cheap", False) else materialize(spark, tok, "tokens")
 
 

@@ -102,7 +102,7 @@ SELECT id, split, least(n - 1, {C}) AS n_tokens, n - 1 > {C} AS truncated FROM s
 def q_sft_truncate(spark, sf_dir):
     """W4 packing off: one sample per chat, cut to C tokens (no EOS)."""
     t = packing.tokenize(sft_shuffled(spark, sf_dir), "text", add_eos=False)
-    return t.select("id", "split", F.size(F.slice("ids", 1, C)).alias("n_tokens"),
+    return t.select("id", "split", F.size(F.slice("ids", 1, C)).cast("bigint").alias("n_tokens"),
                     (F.col("n_tokens") > C).alias("truncated"))
 
 

@@ -198,7 +198,8 @@ def q_chat_write(spark, sf_dir):
     out = scratch_path(spark, "chat")
     sinks.write_chat(c, out, max_file_bytes=64 * 1024)
     back = spark.read.parquet(out)
-    return back.select(F.col("id").cast("string").alias("id"), "dataset_name", F.size("chat").alias("n_turns"))
+    return back.select(F.col("id").cast("string").alias("id"), "dataset_name",
+                       F.size("chat").cast("bigint").alias("n_turns"))
 
 
 @query("shard_export", sql=f"""

@@ -84,7 +84,8 @@ def read_json_positions(spark: SparkSession, root, schema: str, pattern: str | N
     t = _reader(spark, pattern).text(root, wholetext=True).select(
         F.col("_metadata.file_path").alias("file_path"), "value")
     items = t.select("file_path", F.posexplode(F.from_json("value", "array<string>")).alias(pos, "__item"))
-    return items.select("file_path", pos, F.from_json("__item", schema).alias("r")).select("file_path", pos, "r.*")
+    return items.select("file_path", F.col(pos).cast("bigint").alias(pos),
+                        F.from_json("__item", schema).alias("r")).select("file_path", pos, "r.*")
 
 
 def bad_json_files(spark: SparkSession, root, pattern: str | None = "*.json") -> DataFrame:
