@@ -91,9 +91,6 @@ def apply_skip(items: DataFrame, allot: DataFrame, corpus: str, position: str, s
         .filter(F.col(position) >= F.col(skip_col)).drop(skip_col)
 
 
-def _c(x) -> Column:
-    return F.col(x) if isinstance(x, str) else x
-
 
 __all__: Sequence[str] = ["shuffle_rows", "weights_by_count", "normalise", "interleave", "slots",
                           "repeat_epochs", "skip_allotment", "apply_skip"]

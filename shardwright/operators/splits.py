@@ -97,9 +97,6 @@ def missing_corpora(files_matched: DataFrame, config: DataFrame, corpus: str = "
     return config.join(files_matched.select(corpus).distinct(), on=corpus, how="left_anti")
 
 
-def _c(x) -> Column:
-    return F.col(x) if isinstance(x, str) else x
-
 
 def choose_split(files: DataFrame, seed, *, untokenized_config: DataFrame | None = None,
                  folder_split: bool = False, config: DataFrame | None = None,

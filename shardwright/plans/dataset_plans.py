@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import order_key
 from ..operators import mixing, packing, sharding, splits
-from ..operators.ordering import bucket_hex, bucket_numeric, count_by, ordinal
+from ..operators.ordering import bucket_hex, count_by, ordinal
 from ..session import materialize
 from . import packing_plans as pp
 from .registry import query
@@ -331,8 +331,6 @@ def q_epochs(spark, sf_dir):
         .select("epoch", "doc_id", "position")
 
 
-_unused = bucket_numeric
-
 
 @query("name_dataset", sql="""
 WITH f AS (SELECT doc_id,

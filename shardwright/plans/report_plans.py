@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import packing, reports
-from ..operators.ordering import bucket_numeric
 from .registry import query
 from .tables import table
 

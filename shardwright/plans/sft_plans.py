@@ -5,8 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import chat, mixing, packing, splits
-from ..operators.ordering import bucket_hex, bucket_numeric, ordinal
+from ..operators import chat, packing, splits
+from ..operators.ordering import bucket_hex, ordinal
 from ..functions.hashing import order_key
 from .chat_plans import raw_from_value
 from .registry import query
@@ -142,5 +142,3 @@ def q_pack_text(spark, sf_dir):
         "source", "win", "n_pieces", "first_doc_id",
         F.md5(F.array_join(F.flatten(F.transform("parts", lambda s: s["ids"])), ",")).alias("ids_md5"))
 
-
-_unused = (mixing, bucket_numeric)
