@@ -90,7 +90,7 @@ def q_stream_plateau(spark, sf_dir):
     n = ev.agg(F.max("event_id")).first()[0] + 1
     ev = ev.withColumn("grp", F.floor(F.col("event_id") * ARRIVALS / F.lit(n)).cast("long"))
     _write_ordered_files(ev, "grp", inp)
-    stream = spark.readStream.schema("run long, event_id long, ts timestamp, value double") \
+    stream = spark.readStream.schema("run long, event_id long, ts timestamp_ntz, value double") \
         .option("maxFilesPerTrigger", 1).json(inp)
     incremental.run_to_parquet(incremental.plateau_stream(stream, report_plans.PLATEAU_LIMIT), out, ckpt)
     return spark.read.parquet(out).select("run", "event_id", "step", "best", "improved", "bad", "alert")

@@ -59,3 +59,22 @@ def test_streams_equal_batch(spark):
     a = q["stream_plateau"](spark, SF_SMALL).exceptAll(q["plateau_alert"](spark, SF_SMALL))
     assert a.count() == 0
     assert q["stream_plateau"](spark, SF_SMALL).count() == q["plateau_alert"](spark, SF_SMALL).count()
+
+
+def test_jsonl_bad_line_and_gzip(spark):
+    import gzip
+    root = scratch_path(spark, "t-bad-jsonl")
+    os.makedirs(root)
+    with gzip.open(f"{root}/a.jsonl.gz", "wt") as f:
+        f.write('{"v": 1}\n{"v": 2}\n')
+    with open(f"{root}/b.jsonl", "w") as f:
+        f.write('{"v": 3}\n{not json\n')
+    try:
+        readers.read_jsonl(spark, root, "v long", pattern="*.jsonl*").collect()
+        raise AssertionError("a bad line must fail the read")
+    except Exception as e:  # noqa: BLE001
+        assert "AssertionError" not in type(e).__name__
+    ok = readers.read_jsonl(spark, root, "v long, _corrupt_record string", pattern="*.jsonl*", mode="PERMISSIVE")
+    rows = ok.collect()
+    assert sorted(r["v"] for r in rows if r["v"] is not None) == [1, 2, 3]
+    assert [r["_corrupt_record"] for r in rows if r["_corrupt_record"]] == ["{not json"]
