@@ -160,3 +160,11 @@ def test_worker_skip():
 def test_specials_and_map(spark):
     m = spark.range(1).select(tokens.special_token_map().alias("m")).first()["m"]
     assert len(m) == 17 and m["<|endoftext|>"] == 0 and m["<|im_end|>"] == 2 and m["<empty_output>"] == 16
+
+
+def test_w3_tail_carries_into_next_epoch(spark):
+    docs = _docs_of_lengths(spark, [3, 5, 2, 4])
+    rep = mixing.repeat_epochs(docs, 2).withColumn("order", F.col("epoch") * 1000 + F.col("doc_id"))
+    tok = packing.tokenize(rep, "text").withColumn("shard", F.lit(0))
+    spec = packing.PackSpec(context=4, file_tokens=1 << 30, shards=1)
+    assert packing.pack_windows(tok, spec, ["shard"], "order").count() == 7   # 28 tokens, tail carried
