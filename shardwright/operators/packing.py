@@ -53,12 +53,17 @@ def assign_shard(df: DataFrame, key: str, shards: int, out: str = "shard") -> Da
     return df.withColumn(out, part.cast("int"))
 
 
+SB = "stream_bucket"
+
+
 def stream_offsets(df: DataFrame, spec: PackSpec, by: list[str], order: str,
-                   numeric_order: bool = True) -> DataFrame:
-    """Add ``start``: the row's first token position in its (``by``) stream."""
+                   numeric_order: bool = True, keep_bucket: bool = False) -> DataFrame:
+    """Add ``start``: the row's first token position in its (``by``) stream
+    (and, with ``keep_bucket``, the running-sum bucket as ``stream_bucket``)."""
     bucket = (bucket_numeric(order, spec.shards * spec.bucket_rows) if numeric_order
               else F.conv(F.substring(F.col(order).cast("string"), 1, 4), 16, 10).cast("bigint"))
-    return running_sum(df, "n_tokens", [order], by=by, bucket=bucket, out="start")
+    return running_sum(df, "n_tokens", [order], by=by, bucket=bucket, out="start",
+                       bucket_out=SB if keep_bucket else None)
 
 
 def _file_pieces(df: DataFrame, M: int) -> DataFrame:
@@ -92,17 +97,18 @@ def shard_stats(pieces: DataFrame, by: list[str]) -> DataFrame:
         F.sum("num_special_tokens").cast("bigint").alias("num_special_tokens"))
 
 
-def window_pieces(tok: DataFrame, spec: PackSpec, by: list[str], order: str) -> DataFrame:
+def window_pieces(tok: DataFrame, spec: PackSpec, by: list[str], order: str,
+                  keep_bucket: bool = False) -> DataFrame:
     """Pieces of each document inside each training window it overlaps."""
     C, M = spec.context, spec.file_tokens
-    p = _file_pieces(stream_offsets(tok, spec, by, order), M)
+    p = _file_pieces(stream_offsets(tok, spec, by, order, keep_bucket=keep_bucket), M)
     wseq = F.sequence(F.floor(F.col("file_offset") / C).cast("bigint"),
                       F.floor((F.col("file_offset") + F.col("piece_len") - 1) / C).cast("bigint"))
     x = p.withColumn("win", F.explode(wseq)).filter(F.col("win") < F.lit(M // C))
     lo = F.greatest(F.col("file_offset"), F.col("win") * C)
     hi = F.least(F.col("file_offset") + F.col("piece_len"), (F.col("win") + 1) * C)
     from_doc = F.col("piece_from") + (lo - F.col("file_offset"))
-    return x.select(*by, "file_no", "win", order,
+    return x.select(*by, *([SB] if keep_bucket else []), "file_no", "win", order,
                     (lo - F.col("win") * C).cast("int").alias("win_offset"),
                     from_doc.alias("doc_from"), (hi - lo).cast("int").alias("len"),
                     F.slice("ids", from_doc.cast("int") + 1, (hi - lo).cast("int")).alias("ids"))
@@ -122,6 +128,58 @@ def pack_windows(tok: DataFrame, spec: PackSpec, by: list[str], order: str) -> D
                      "n_pieces", f"first_{order}", f"last_{order}"))
 
 
+def _assemble(parts: Column | str) -> Column:
+    return F.flatten(F.transform(F.array_sort(parts), lambda s: s["ids"]))
+
+
+def write_windows(tok: DataFrame, spec: PackSpec, by: list[str], order: str, path: str) -> DataFrame:
+    """W2 as a written table, with one shuffle of the token data.
+
+    The offset step leaves pieces hash-partitioned by (stream, bucket), and
+    a group-by on (stream, bucket, file, window) reuses that partitioning.
+    So job 1 assembles every window that lies inside one bucket where its
+    pieces already are, and writes it (``kind=whole``) together with the
+    fragments of windows cut by a bucket boundary (``kind=cut``, at most one
+    window per boundary). Job 2 reads only the fragments (partition
+    pruning), merges them by (stream, file, window) in a small shuffle, and
+    appends the full ones (``kind=merged``). Returns the windows as written:
+    ``(*by, file_no, win, input_ids, n_pieces, first_<order>, last_<order>)``.
+    Compared with ``pack_windows``, it saves the shuffle of all pieces by
+    window; it pays for it with a write, which a pipeline that keeps its
+    windows does anyway."""
+    spark = tok.sparkSession
+    C = spec.context
+    wp = window_pieces(tok, spec, by, order, keep_bucket=True)
+    g = wp.groupBy(*by, SB, "file_no", "win").agg(
+        F.collect_list(F.struct("win_offset", "ids")).alias("parts"),
+        F.sum("len").alias("n"), F.count("*").alias("n_pieces"),
+        F.min("win_offset").alias("lo"), F.max("win_offset").alias("hi"),
+        F.min_by(order, "win_offset").alias("first"), F.max_by(order, "win_offset").alias("last"))
+    whole = F.col("n") == C
+    staged = g.select(*by, "file_no", "win",
+                      F.when(whole, _assemble("parts")).alias("input_ids"),
+                      F.when(~whole, F.col("parts")).alias("parts"),
+                      F.col("n").cast("bigint").alias("n"), F.col("n_pieces").cast("bigint").alias("n_pieces"),
+                      "lo", "hi", "first", "last",
+                      F.when(whole, F.lit("whole")).otherwise(F.lit("cut")).alias("kind"))
+    # ``kind`` is a plain column: a partitioned write would sort every row
+    # (with its ids) by it; job 2 reads only the small columns instead
+    staged.write.mode("overwrite").parquet(f"{path}/stage")
+    cut = spark.read.parquet(f"{path}/stage").select(*by, "file_no", "win", "parts", "n", "n_pieces",
+                                                     "lo", "hi", "first", "last", "kind") \
+        .where(F.col("kind") == "cut")
+    merged = cut.groupBy(*by, "file_no", "win").agg(
+        F.flatten(F.collect_list("parts")).alias("parts"), F.sum("n").alias("n"),
+        F.sum("n_pieces").alias("n_pieces"), F.min_by("first", "lo").alias("first"),
+        F.max_by("last", "hi").alias("last")).filter(F.col("n") == C)
+    cols = [*by, "file_no", "win", "input_ids", "n_pieces", "first", "last"]
+    merged.select(*by, "file_no", "win", _assemble("parts").alias("input_ids"), "n_pieces", "first", "last") \
+        .write.mode("overwrite").parquet(f"{path}/merged")
+    out = spark.read.parquet(f"{path}/stage").where(F.col("kind") == "whole").select(*cols) \
+        .unionByName(spark.read.parquet(f"{path}/merged").select(*cols))
+    return out.withColumnRenamed("first", f"first_{order}").withColumnRenamed("last", f"last_{order}")
+
+
 def training_samples(windows: DataFrame) -> DataFrame:
     """F11 + F12: ``input_ids`` and ``labels`` (a copy) widened to bigint."""
     ids = F.col("input_ids").cast("array<bigint>")
