@@ -27,6 +27,29 @@ def bucket_numeric(order: Column | str, width: int) -> Column:
     return F.floor(o / F.lit(width)).cast("bigint")
 
 
+def with_adaptive_bucket(df: DataFrame, order: str, by: Sequence[str], rows_per_bucket: int,
+                         out: str = "__abucket", max_broadcast_rows: int = 1_000_000) -> DataFrame:
+    """Add ``out``, a bucket of a numeric order key whose width is set per
+    ``by`` group from the group's (min, max, count), so a group gets about
+    ``count / rows_per_bucket`` buckets whether its keys are dense or sparse
+    (e.g. hashed ids). The per-group statistics come from the key columns
+    only (one small row per group) and are joined back by equality."""
+    by = list(by)
+    o = F.col(order)
+    stats = df.groupBy(*by).agg(F.min(o).alias("__lo"), F.max(o).alias("__hi"), F.count("*").alias("__n"))
+    n_buckets = F.greatest(F.lit(1), F.ceil(F.col("__n") / F.lit(rows_per_bucket)))
+    width = F.greatest(F.lit(1), F.ceil((F.col("__hi") - F.col("__lo") + 1) / n_buckets))
+    stats = stats.select(*by, "__lo", width.cast("bigint").alias("__w"))
+    if by:
+        # one row per group: broadcast it when the counted size allows, so the
+        # big side is not shuffled for this join; otherwise a plain join
+        small = stats.count() <= max_broadcast_rows
+        x = df.join(F.broadcast(stats) if small else stats, on=by)
+    else:
+        x = df.withColumn("__lo", stats.select("__lo").scalar()).withColumn("__w", stats.select("__w").scalar())
+    return x.withColumn(out, F.floor((o - F.col("__lo")) / F.col("__w")).cast("bigint")).drop("__lo", "__w")
+
+
 def bucket_hex(order: Column | str, digits: int = 4) -> Column:
     """Bucket of a hex-string order key (e.g. an MD5 order key): its first
     ``digits`` hex digits, 16**digits buckets."""

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names, tokens
-from .ordering import bucket_numeric, running_sum
+from .ordering import bucket_numeric, running_sum, with_adaptive_bucket
 
 
 @dataclass(frozen=True)
@@ -30,6 +30,9 @@ class PackSpec:
     file_tokens: int = 200 * 1024 * 1024  # M, tokens per shard file
     shards: int = 32                    # K, writer parts per corpus
     bucket_rows: int = 1 << 15          # rows per running-sum bucket and shard
+    # order keys are dense integers (ordinals, ids): fixed-width buckets;
+    # set False for sparse keys (e.g. hashed ids) to size buckets per stream
+    dense_order: bool = True
     add_bos: bool = False
     add_eos: bool = True
 
@@ -60,10 +63,18 @@ def stream_offsets(df: DataFrame, spec: PackSpec, by: list[str], order: str,
                    numeric_order: bool = True, keep_bucket: bool = False) -> DataFrame:
     """Add ``start``: the row's first token position in its (``by``) stream
     (and, with ``keep_bucket``, the running-sum bucket as ``stream_bucket``)."""
-    bucket = (bucket_numeric(order, spec.shards * spec.bucket_rows) if numeric_order
-              else F.conv(F.substring(F.col(order).cast("string"), 1, 4), 16, 10).cast("bigint"))
-    return running_sum(df, "n_tokens", [order], by=by, bucket=bucket, out="start",
-                       bucket_out=SB if keep_bucket else None)
+    adaptive = numeric_order and not spec.dense_order
+    if adaptive:
+        # about ``bucket_rows`` rows per bucket in every stream, whatever the key spacing
+        df = with_adaptive_bucket(df, order, by, spec.bucket_rows, out="__ab")
+        bucket = F.col("__ab")
+    elif numeric_order:
+        bucket = bucket_numeric(order, spec.shards * spec.bucket_rows)
+    else:
+        bucket = F.conv(F.substring(F.col(order).cast("string"), 1, 4), 16, 10).cast("bigint")
+    r = running_sum(df, "n_tokens", [order], by=by, bucket=bucket, out="start",
+                    bucket_out=SB if keep_bucket else None)
+    return r.drop("__ab") if adaptive else r
 
 
 def _file_pieces(df: DataFrame, M: int) -> DataFrame:

@@ -38,3 +38,30 @@ def test_global_ordinal_without_single_partition_window(spark):
     # the big table is windowed by bucket; only the bucket table has a global window
     plan = x._jdf.queryExecution().executedPlan().toString()
     assert "__bucket" in plan
+
+
+def test_adaptive_bucket_sparse_keys(spark):
+    from shardwright.operators.ordering import with_adaptive_bucket
+    df = spark.range(5000).select((F.col("id") % 2).alias("k"), (F.col("id") * 1_000_000_000_000).alias("o"))
+    b = with_adaptive_bucket(df, "o", ["k"], 100, out="b")
+    per = {r["k"]: r["n"] for r in b.groupBy("k").agg(F.count_distinct("b").alias("n")).collect()}
+    assert all(20 <= n <= 30 for n in per.values())   # ~2500 rows / 100 per bucket, not one per row
+    # the bucket is non-decreasing in the key inside each group
+    w = Window.partitionBy("k").orderBy("o")
+    assert b.withColumn("prev", F.lag("b").over(w)).filter(F.col("prev") > F.col("b")).count() == 0
+
+
+def test_packing_with_sparse_order_equals_dense(spark):
+    from shardwright.operators import packing
+    from conftest import SF_SMALL
+    from shardwright.plans import packing_plans as pp
+    tok = pp.tokenized(spark, SF_SMALL)
+    spec = packing.PackSpec(context=512, file_tokens=5000, shards=4, bucket_rows=8)
+    sparse_spec = packing.PackSpec(context=512, file_tokens=5000, shards=4, bucket_rows=8, dense_order=False)
+    dense = packing.pack_windows(tok, spec, pp.BY, "doc_id").select(
+        *pp.BY, "file_no", "win", F.md5(F.array_join("input_ids", ",")).alias("h"))
+    sparse_tok = tok.withColumn("o", F.col("doc_id") * 1_000_000_000_000 + 7)
+    sparse = packing.pack_windows(sparse_tok, sparse_spec, pp.BY, "o").select(
+        *pp.BY, "file_no", "win", F.md5(F.array_join("input_ids", ",")).alias("h"))
+    assert dense.count() == sparse.count() > 0
+    assert dense.exceptAll(sparse).count() == 0
