@@ -184,7 +184,11 @@ def nested_tree_edges(df: DataFrame, prompt: str = "prompt", tree_id: str = "id"
     JSON text (one tree per row). Each level is parsed with ``from_json``
     into ``(role, text, replies array<string>)`` and its replies exploded
     with their position; the loop stops at the first empty level (one
-    small action per level), or at ``max_depth``."""
+    small action per level), or at ``max_depth``. Each level is written to
+    the shared folder before the next is derived, so the plan does not
+    grow with depth and no level is recomputed."""
+    from ..session import materialize
+    spark = df.sparkSession
     node = "struct<role:string,text:string,replies:array<string>>"
     level = df.select(F.col(tree_id).cast("string").alias("tree_id"),
                       F.lit("0").alias("node_id"), F.lit(None).cast("string").alias("parent_id"),
@@ -199,6 +203,7 @@ def nested_tree_edges(df: DataFrame, prompt: str = "prompt", tree_id: str = "id"
             .filter(F.col("child").isNotNull()) \
             .select("tree_id", F.concat_ws(".", "parent_id", F.col("ordinal").cast("string")).alias("node_id"),
                     "parent_id", "ordinal", F.from_json("child", node).alias("n"))
+        nxt = materialize(spark, nxt, "tree-level")
         if nxt.isEmpty():
             break
         level = nxt
