@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.hashing import order_key
+from ..functions.hashing import hash52, order_key
 from ..operators import mixing, packing, sharding, splits
 from ..operators.ordering import bucket_hex, count_by, ordinal
 from ..session import materialize
@@ -117,14 +117,16 @@ def q_split_by_folder(spark, sf_dir):
 @query("files_by_prefix", sql=f"""
 WITH {_FILES}, {_CONFIG_SQL}
 SELECT c.corpus, count(*) AS n_files, sum(num_tokens)::BIGINT AS num_tokens,
-       md5(string_agg(f.file_name, ',' ORDER BY f.file_name)) AS files_md5,
+       sum(('0x' || substr(md5(f.file_name), 1, 13))::BIGINT::HUGEINT)::VARCHAR AS files_hash,
        count(DISTINCT f.prefix) AS n_prefixes
 FROM files f JOIN config c ON starts_with(f.file_name, c.corpus) GROUP BY c.corpus""")
 def q_files_by_prefix(spark, sf_dir):
     m = splits.prefix_match(files(spark, sf_dir), config(spark))
     return m.groupBy("corpus").agg(
         F.count("*").alias("n_files"), F.sum("num_tokens").cast("bigint").alias("num_tokens"),
-        F.md5(F.array_join(F.array_sort(F.collect_list("file_name")), ",")).alias("files_md5"),
+        # order-independent and distributive (no list of names per corpus):
+        # exact sum of the 52-bit hash of each name
+        F.sum(hash52(F.md5("file_name")).cast("decimal(38,0)")).cast("string").alias("files_hash"),
         F.count_distinct("prefix").alias("n_prefixes"))
 
 
