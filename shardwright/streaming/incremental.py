@@ -28,8 +28,21 @@ from ..operators.reports import PLATEAU_START_LOSS
 from ..sources import sinks
 
 
-def _run(query_writer, checkpoint: str) -> None:
-    q = query_writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def _run(query_writer, checkpoint: str, spark: SparkSession | None = None,
+         state_partitions: int | None = None) -> None:
+    """Start with ``availableNow`` and wait. ``state_partitions`` fixes the
+    number of state-store partitions of a stateful query (taken from the
+    shuffle-partition setting when the query starts and kept in its
+    checkpoint); the session's own setting is restored right after start."""
+    old = None
+    if spark is not None and state_partitions:
+        old = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+    try:
+        q = query_writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        if old is not None:
+            spark.conf.set("spark.sql.shuffle.partitions", old)
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
@@ -128,9 +141,15 @@ def plateau_stream(stream: DataFrame, limit: int, run: str = "run", order=("ts",
         outputMode="append", timeoutConf=GroupStateTimeout.NoTimeout)
 
 
-def run_to_parquet(stream_df: DataFrame, out_dir: str, checkpoint: str) -> None:
+def run_to_parquet(stream_df: DataFrame, out_dir: str, checkpoint: str,
+                   state_partitions: int | None = None) -> None:
     """Drain a streaming DataFrame (available input only) into Parquet,
-    one overwritten folder per micro-batch."""
+    one overwritten folder per micro-batch. Stateful queries get
+    ``state_partitions`` state-store partitions (default: the context's
+    parallelism, i.e. one per core)."""
+    spark = stream_df.sparkSession
+    parts = state_partitions or spark.sparkContext.defaultParallelism
+
     def batch(df: DataFrame, epoch: int) -> None:
         df.write.mode("overwrite").parquet(os.path.join(out_dir, f"batch={epoch}"))
-    _run(stream_df.writeStream.foreachBatch(batch), checkpoint)
+    _run(stream_df.writeStream.foreachBatch(batch), checkpoint, spark, parts)
