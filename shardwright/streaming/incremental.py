@@ -72,7 +72,10 @@ def _pack_state(context: int, order: str):
             carry = list(carry_ids)
         else:
             carry, carry_first, win = [], -1, 0
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(order)
+        frames = [f for f in pdfs if len(f)]
+        if not frames:
+            return
+        pdf = pd.concat(frames, ignore_index=True).sort_values(order)
         out_win, out_first, out_ids = [], [], []
         buf = np.asarray(carry, dtype=np.int32)
         owners = np.full(len(buf), carry_first, dtype=np.int64)
@@ -115,7 +118,10 @@ def _plateau_state(limit: int, order: list[str], loss: str, event: str):
             step, best, last = state.get
         else:
             step, best, last = 0, PLATEAU_START_LOSS, -1
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(order)
+        frames = [f for f in pdfs if len(f)]
+        if not frames:
+            return
+        pdf = pd.concat(frames, ignore_index=True).sort_values(order)
         rows = []
         for ev, val in zip(pdf[event], pdf[loss]):
             improved = bool(val < best)
