@@ -122,3 +122,13 @@ def test_glob_filter():
         raise AssertionError("unknown format must raise")
     except ValueError:
         pass
+
+
+def test_content_only_reader_prunes_to_one_column(spark):
+    from shardwright.operators import registry
+    out = scratch_path(spark, "t-prune")
+    spark.read.parquet(f"{SF_SMALL}/documents.parquet").withColumnRenamed("text", "content").write.parquet(out)
+    df = registry.read_corpus(spark, "StarCoderData", out)
+    phys = _plan(df)
+    assert "ReadSchema: struct<content:string>" in phys
+    assert df.columns == ["text"] and df.count() == spark.read.parquet(out).count()
