@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import order_key
@@ -20,9 +20,11 @@ def rank_files(files: DataFrame, seed, name: str = "file_name", by: Sequence[str
                out: str = "rank") -> DataFrame:
     """1-based rank of each file in the seeded shuffle
     (``md5(seed:name)``, ties by name) within ``by``."""
-    key = order_key(seed, F.col(name))
-    w = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy(key, F.col(name))
-    return files.withColumn(out, F.row_number().over(w).cast("bigint"))
+    # a two-level ordinal bucketed on the hash prefix: no step holds the
+    # whole file list, only the (at most 65536-row) bucket table is global
+    x = files.withColumn("__key", order_key(seed, F.col(name)))
+    x = ordinal(x, ["__key", name], by=list(by), bucket=bucket_hex("__key", 4), out=out)
+    return x.withColumn(out, (F.col(out) + 1).cast("bigint")).drop("__key")
 
 
 def split_rate(files: DataFrame, validation_rate: float, seed, name: str = "file_name",
