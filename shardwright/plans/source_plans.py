@@ -118,7 +118,7 @@ def _write_tars(out_dir):
                                       "source": r.source, "n_chars": int(r.n_chars)}, ensure_ascii=False)
                           for r in pdf.itertuples()).encode("utf-8") + b"\n"
         path = os.path.join(out_dir, f"part-{grp:05d}.jsonl.tar.gz")
-        tmp = path + ".tmp"
+        tmp = f"{path}.{os.getpid()}-{id(pdf)}.tmp"
         with tarfile.open(tmp, "w:gz") as tar:
             for name, data in ((f"part-{grp:05d}.jsonl", lines), ("README.txt", b"not data\n")):
                 info = tarfile.TarInfo(name)

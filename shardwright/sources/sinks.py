@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import struct
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -70,7 +71,9 @@ def _write_files(out_dir: str, dtype: str):
 
         def open_file(name):
             close()
-            st.update(cur=name, ntok=0, nspec=0, tmp=os.path.join(out_dir, f".{name}.tmp"))
+            # unique per attempt: a speculative or retried attempt never
+            # shares a temporary file; the rename is atomic and idempotent
+            st.update(cur=name, ntok=0, nspec=0, tmp=os.path.join(out_dir, f".{name}.{uuid.uuid4().hex}.tmp"))
             st["fh"] = open(st["tmp"], "wb")
             st["fh"].write(b"\0" * HEADER_SIZE)
 
