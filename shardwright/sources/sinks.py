@@ -112,6 +112,10 @@ def export_shards(pieces: DataFrame, out_dir: str, prefix: str = "source", shard
     disk. Returns ``(file_name, num_tokens, num_special_tokens)``; the
     export runs when that is evaluated. ``out_dir`` must be shared storage
     mounted on every executor."""
+    if "://" in out_dir and not out_dir.startswith("file:"):
+        raise ValueError(f"export_shards writes through the file system API: mount {out_dir} on every "
+                         "executor and pass its local path")
+    out_dir = out_dir[len("file:"):] if out_dir.startswith("file:") else out_dir
     p = pieces.select(names.shard_file_name(F.col(prefix), F.col(shard), F.col("file_no")).alias("file_name"),
                       "file_offset", "num_special_tokens", "ids")
     p = p.repartition("file_name").sortWithinPartitions("file_name", "file_offset")

@@ -47,3 +47,9 @@ def test_bad_header_is_rejected(spark):
         f.write(struct.pack("<4siiii", b"NOPE", 1, 2, 0, 1) + np.arange(2, dtype="<i4").tobytes())
     with pytest.raises(Exception, match="magic"):
         sinks.shard_headers(spark, out).collect()
+
+
+def test_export_needs_a_mounted_folder(spark):
+    pieces = packing.pack_shards(pp.tokenized(spark, SF_SMALL), pp.SPEC, pp.BY, "doc_id")
+    with pytest.raises(ValueError, match="mount"):
+        sinks.export_shards(pieces, "hdfs://namenode/shards")
