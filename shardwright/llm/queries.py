@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import exact_dedup, jaccard_join, suffix_dedup
 from .registry import query
 
 
@@ -22,3 +22,13 @@ FROM t WINDOW w AS (PARTITION BY text)
 """)
 def op5_exact_dedup(spark, sf_dir):
     return exact_dedup.find_copies(table(spark, sf_dir, "documents"))
+
+
+@query("op9_jaccard_join")
+def op9_jaccard_join(spark, sf_dir):
+    return jaccard_join.find_near(table(spark, sf_dir, "documents"), n_words=4, num=85, den=100)
+
+
+@query("op10_suffix_dedup")
+def op10_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.find_repeats(table(spark, sf_dir, "documents"), length=400)

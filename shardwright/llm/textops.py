@@ -20,7 +20,7 @@ BLOCK_BYTES = 1 << 21
 _U = np.uint64
 _MULT = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_MULT, -1, 1 << 64)
-_TABLE = np.random.default_rng(20240501).integers(1, 1 << 63, size=256, dtype=np.uint64) * _U(2) + _U(1)
+_TABLE = np.random.default_rng(20240501).integers(0, 1 << 64, size=256, dtype=np.uint64)
 _POW = np.ones(1, np.uint64)
 _INVPOW = np.ones(1, np.uint64)
 
@@ -30,8 +30,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _POW, _INVPOW
     if len(_POW) <= n:
         with np.errstate(over="ignore"):
-            _POW = np.concatenate(([1], np.full(n, _MULT, np.uint64))).astype(np.uint64).cumprod(dtype=np.uint64)
-            _INVPOW = np.concatenate(([1], np.full(n, _INV, np.uint64))).astype(np.uint64).cumprod(dtype=np.uint64)
+            one = np.ones(1, np.uint64)
+            _POW = np.concatenate((one, np.full(n, _MULT, np.uint64))).cumprod(dtype=np.uint64)
+            _INVPOW = np.concatenate((one, np.full(n, _INV, np.uint64))).cumprod(dtype=np.uint64)
     return _POW, _INVPOW
 
 
