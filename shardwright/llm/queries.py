@@ -6,7 +6,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard_join, suffix_dedup
+from . import (decontaminate, exact_dedup, html_crf, jaccard_join, language_id, packing_ga, quality,
+               sentence_dedup, suffix_dedup, warc)
 from .registry import query
 
 
@@ -32,3 +33,54 @@ def op9_jaccard_join(spark, sf_dir):
 @query("op10_suffix_dedup")
 def op10_suffix_dedup(spark, sf_dir):
     return suffix_dedup.find_repeats(table(spark, sf_dir, "documents"), length=400)
+
+
+@query("op1_decontaminate")
+def op1_decontaminate(spark, sf_dir):
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def tokenizer_files() -> dict:
+    """Rank file and split pattern of the public byte vocabulary."""
+    import public_tokenizers
+
+    return {"ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+
+
+@query("op7_best_fit_packing")
+def op7_best_fit_packing(spark, sf_dir):
+    return packing_ga.pack(table(spark, sf_dir, "documents"), **tokenizer_files())
+
+
+@query("op8_warc", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+     q AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest,
+                  min(page_id) OVER (PARTITION BY html) AS lowest FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> lowest THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> lowest THEN lowest END AS refers_to
+FROM q
+""")
+def op8_warc(spark, sf_dir):
+    return warc.archive(table(spark, sf_dir, "pages")).drop("url")
+
+
+@query("op4_quality")
+def op4_quality(spark, sf_dir):
+    return quality.weigh(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op2_sentence_dedup")
+def op2_sentence_dedup(spark, sf_dir):
+    return sentence_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op3_html_crf")
+def op3_html_crf(spark, sf_dir):
+    model = html_crf.fit(table(spark, sf_dir, "documents"))
+    return html_crf.extract(table(spark, sf_dir, "pages"), model)
+
+
+@query("op6_language_id")
+def op6_language_id(spark, sf_dir):
+    return language_id.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))

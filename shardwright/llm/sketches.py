@@ -68,6 +68,15 @@ def share(spark, bitmap: np.ndarray):
     return spark.sparkContext.broadcast(bitmap)
 
 
+def maybe_in(bitmap):
+    """Column function: may this bigint key be in the shared bitmap?"""
+    @F.pandas_udf("boolean")
+    def maybe(h: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(bitmap.value, h.to_numpy()))
+
+    return maybe
+
+
 def without(docs: DataFrame, gone: DataFrame, keys: list, bits: int = 24) -> DataFrame:
     """``docs`` less the rows whose keys are in ``gone``; same columns.
 
@@ -80,11 +89,7 @@ def without(docs: DataFrame, gone: DataFrame, keys: list, bits: int = 24) -> Dat
     named = [f"__g{i}" for i in range(len(keys))]
     bitmap = share(spark, key_bitmap(gone.select(F.xxhash64(*named).alias("h")), "h", bits))
 
-    @F.pandas_udf("boolean")
-    def maybe(h: pd.Series) -> pd.Series:
-        return pd.Series(in_bitmap(bitmap.value, h.to_numpy()))
-
-    tagged = docs.withColumn("__maybe", maybe(F.xxhash64(*[k for k, _ in keys])))
+    tagged = docs.withColumn("__maybe", maybe_in(bitmap)(F.xxhash64(*[k for k, _ in keys])))
     exact = None
     for (k, _), g in zip(keys, named):
         exact = k.eqNullSafe(F.col(g)) if exact is None else exact & k.eqNullSafe(F.col(g))

@@ -46,10 +46,14 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def byte_class(spec: str) -> np.ndarray:
-    """``bool[256]`` of the bytes that make up words. ``nonspace``: all but
-    space and 0x09-0x0D. ``alnum``: ASCII letters, digits and every byte of
-    a non-ASCII character."""
+    """``[256]`` of the bytes that make up words, 0 outside; a word is a run
+    of one value. ``nonspace``: all but space and 0x09-0x0D. ``alnum``:
+    ASCII letters, digits and every byte of a non-ASCII character.
+    ``tokens``: runs of those and, as words of their own, runs of any other
+    bytes but white space and controls."""
     b = np.arange(256)
+    if spec == "tokens":
+        return np.where(byte_class("alnum"), 1, np.where(b > 32, 2, 0)).astype(np.uint8)
     if spec == "nonspace":
         return ~((b == 0x20) | ((b >= 0x09) & (b <= 0x0D)))
     if spec == "alnum":
@@ -114,7 +118,7 @@ def words(data: np.ndarray, offs: np.ndarray, in_word: np.ndarray, fold: np.ndar
     edge |= first
     at = np.flatnonzero(edge)[:-1] if n else np.zeros(0, np.int64)
     nxt = np.append(at[1:], n)
-    keep = w[at] if n else np.zeros(0, bool)
+    keep = w[at] > 0 if n else np.zeros(0, bool)
     start, end = at[keep], nxt[keep]
     doc = np.searchsorted(offs, start, "right") - 1
     return doc, start, end, span_hash(prefix_hash(data), start, end) if n else np.zeros(0, np.uint64)
