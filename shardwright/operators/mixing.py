@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import order_key, uniform
@@ -45,25 +45,34 @@ def normalise(weights: DataFrame, weight_col: str, out: str = "weight") -> DataF
     return weights.withColumn(out, F.col(weight_col).cast("double") / total.cast("double"))
 
 
+def _needed(value: Column, ok: Column, what: str, corpus: str) -> Column:
+    """``value`` where ``ok``, else an error that names the corpus."""
+    fail = F.raise_error(F.concat(F.lit(f"no {what} for corpus "), F.coalesce(F.col(corpus).cast("string"), F.lit("null"))))
+    return F.when(ok, value).otherwise(fail.cast("double"))
+
+
 def interleave(items: DataFrame, corpus: str, position: str, weights: DataFrame, seed,
                weight_col: str = "weight", out: str = "mix_position",
                bucket_width: int | None = None) -> DataFrame:
     """Weighted interleave of corpora. ``items`` has the corpus and the
     0-based ``position`` of the item inside its corpus; ``weights`` one row
-    per corpus. Adds ``arrival`` and the 0-based ``out`` in the mixed stream
-    (ties by corpus, then position)."""
+    per corpus (they need not sum to one). Adds ``arrival`` and the 0-based
+    ``out`` in the mixed stream (ties by corpus, then position). A corpus
+    without a positive weight raises an error."""
     w = weights.select(corpus, F.col(weight_col).cast("double").alias("__w"))
-    x = items.join(w, on=corpus, how="inner")   # one row per corpus: AQE broadcasts it by size
+    total = w.agg(F.sum("__w")).scalar()
+    x = items.join(w, on=corpus, how="left")   # one row per corpus: AQE broadcasts it by size
+    x = x.withColumn("__w", _needed(F.col("__w"), F.col("__w") > 0, "weight", corpus))
     key = F.concat_ws(":", F.col(corpus).cast("string"), F.col(position).cast("string"))
     gap = F.floor(-F.log(uniform(seed, key)) / F.col("__w") * F.lit(float(CLOCK_SCALE))).cast("bigint")
     x = x.withColumn("__gap", gap)
     x = running_sum(x, "__gap", [position], by=[corpus],
                     bucket=bucket_numeric(position, 1 << 16), out="arrival", inclusive=True)
-    # expected arrival of the last item is about N * CLOCK_SCALE; buckets of
-    # ~64k items on average
-    width = bucket_width or (CLOCK_SCALE << 16)
-    return ordinal(x.drop("__gap", "__w"), ["arrival", corpus, position],
-                   bucket=bucket_numeric("arrival", width), out=out)
+    # arrivals come at a rate of the sum of the weights per CLOCK_SCALE:
+    # buckets of ~64k items on average, whatever the weights sum to
+    bucket = bucket_numeric("arrival", bucket_width) if bucket_width else \
+        F.floor(F.col("arrival") * total / F.lit(float(CLOCK_SCALE << 16))).cast("bigint")
+    return ordinal(x.drop("__gap", "__w"), ["arrival", corpus, position], bucket=bucket, out=out)
 
 
 def slots(files: DataFrame, n_slots: int, file_position: str, out: str = "slot") -> DataFrame:
@@ -85,12 +94,11 @@ def skip_allotment(weights: DataFrame, skip: int, weight_col: str = "weight", ou
 
 
 def apply_skip(items: DataFrame, allot: DataFrame, corpus: str, position: str, skip_col: str = "skip") -> DataFrame:
-    """Drop the first ``skip`` items of each corpus."""
-    a = allot.select(corpus, skip_col)
-    return items.join(a, on=corpus, how="inner") \
-        .filter(F.col(position) >= F.col(skip_col)).drop(skip_col)
-
-
+    """Drop the first ``skip`` items of each corpus; a corpus without an
+    allotment raises an error."""
+    a = allot.select(corpus, F.col(skip_col).cast("double").alias("__skip"))
+    x = items.join(a, on=corpus, how="left")
+    return x.filter(F.col(position) >= _needed(F.col("__skip"), F.col("__skip").isNotNull(), "allotment", corpus)).drop("__skip")
 
 __all__: Sequence[str] = ["shuffle_rows", "weights_by_count", "normalise", "interleave", "slots",
                           "repeat_epochs", "skip_allotment", "apply_skip"]

@@ -4,11 +4,14 @@ A window ``sum() over (partition by shard order by pos)`` puts a whole shard
 in one task, and a global one (no ``partition by``) puts everything in one.
 Here the order is cut into buckets (a coarse, monotone function of the order
 key): each (partition, bucket) group gets a local running sum in its own
-window task, the bucket totals form a table whose size is the number of
-buckets, their exclusive running sum gives each bucket's base, and the base
-is joined back. The join is a plain equi-join on (partition, bucket); the
-bucket table is small, so AQE turns it into a broadcast join from its
-measured size at run time, and it stays a shuffle join if it is not small.
+window task, and the bucket totals are written to the shared folder (a small
+table; the input is read once more for it, and the plan that follows holds
+the input once, so chained running sums grow by one step each). Their
+exclusive running sums are taken the same way over groups of ``FAN`` buckets,
+so the table that meets in one task per partition has one row per ``FAN``
+buckets, and are joined back null-safely: null keys and null buckets are
+groups like any other, first in the order. The written size of the totals
+decides between a broadcast and a shuffle join.
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 _B = "__bucket"
 
 
@@ -27,13 +32,22 @@ def bucket_numeric(order: Column | str, width: int) -> Column:
     return F.floor(o / F.lit(width)).cast("bigint")
 
 
+def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, null equal to null; the right keys are dropped."""
+    r = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
+    return left.join(r, cond, how).drop(*[f"__r_{k}" for k in keys])
+
+
 def with_adaptive_bucket(df: DataFrame, order: str, by: Sequence[str], rows_per_bucket: int,
-                         out: str = "__abucket", max_broadcast_rows: int = 1_000_000) -> DataFrame:
+                         out: str = "__abucket") -> DataFrame:
     """Add ``out``, a bucket of a numeric order key whose width is set per
     ``by`` group from the group's (min, max, count), so a group gets about
     ``count / rows_per_bucket`` buckets whether its keys are dense or sparse
     (e.g. hashed ids). The per-group statistics come from the key columns
-    only (one small row per group) and are joined back by equality."""
+    only (one small row per group) and are joined back null-safely."""
     by = list(by)
     o = F.col(order)
     stats = df.groupBy(*by).agg(F.min(o).alias("__lo"), F.max(o).alias("__hi"), F.count("*").alias("__n"))
@@ -41,10 +55,7 @@ def with_adaptive_bucket(df: DataFrame, order: str, by: Sequence[str], rows_per_
     width = F.greatest(F.lit(1), F.ceil((F.col("__hi") - F.col("__lo") + 1) / n_buckets))
     stats = stats.select(*by, "__lo", width.cast("bigint").alias("__w"))
     if by:
-        # one row per group: broadcast it when the counted size allows, so the
-        # big side is not shuffled for this join; otherwise a plain join
-        small = stats.count() <= max_broadcast_rows
-        x = df.join(F.broadcast(stats) if small else stats, on=by)
+        x = _null_safe(df, stats, by)
     else:
         x = df.withColumn("__lo", stats.select("__lo").scalar()).withColumn("__w", stats.select("__w").scalar())
     return x.withColumn(out, F.floor((o - F.col("__lo")) / F.col("__w")).cast("bigint")).drop("__lo", "__w")
@@ -58,6 +69,30 @@ def bucket_hex(order: Column | str, digits: int = 4) -> Column:
 
 
 _AGG = {"sum": F.sum, "min": F.min, "max": F.max}
+FAN = 4096  # buckets per group of the second level
+
+
+def _combine(how: str, before: Column, here: Column) -> Column:
+    """Aggregate of two disjoint runs; null is an empty run."""
+    if how == "min":
+        return F.least(before, here)
+    if how == "max":
+        return F.greatest(before, here)
+    both = F.coalesce(before, F.lit(0)) + F.coalesce(here, F.lit(0))
+    return F.when(before.isNull() & here.isNull(), F.lit(None)).otherwise(both)
+
+
+def _bases(totals: DataFrame, by: Sequence[str], how: str) -> DataFrame:
+    """Exclusive running aggregate ``__base`` of the bucket totals, in two
+    levels: within groups of ``FAN`` buckets, and over the groups."""
+    agg = _AGG[how]
+    t = totals.withColumn("__c", F.floor(F.col(_B) / FAN).cast("bigint"))
+    before = Window.partitionBy(*by, "__c").orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
+    inner = t.withColumn("__in", agg("__tot").over(before)).drop("__tot")
+    groups = t.groupBy(*by, "__c").agg(agg("__tot").alias("__ct"))
+    outer = Window.partitionBy(*by).orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.withColumn("__out", agg("__ct").over(outer)).drop("__ct")
+    return _null_safe(inner, groups, [*by, "__c"]).select(*by, _B, _combine(how, F.col("__out"), F.col("__in")).alias("__base"))
 
 
 def running(df: DataFrame, value: str | Column, how: str, order: Sequence[str], by: Sequence[str] = (),
@@ -81,23 +116,12 @@ def running(df: DataFrame, value: str | Column, how: str, order: Sequence[str],
             raise ValueError("a global running aggregate needs a bucket expression")
         w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, hi)
         return df.withColumn(out, agg("__v").over(w)).drop("__v")
-    # callers materialise expensive inputs (e.g. tokenized text) first: the
-    # totals branch re-reads ``df`` with only the columns it needs
     b = df.withColumn(_B, bucket)
     w = Window.partitionBy(*by, _B).orderBy(*order).rowsBetween(Window.unboundedPreceding, hi)
     local = b.withColumn("__local", agg("__v").over(w))
-    totals = b.groupBy(*by, _B).agg(agg("__v").alias("__tot"))
-    wb = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy(_B) \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select(*by, _B, agg("__tot").over(wb).alias("__base"))
-    res = local.join(bases, on=[*by, _B], how="inner")
-    if how == "sum":
-        comb = F.coalesce(F.col("__base"), F.lit(0)) + F.coalesce(F.col("__local"), F.lit(0))
-        comb = F.when(F.col("__base").isNull() & F.col("__local").isNull(), F.lit(None)).otherwise(comb)
-    elif how == "min":
-        comb = F.least("__base", "__local")
-    else:
-        comb = F.greatest("__base", "__local")
+    totals = materialize(df.sparkSession, b.groupBy(*by, _B).agg(agg("__v").alias("__tot")), "bucket-totals")
+    res = _null_safe(local, _bases(totals, by, how), [*by, _B])
+    comb = _combine(how, F.col("__base"), F.col("__local"))
     res = res.withColumn(out, comb).drop("__local", "__base", "__v")
     return res.withColumnRenamed(_B, bucket_out) if bucket_out else res.drop(_B)
 
@@ -125,5 +149,5 @@ def count_by(df: DataFrame, by: Sequence[str], out: str = "n") -> DataFrame:
     """``df`` with the row count of its ``by`` group joined on (the count
     table has one row per group), or of the whole table as a scalar subquery."""
     if by:
-        return df.join(df.groupBy(*by).agg(F.count("*").alias(out)), on=list(by))
+        return _null_safe(df, df.groupBy(*by).agg(F.count("*").alias(out)), by)
     return df.withColumn(out, df.agg(F.count("*")).scalar())

@@ -16,11 +16,16 @@ def balanced_part(pos: Column | str, total: Column | str, n_parts: int) -> Colum
     (the ``ntile`` rule, without a global window)."""
     p = F.col(pos) if isinstance(pos, str) else pos
     t = F.col(total) if isinstance(total, str) else total
-    k = F.floor(t / n_parts)
-    m = t - k * n_parts
+    m = F.pmod(t, F.lit(n_parts))
+    k = _div(t, F.lit(n_parts))
     head = m * (k + 1)
-    return F.when(p < head, F.floor(p / (k + 1))).otherwise(m + F.floor((p - head) / F.greatest(k, F.lit(1)))) \
-        .cast("int")
+    return F.when(p < head, _div(p, k + 1)).otherwise(m + _div(p - head, F.greatest(k, F.lit(1)))).cast("int")
+
+
+def _div(a: Column, b: Column) -> Column:
+    """Whole quotient of bigints (never through double)."""
+    a, b = a.cast("bigint"), b.cast("bigint")
+    return F.call_function("div", a, b)
 
 
 def reader_shard(rank: int, worker: int, workers: int, dispatch: bool) -> int:
@@ -49,7 +54,7 @@ def resume_position(files: DataFrame, context: int, skip: Column | int, by: Sequ
     ``num_tokens`` and the file ``position`` in reading order; per-reader
     file lists are short, so the window is by reader."""
     s = F.lit(skip) if isinstance(skip, int) else skip
-    x = files.withColumn("samples", F.floor(F.col("num_tokens") / context).cast("bigint"))
+    x = files.withColumn("samples", F.expr(f"num_tokens div {int(context)}"))
     x = running(x, "samples", "sum", [position], by=list(by), out="__cum", inclusive=True)
     x = x.withColumn("__skip", s)
     prev = F.col("__cum") - F.col("samples")
@@ -61,5 +66,5 @@ def resume_position(files: DataFrame, context: int, skip: Column | int, by: Sequ
 def remaining_samples(files: DataFrame, context: int, skip: Column | int, by: Sequence[str] = ("reader",)) -> DataFrame:
     """Samples of each reader's files minus its skip."""
     s = F.lit(skip) if isinstance(skip, int) else skip
-    return files.groupBy(*by).agg(F.sum(F.floor(F.col("num_tokens") / context)).cast("bigint").alias("samples")) \
+    return files.groupBy(*by).agg(F.sum(F.expr(f"num_tokens div {int(context)}")).alias("samples")) \
         .withColumn("remaining", F.col("samples") - s)
