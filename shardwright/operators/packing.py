@@ -79,8 +79,7 @@ def stream_offsets(df: DataFrame, spec: PackSpec, by: list[str], order: str,
 
 def _file_pieces(df: DataFrame, M: int) -> DataFrame:
     """Explode each row into the shard-file pieces it covers."""
-    f = F.explode(F.sequence(F.floor(F.col("start") / M).cast("bigint"),
-                             F.floor((F.col("start") + F.col("n_tokens") - 1) / M).cast("bigint")))
+    f = F.explode(F.expr(f"sequence(start div {M}, (start + n_tokens - 1) div {M})"))
     x = df.filter(F.col("n_tokens") > 0).withColumn("file_no", f)
     lo = F.greatest(F.col("start"), F.col("file_no") * M)
     hi = F.least(F.col("start") + F.col("n_tokens"), (F.col("file_no") + 1) * M)
@@ -113,8 +112,7 @@ def window_pieces(tok: DataFrame, spec: PackSpec, by: list[str], order: str,
     """Pieces of each document inside each training window it overlaps."""
     C, M = spec.context, spec.file_tokens
     p = _file_pieces(stream_offsets(tok, spec, by, order, keep_bucket=keep_bucket), M)
-    wseq = F.sequence(F.floor(F.col("file_offset") / C).cast("bigint"),
-                      F.floor((F.col("file_offset") + F.col("piece_len") - 1) / C).cast("bigint"))
+    wseq = F.expr(f"sequence(file_offset div {C}, (file_offset + piece_len - 1) div {C})")
     x = p.withColumn("win", F.explode(wseq)).filter(F.col("win") < F.lit(M // C))
     lo = F.greatest(F.col("file_offset"), F.col("win") * C)
     hi = F.least(F.col("file_offset") + F.col("piece_len"), (F.col("win") + 1) * C)
@@ -208,7 +206,7 @@ def file_table(stats: DataFrame, prefix: Column | str, shard: str = "shard") ->
 
 def sample_counts(files: DataFrame, context: int, by: list[str] = ()) -> DataFrame:
     """samples = sum over files of ``num_tokens div C``."""
-    s = F.floor(F.col("num_tokens") / context)
+    s = F.expr(f"num_tokens div {int(context)}")
     if by:
         return files.groupBy(*by).agg(F.sum(s).cast("bigint").alias("samples"),
                                       F.sum(s * context).cast("bigint").alias("sample_tokens"))

@@ -135,7 +135,7 @@ def q_sample_counts(spark, sf_dir):
     return packing.sample_counts(stats(spark, sf_dir), SPEC.context, ["source"])
 
 
-@query("pack_windows", sql=f"""
+_WINDOWS_SQL = f"""
 WITH {_DOC_TOKENS},
 wp AS (
   SELECT source, shard, file_no, doc_id, toks, piece_from, file_offset,
@@ -153,8 +153,29 @@ SELECT source, shard, file_no, win, count(*) AS n_pieces,
        arg_min(doc_id, wlo) AS first_doc_id, arg_max(doc_id, wlo) AS last_doc_id,
        md5(string_agg(s, ',' ORDER BY wlo)) AS ids_md5
 FROM pc GROUP BY source, shard, file_no, win
-HAVING sum(len) = {SPEC.context}""")
+HAVING sum(len) = {SPEC.context}"""
+
+
+@query("pack_windows", sql=_WINDOWS_SQL)
 def q_pack_windows(spark, sf_dir):
     w = packing.pack_windows(tokenized(spark, sf_dir), SPEC, BY, "doc_id")
     return w.select(*BY, "file_no", "win", "n_pieces", "first_doc_id", "last_doc_id",
                     F.md5(F.array_join("input_ids", ",")).alias("ids_md5"))
+
+
+@query("write_windows", sql=_WINDOWS_SQL)
+def q_write_windows(spark, sf_dir):
+    """W2 as a written table: the ids go through one shuffle."""
+    from ..session import scratch_path
+    w = packing.write_windows(tokenized(spark, sf_dir), SPEC, BY, "doc_id", scratch_path(spark, "windows"))
+    return w.select(*BY, "file_no", "win", "n_pieces", "first_doc_id", "last_doc_id",
+                    F.md5(F.array_join("input_ids", ",")).alias("ids_md5"))
+
+
+@query("training_samples", sql=f"""
+SELECT source, shard, file_no, win, ids_md5, ids_md5 AS labels_md5, {SPEC.context} AS n_labels FROM ({_WINDOWS_SQL})""")
+def q_training_samples(spark, sf_dir):
+    """F11 + F12: windows as bigint samples with their labels."""
+    w = packing.training_samples(packing.pack_windows(tokenized(spark, sf_dir), SPEC, BY, "doc_id"))
+    return w.select(*BY, "file_no", "win", F.md5(F.array_join("input_ids", ",")).alias("ids_md5"),
+                    F.md5(F.array_join("labels", ",")).alias("labels_md5"), F.size("labels").alias("n_labels"))
