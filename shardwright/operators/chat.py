@@ -6,8 +6,8 @@ Two parametrised forms cover the flat datasets:
 - an *array spec*: one turn per element of an array column, role and
   content taken from the element (or alternating by index).
 Trees (a prompt with nested replies) become one chat per root-to-leaf path
-with a recursive CTE over an edge table. Everything is JVM-side SQL; the
-only shuffle is the one of the recursive join for trees.
+by pointer doubling over an edge table. Everything is JVM-side SQL; only
+trees shuffle.
 """
 
 from __future__ import annotations
@@ -15,11 +15,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.chat import render_train, turn
 from ..functions.hashing import uniform
+from ..session import materialize, scratch_path
 
 CHAT_COLUMNS = ["id", "text", "chat"]
 
@@ -140,33 +141,48 @@ def commit_edit(df: DataFrame, seed=42, id_col="id", default_id=None) -> DataFra
                              Turn("assistant", F.col("new_contents"))], id_col, default_id)
 
 
-def tree_paths(spark, edges: DataFrame, max_depth: int = 100) -> DataFrame:
+def tree_paths(spark, edges: DataFrame) -> DataFrame:
     """One chat per root-to-leaf path with more than one turn, in
     depth-first order; id ``<tree>/<k>`` with k counted over emitted paths.
 
     ``edges``: ``(tree_id, node_id, parent_id, ordinal, role, text)``, roots
-    have a null parent; ``ordinal`` orders siblings. The recursive CTE walks
-    down one level per step; paths carry their ordinal array, whose
-    lexicographic order is the depth-first pre-order."""
-    q = """
-    WITH RECURSIVE walk (tree_id, node_id, ords, chat, depth) AS (
-      SELECT tree_id, node_id, array(ordinal),
-             array(named_struct('role', role, 'content', text)), 1
-      FROM {e} WHERE parent_id IS NULL
-      UNION ALL
-      SELECT c.tree_id, c.node_id, concat(w.ords, array(c.ordinal)),
-             concat(w.chat, array(named_struct('role', c.role, 'content', c.text))), w.depth + 1
-      FROM walk w JOIN {e} c ON c.tree_id = w.tree_id AND c.parent_id = w.node_id
-      WHERE w.depth < {d}
-    )
-    SELECT w.tree_id, w.ords, w.chat FROM walk w
-    LEFT ANTI JOIN {e} c ON c.tree_id = w.tree_id AND c.parent_id = w.node_id
-    WHERE size(w.chat) > 1
-    """
+    have a null parent; ``ordinal`` orders siblings. Any depth and number of
+    nodes: each node's pointer to its ancestor doubles its reach per round,
+    and the leaves collect the ancestors they can reach, so a depth of d
+    takes log2(d) rounds. The rounds carry keys only and are written to the
+    shared folder; the texts join once, at the end. Nodes whose ancestors
+    do not lead to a root are left out; a cycle raises an error."""
     e = edges.select("tree_id", "node_id", "parent_id", "ordinal",
                      F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    paths = spark.sql(q, e=e, d=int(max_depth))
-    from pyspark.sql import Window
+    keys = materialize(spark, e.select("tree_id", "node_id", "parent_id"), "tree-nodes")
+    # pointers to an ancestor that exists, ``reach`` levels up
+    up = keys.filter("parent_id IS NOT NULL").join(
+        keys.select("tree_id", F.col("node_id").alias("parent_id")), ["tree_id", "parent_id"], "left_semi") \
+        .select("tree_id", "node_id", F.col("parent_id").alias("anc"))
+    parents = keys.filter("parent_id IS NOT NULL").select("tree_id", F.col("parent_id").alias("node_id"))
+    leaves = keys.join(parents, ["tree_id", "node_id"], "left_anti").filter("parent_id IS NOT NULL")
+    pairs = leaves.select("tree_id", F.col("node_id").alias("leaf"), F.col("node_id").alias("anc"),
+                          F.lit(0).cast("bigint").alias("dist"))
+    most = max(keys.count(), 1)
+    reach = 1
+    while True:
+        up, pairs = materialize(spark, up, "tree-pointers"), materialize(spark, pairs, "tree-pairs")
+        if up.isEmpty():
+            break
+        if reach > 2 * most:
+            raise ValueError("the reply tree holds a cycle")
+        step = up.select("tree_id", F.col("node_id").alias("anc"), F.col("anc").alias("higher"))
+        far = pairs.join(step, ["tree_id", "anc"]).select("tree_id", "leaf", F.col("higher").alias("anc"),
+                                                          (F.col("dist") + reach).alias("dist"))
+        pairs = pairs.unionByName(far)
+        up = up.join(step, ["tree_id", "anc"]).select("tree_id", "node_id", F.col("higher").alias("anc"))
+        reach *= 2
+    turns = pairs.join(e.withColumnRenamed("node_id", "anc"), ["tree_id", "anc"])
+    paths = turns.groupBy("tree_id", "leaf").agg(
+        F.array_sort(F.collect_list(F.struct((-F.col("dist")).alias("d"), "ordinal", "role", "text"))).alias("p"),
+        F.max_by(F.col("parent_id").isNull(), "dist").alias("rooted")).filter("rooted")
+    paths = paths.select("tree_id", F.transform("p", lambda x: x["ordinal"]).alias("ords"),
+                         F.transform("p", lambda x: turn(x["role"], x["text"])).alias("chat"))
     k = F.row_number().over(Window.partitionBy("tree_id").orderBy("ords")) - 1
     out = paths.withColumn("k", k)
     return out.select(F.concat_ws("/", F.col("tree_id").cast("string"), F.col("k").cast("string")).alias("id"),
@@ -178,33 +194,33 @@ def drop_empty(df: DataFrame, text: str = "text") -> DataFrame:
     return df.filter(F.coalesce(F.length(text), F.lit(0)) > 0)
 
 
-def nested_tree_edges(df: DataFrame, prompt: str = "prompt", tree_id: str = "id",
-                      max_depth: int = 64) -> DataFrame:
+def nested_tree_edges(df: DataFrame, prompt: str = "prompt", tree_id: str = "id") -> DataFrame:
     """Edge table of nested trees ``{role, text, replies: [...]}`` given as
-    JSON text (one tree per row). Each level is parsed with ``from_json``
-    into ``(role, text, replies array<string>)`` and its replies exploded
-    with their position; the loop stops at the first empty level (one
-    small action per level), or at ``max_depth``. Each level is written to
-    the shared folder before the next is derived, so the plan does not
-    grow with depth and no level is recomputed."""
-    from ..session import materialize
+    JSON text (one tree per row), of any depth. Each level is parsed with
+    ``from_json`` into ``(role, text, replies array<string>)`` and its
+    replies exploded with their position, until a level is empty; text that
+    is not JSON fails the job. Each level is written to the shared folder
+    before the next is derived and the levels are read back as one table,
+    so neither plan nor work grows with the levels above."""
     spark = df.sparkSession
     node = "struct<role:string,text:string,replies:array<string>>"
+    strict = {"mode": "FAILFAST"}
     level = df.select(F.col(tree_id).cast("string").alias("tree_id"),
                       F.lit("0").alias("node_id"), F.lit(None).cast("string").alias("parent_id"),
-                      F.lit(0).alias("ordinal"), F.from_json(F.col(prompt), node).alias("n"))
-    out = None
-    for _ in range(max_depth):
-        cur = level.select("tree_id", "node_id", "parent_id", "ordinal",
-                           F.col("n.role").alias("role"), F.col("n.text").alias("text"))
-        out = cur if out is None else out.unionByName(cur)
+                      F.lit(0).alias("ordinal"), F.from_json(F.col(prompt), node, strict).alias("n"))
+    paths = []
+    while True:
+        path = scratch_path(spark, "tree-level")
+        level.write.option("compression", "zstd").parquet(path)
+        paths.append(path)
+        level = spark.read.parquet(path)
         nxt = level.select("tree_id", F.col("node_id").alias("parent_id"),
-                           F.posexplode_outer("n.replies").alias("ordinal", "child")) \
+                           F.posexplode("n.replies").alias("ordinal", "child")) \
             .filter(F.col("child").isNotNull()) \
             .select("tree_id", F.concat_ws(".", "parent_id", F.col("ordinal").cast("string")).alias("node_id"),
-                    "parent_id", "ordinal", F.from_json("child", node).alias("n"))
-        nxt = materialize(spark, nxt, "tree-level")
-        if nxt.isEmpty():
+                    "parent_id", "ordinal", F.from_json("child", node, strict).alias("n"))
+        if level.filter(F.size("n.replies") > 0).isEmpty():
             break
         level = nxt
-    return out
+    return spark.read.parquet(*paths).select("tree_id", "node_id", "parent_id", "ordinal",
+                                             F.col("n.role").alias("role"), F.col("n.text").alias("text"))

@@ -21,20 +21,29 @@ def turns(spark, sf_dir) -> DataFrame:
         .withColumnRenamed("conv_id", "id")
 
 
+def groups(spark, sf_dir, k: int) -> DataFrame:
+    """Each conversation cut into successive groups of ``k`` turns (the last
+    one may be shorter): ``(id = conv_id/group, conv_id, turns)``."""
+    cut = F.transform(F.sequence(F.lit(0), F.expr(f"(size(turns) - 1) div {k}").cast("int")),
+                      lambda i: F.slice("turns", i * k + 1, k))
+    g = turns(spark, sf_dir).select(F.col("id").alias("conv_id"), F.posexplode(cut).alias("g", "turns"))
+    return g.select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("g").cast("string")).alias("id"), "conv_id", "turns")
+
+
 def _t(i):
     return F.get(F.col("turns"), i)["text"]
 
 
 def raw_code_problem(spark, sf_dir):
-    return turns(spark, sf_dir).select("id", _t(0).alias("problem"), _t(1).alias("solution"))
+    return groups(spark, sf_dir, 2).select("id", _t(0).alias("problem"), F.coalesce(_t(1), F.lit("")).alias("solution"))
 
 
 def raw_inst_input_output(spark, sf_dir):
-    three = F.size("turns") >= 3
-    return turns(spark, sf_dir).select(
-        "id", _t(0).alias("instruction"),
-        F.when(three, _t(1)).otherwise(F.lit("")).alias("input"),
-        F.when(three, _t(2)).otherwise(_t(1)).alias("output"))
+    n = F.size("turns")
+    return groups(spark, sf_dir, 3).select(
+        "id", F.when(n >= 2, _t(0)).otherwise(F.lit("")).alias("instruction"),
+        F.when(n >= 3, _t(1)).otherwise(F.lit("")).alias("input"),
+        F.when(n >= 3, _t(2)).when(n == 2, _t(1)).otherwise(_t(0)).alias("output"))
 
 
 def raw_from_value(spark, sf_dir):
@@ -48,12 +57,12 @@ def raw_alternating(spark, sf_dir):
 
 
 def raw_inst_output(spark, sf_dir):
-    return turns(spark, sf_dir).select("id", _t(0).alias("instruction"), _t(1).alias("output"))
+    return groups(spark, sf_dir, 2).select("id", _t(0).alias("instruction"), _t(1).alias("output"))
 
 
 def raw_commit(spark, sf_dir):
-    return turns(spark, sf_dir).select(
-        "id", F.when(F.col("id") % 2 == 0, F.lit("Python")).otherwise(F.lit("Java")).alias("lang"),
+    return groups(spark, sf_dir, 3).select(
+        "id", F.when(F.col("conv_id") % 2 == 0, F.lit("Python")).otherwise(F.lit("Java")).alias("lang"),
         _t(0).alias("old_contents"), _t(1).alias("message"),
         F.get(F.col("turns"), F.size("turns") - 1)["text"].alias("new_contents"))
 
@@ -62,7 +71,7 @@ def tree_edges(spark, sf_dir):
     """Parent of turn t is ``(t - 1) div 2``; turn 0 is the root."""
     c = table(spark, sf_dir, "conversations")
     return c.select(F.col("conv_id").alias("tree_id"), F.col("turn").alias("node_id"),
-                    F.when(F.col("turn") == 0, F.lit(None)).otherwise(F.floor((F.col("turn") - 1) / 2))
+                    F.when(F.col("turn") == 0, F.lit(None)).otherwise(F.expr("(turn - 1) div 2"))
                     .cast("bigint").alias("parent_id"),
                     F.col("turn").alias("ordinal"), "role", "text")
 
@@ -79,12 +88,14 @@ def _render(role, content):
     return f"('<|im_start|>' || {role} || ':' || chr(10) || ' ' || {content} || '<|im_end|>' || chr(10))"
 
 
-_PIVOT = """
+def _groups_sql(k):
+    return f"""
+r AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS rk FROM conversations),
 c AS (
-  SELECT conv_id::VARCHAR AS id, conv_id, count(*) AS n,
-         max(CASE WHEN turn = 0 THEN text END) AS t0, max(CASE WHEN turn = 1 THEN text END) AS t1,
-         max(CASE WHEN turn = 2 THEN text END) AS t2, arg_max(text, turn) AS tl
-  FROM conversations GROUP BY conv_id)"""
+  SELECT conv_id::VARCHAR || '/' || (rk // {k})::VARCHAR AS id, conv_id, count(*) AS n,
+         max(CASE WHEN rk % {k} = 0 THEN text END) AS t0, max(CASE WHEN rk % {k} = 1 THEN text END) AS t1,
+         max(CASE WHEN rk % {k} = 2 THEN text END) AS t2, arg_max(text, rk) AS tl
+  FROM r GROUP BY conv_id, rk // {k})"""
 
 
 def _u(key_sql):
@@ -96,8 +107,9 @@ _ZH_CODE = chat.CODE_PROBLEM_INSTRUCTION["zh"]
 
 
 @query("chat_code_problem", sql=f"""
-WITH {_PIVOT},
-x AS (SELECT id, CASE WHEN {_u('id')} < 0.8::DOUBLE THEN '{_EN_CODE}' ELSE '{_ZH_CODE}' END AS inst, t0, t1 FROM c)
+WITH {_groups_sql(2)},
+x AS (SELECT id, CASE WHEN {_u('id')} < 0.8::DOUBLE THEN '{_EN_CODE}' ELSE '{_ZH_CODE}' END AS inst, t0,
+             coalesce(t1, '') AS t1 FROM c)
 SELECT id, md5({_render("'instruction'", 'inst')} || {_render("'user'", 't0')} || {_render("'assistant'", 't1')}) AS text_md5,
        3::BIGINT AS n_turns, 'instruction,user,assistant' AS roles
 FROM x""")
@@ -106,9 +118,9 @@ def q_chat_code_problem(spark, sf_dir):
 
 
 @query("chat_inst_input_output", sql=f"""
-WITH {_PIVOT},
-x AS (SELECT id, t0 AS instruction, CASE WHEN n >= 3 THEN t1 ELSE '' END AS input,
-             CASE WHEN n >= 3 THEN t2 ELSE t1 END AS output FROM c)
+WITH {_groups_sql(3)},
+x AS (SELECT id, CASE WHEN n >= 2 THEN t0 ELSE '' END AS instruction, CASE WHEN n >= 3 THEN t1 ELSE '' END AS input,
+             CASE WHEN n >= 3 THEN t2 WHEN n = 2 THEN t1 ELSE t0 END AS output FROM c)
 SELECT id,
        md5(CASE WHEN length(instruction) > 0 THEN {_render("'instruction'", 'instruction')} ELSE '' END
            || CASE WHEN length(input) > 0 THEN {_render("'user'", 'input')} ELSE '' END
@@ -141,7 +153,7 @@ def q_chat_alternating(spark, sf_dir):
 
 
 @query("chat_inst_output", sql=f"""
-WITH {_PIVOT}
+WITH {_groups_sql(2)}
 SELECT id, md5({_render("'instruction'", "coalesce(t0, 'None')")} || {_render("'assistant'", "coalesce(t1, 'None')")}) AS text_md5,
        2::BIGINT AS n_turns, 'instruction,assistant' AS roles
 FROM c""")
@@ -154,13 +166,13 @@ _ZH_COMMIT = chat.COMMIT_INSTRUCTION["zh"].split("{lang}")
 
 
 @query("chat_commit_edit", sql=f"""
-WITH {_PIVOT},
+WITH {_groups_sql(3)},
 x AS (SELECT id, CASE WHEN conv_id % 2 = 0 THEN 'Python' ELSE 'Java' END AS lang, t0, t1, tl,
              {_u('id')} < 0.9::DOUBLE AS en FROM c),
 y AS (SELECT id,
         CASE WHEN en THEN '{_EN_COMMIT[0]}' || lang || '{_EN_COMMIT[1]}'
              ELSE '{_ZH_COMMIT[0]}' || lang || '{_ZH_COMMIT[1]}' END AS inst,
-        t0 || chr(10) || chr(10) || CASE WHEN en THEN 'Modification requirements: ' ELSE '修改要求：' END || t1 AS usr,
+        t0 || chr(10) || chr(10) || CASE WHEN en THEN 'Modification requirements: ' ELSE '修改要求：' END || coalesce(t1, 'None') AS usr,
         tl FROM x)
 SELECT id, md5({_render("'instruction'", 'inst')} || {_render("'user'", 'usr')} || {_render("'assistant'", 'tl')}) AS text_md5,
        3::BIGINT AS n_turns, 'instruction,user,assistant' AS roles

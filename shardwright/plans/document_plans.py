@@ -134,12 +134,12 @@ def q_filter_hook(spark, sf_dir):
 
 
 @query("chat_drop_empty", sql="""
-SELECT conv_id::VARCHAR AS id, md5(max(CASE WHEN turn = 0 AND role = 'system' THEN text END)) AS text_md5
-FROM conversations GROUP BY conv_id
-HAVING length(coalesce(max(CASE WHEN turn = 0 AND role = 'system' THEN text END), '')) > 0""")
+SELECT conv_id::VARCHAR || '/' || turn::VARCHAR AS id,
+       md5(CASE WHEN role = 'assistant' THEN '' ELSE text END) AS text_md5
+FROM conversations WHERE role <> 'assistant' AND length(text) > 0""")
 def q_chat_drop_empty(spark, sf_dir):
-    t = turns(spark, sf_dir)
-    first = F.get(F.col("turns"), 0)
-    d = t.select(F.col("id").cast("string").alias("id"),
-                 F.when(first["role"] == "system", first["text"]).otherwise(F.lit("")).alias("text"))
+    """P12 over every turn; assistant turns stand for empty documents."""
+    c = table(spark, sf_dir, "conversations")
+    d = c.select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"),
+                 F.when(F.col("role") == "assistant", F.lit("")).otherwise(F.col("text")).alias("text"))
     return chat.drop_empty(d).select("id", F.md5("text").alias("text_md5"))
