@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 # token shard file:   <prefix>-UUU-CCCCC.data  (UUU = writer part, CCCCC = file number)
 # chat parquet file:  NNN_<dataset>_NNNNN.parquet
 SHARD_NAME_FORMAT = "%s-%03d-%05d.data"
+CHAT_NAME_FORMAT = "%03d_%s_%05d.parquet"
 SHARD_NAME_RE = r"^(.+)-\d{3}-\d{5}\.data$"
 DATASET_NAME_RE = r"^\d+_(.*?)_\d+\.parquet"
 
@@ -34,7 +35,7 @@ def shard_prefix(path: Column | str, strict: bool = True) -> Column:
     if not strict:
         return F.nullif(p, F.lit(""))
     return F.when(p != "", p).otherwise(
-        F.raise_error(F.concat(F.lit("File path format is incorrect: "), name)))
+        F.raise_error(F.concat(F.lit("not a token-shard file name: "), name)))
 
 
 def dataset_name(path: Column | str) -> Column:

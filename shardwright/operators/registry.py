@@ -94,21 +94,26 @@ class ChatSpec:
     fmt: str                    # 'json' lines, 'json_array' or 'parquet'
     glob: str
     normalise: Callable[..., DataFrame]
+    schema: str          # columns of the raw rows (a missing one reads as null)
     kwargs: dict = field(default_factory=dict)
     tree: bool = False
 
 
-# The nine chat datasets, their formats and patterns.
+_PAIR = "id string, instruction string, output string"
+_TRIPLE = "id string, instruction string, input string, output string"
+
+# The nine chat datasets, their formats, patterns and columns.
 CHAT_DATASETS: dict[str, ChatSpec] = {
-    "Magicoder": ChatSpec("json", "*.jsonl", chat.code_problem),
-    "COIG-CQIA": ChatSpec("json", "*.jsonl", chat.inst_input_output),
-    "SlimOrca": ChatSpec("json", "*.jsonl", chat.from_value),
-    "ultrachat": ChatSpec("json", "*.jsonl", chat.alternating),
-    "Evol-Instruct-Code-80k-v1": ChatSpec("json_array", "*.json", chat.inst_output),
-    "commitpackft": ChatSpec("json", "*.jsonl", chat.commit_edit),
-    "openhermes": ChatSpec("json_array", "*.json", chat.inst_input_output),
-    "oasst2": ChatSpec("json", "*.jsonl", chat.tree_paths, tree=True),
-    "MathInstruct": ChatSpec("json_array", "*.json", chat.inst_output),
+    "Magicoder": ChatSpec("json", "*.jsonl", chat.code_problem, "id string, problem string, solution string"),
+    "COIG-CQIA": ChatSpec("json", "*.jsonl", chat.inst_input_output, _TRIPLE),
+    "SlimOrca": ChatSpec("json", "*.jsonl", chat.from_value, "id string, conversations array<struct<from:string,value:string>>"),
+    "ultrachat": ChatSpec("json", "*.jsonl", chat.alternating, "id string, data array<string>"),
+    "Evol-Instruct-Code-80k-v1": ChatSpec("json_array", "*.json", chat.inst_output, _PAIR),
+    "commitpackft": ChatSpec("json", "*.jsonl", chat.commit_edit,
+                             "id string, lang string, old_contents string, message string, new_contents string"),
+    "openhermes": ChatSpec("json_array", "*.json", chat.inst_input_output, _TRIPLE),
+    "oasst2": ChatSpec("json", "*.jsonl", chat.tree_paths, "id string, prompt string", tree=True),
+    "MathInstruct": ChatSpec("json_array", "*.json", chat.inst_output, _PAIR),
 }
 
 
@@ -124,21 +129,12 @@ def prepare_chat(spark: SparkSession, name: str, input_path: str, output_path: s
     from ..sources import readers, sinks
     spec = CHAT_DATASETS[name]
     if spec.tree:
-        raw = readers.read_jsonl_positions(spark, input_path, "id string, prompt string", pattern=spec.glob)
+        raw = readers.read_jsonl_positions(spark, input_path, spec.schema, pattern=spec.glob)
         raw = raw.select(F.coalesce(F.nullif("id", F.lit("")), readers.default_id()).alias("id"), "prompt")
         out = spec.normalise(spark, chat.nested_tree_edges(raw))
     else:
-        schema_text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", spec.glob)
-        if spec.fmt == "json_array":
-            sample = schema_text.option("multiLine", True).json(input_path)
-            raw = readers.read_json_positions(spark, input_path, sample.schema.simpleString(), pattern=spec.glob)
-        else:
-            sample = schema_text.json(input_path)
-            raw = readers.read_jsonl_positions(spark, input_path, sample.schema, pattern=spec.glob)
-        default = readers.default_id("file_path", "id_in_file")
-        id_col = "id" if "id" in raw.columns else None
-        out = spec.normalise(raw, id_col=id_col, default_id=default, **spec.kwargs)
+        read = readers.read_json_positions if spec.fmt == "json_array" else readers.read_jsonl_positions
+        raw = read(spark, input_path, spec.schema, pattern=spec.glob)
+        out = spec.normalise(raw, id_col="id", default_id=readers.default_id("file_path", "id_in_file"), **spec.kwargs)
     out = out.withColumn("dataset_name", F.lit(name))
-    if output_path:
-        sinks.write_chat(out, output_path, max_file_bytes)
-    return out
+    return sinks.write_chat(out, output_path, max_file_bytes) if output_path else out

@@ -12,6 +12,7 @@ import tarfile
 import pandas as pd
 from pyspark.sql import functions as F
 
+from ..functions import names
 from ..operators import splits
 from ..session import scratch_path
 from ..sources import readers, sinks
@@ -166,10 +167,7 @@ def q_scan_glob(spark, sf_dir):
     d.repartition("lang").write.partitionBy("lang").parquet(f"{root}/parquet")
     out = None
     for fmt in ("jsonl", "parquet", "text"):
-        try:
-            n = readers.list_files(spark, root, readers.glob_filter(fmt)).agg(F.count("*").alias("n_files"))
-        except Exception:  # noqa: BLE001 - no matching file at all
-            n = spark.createDataFrame([(0,)], "n_files long")
+        n = readers.list_files(spark, root, readers.glob_filter(fmt)).agg(F.count("*").alias("n_files"))
         s = n.select(F.lit(fmt).alias("handler"), "n_files")
         out = s if out is None else out.unionByName(s)
     return out
@@ -191,15 +189,20 @@ def q_load_split(spark, sf_dir):
 
 
 @query("chat_write", sql="""
-SELECT conv_id::VARCHAR AS id, 'SlimOrca' AS dataset_name, count(*) AS n_turns FROM conversations GROUP BY conv_id""")
+SELECT conv_id::VARCHAR AS id, CASE WHEN conv_id % 2 = 0 THEN 'SlimOrca' ELSE 'ultra_chat' END AS dataset_name,
+       md5(string_agg('<|im_start|>' || role || ':' || chr(10) || ' ' || text || '<|im_end|>' || chr(10), '' ORDER BY turn)) AS text_md5,
+       md5(string_agg(role || '=' || text, '|' ORDER BY turn)) AS chat_md5, count(*) AS n_turns
+FROM conversations GROUP BY conv_id""")
 def q_chat_write(spark, sf_dir):
+    """K2: two datasets written by one sink and read back: texts, chats and
+    the dataset names of the files."""
     from ..operators import chat
-    c = chat.from_value(raw_from_value(spark, sf_dir)).withColumn("dataset_name", F.lit("SlimOrca"))
-    out = scratch_path(spark, "chat")
-    sinks.write_chat(c, out, max_file_bytes=64 * 1024)
-    back = spark.read.parquet(out)
-    return back.select(F.col("id").cast("string").alias("id"), "dataset_name",
-                       F.size("chat").cast("bigint").alias("n_turns"))
+    name = F.when(F.col("id").cast("bigint") % 2 == 0, F.lit("SlimOrca")).otherwise(F.lit("ultra_chat"))
+    c = chat.from_value(raw_from_value(spark, sf_dir)).withColumn("dataset_name", name)
+    back = sinks.write_chat(c, scratch_path(spark, "chat"), max_file_bytes=64 * 1024)
+    turns_text = F.array_join(F.transform("chat", lambda x: F.concat(x["role"], F.lit("="), x["content"])), "|")
+    return back.select(F.col("id").cast("string").alias("id"), "dataset_name", F.md5("text").alias("text_md5"),
+                       F.md5(turns_text).alias("chat_md5"), F.size("chat").cast("bigint").alias("n_turns"))
 
 
 @query("shard_export", sql=f"""
@@ -258,3 +261,66 @@ def q_resume_new_files(spark, sf_dir):
     manifest_path = scratch_path(spark, "manifest")
     sinks.append_manifest(d.filter(F.col("k") < 5), manifest_path)
     return sinks.new_files(d, sinks.read_manifest(spark, manifest_path)).select("path", "sig")
+
+
+@query("pretokenize_resume", sql="""
+SELECT source AS prefix, sum(strlen(text) + 1)::BIGINT AS num_tokens, count(*) AS num_special_tokens
+FROM documents GROUP BY source""")
+def q_pretokenize_resume(spark, sf_dir):
+    """The tokenize job in two waves: half of the files, a failed run whose
+    files are left behind, then all; every document is there once."""
+    from ..operators import packing
+    from ..operators.pretokenize import pretokenize
+    root, out = scratch_path(spark, "raw"), scratch_path(spark, "tokens")
+    d = _docs(spark, sf_dir).select("source", "doc_id", "text")
+    spec = packing.PackSpec(context=2048, file_tokens=50_000, shards=4)
+    prefix = F.regexp_extract("file_path", "source=([^/]+)", 1)
+    for wave in (0, 1):
+        d.filter(F.pmod("doc_id", F.lit(2)) == wave).withColumn("s", F.col("source")).repartition("source") \
+            .write.partitionBy("source").json(f"{root}/wave{wave}")
+        pretokenize(spark, root, "jsonl", out, prefix, spec, schema="doc_id long, text string")
+    heads = sinks.shard_headers(spark, out)
+    return heads.groupBy(names.shard_prefix("path").alias("prefix")).agg(
+        F.sum("num_tokens").cast("bigint").alias("num_tokens"), F.sum("num_special_tokens").cast("bigint").alias("num_special_tokens"))
+
+
+@query("read_hooks", sql="""
+SELECT doc_id, upper(lang) AS lang, md5(text) AS text_md5 FROM documents WHERE n_chars >= 100""")
+def q_read_hooks(spark, sf_dir):
+    """Format dispatch with a row map and a row filter."""
+    root = scratch_path(spark, "hooks")
+    _docs(spark, sf_dir).write.json(root)
+    df = readers.read_format(spark, root, "jsonl", schema="doc_id long, lang string, text string, n_chars long",
+                             fn=lambda x: x.withColumn("lang", F.upper("lang")), where="n_chars >= 100")
+    return df.select("doc_id", "lang", F.md5("text").alias("text_md5"))
+
+
+@query("json_print", sql="""
+SELECT doc_id, '{' || chr(10) || '    "doc_id": ' || doc_id::VARCHAR || ',' || chr(10) || '    "lang": "' || lang || '",' || chr(10)
+       || '    "sizes": [' || chr(10) || '        ' || n_chars::VARCHAR || ',' || chr(10) || '        1' || chr(10) || '    ]' || chr(10) || '}' AS text
+FROM documents""")
+def q_json_print(spark, sf_dir):
+    """JSON text printed again with an indent of four."""
+    d = _docs(spark, sf_dir)
+    raw = F.to_json(F.struct("doc_id", "lang", F.array("n_chars", F.lit(1)).alias("sizes")))
+    return d.select("doc_id", readers.pretty_text(raw).alias("text"))
+
+
+@query("choose_split", sql="""
+WITH f AS (SELECT DISTINCT 'data/' || CASE WHEN doc_id % 3 = 0 THEN 'train' ELSE 'validation' END || '/' || source || '-' || printf('%03d', doc_id % 7)
+                  || '-00000.data' AS file_name, source, doc_id % 3 = 0 AS is_train, doc_id % 7 AS part FROM documents),
+     g AS (SELECT DISTINCT '000_' || source || '_' || printf('%05d', doc_id % 5) || '.parquet' AS file_name, source, doc_id % 5 AS part FROM documents),
+     r AS (SELECT file_name, row_number() OVER (ORDER BY md5('42:' || file_name), file_name) AS rank, count(*) OVER () AS n FROM g)
+SELECT 'folder' AS route, file_name, CASE WHEN is_train THEN 'train' ELSE 'validation' END AS split FROM f
+UNION ALL
+SELECT 'rate', file_name, CASE WHEN rank <= least(n - 1, floor(n * (1 - 0.1::DOUBLE))) THEN 'train' ELSE 'validation' END FROM r""")
+def q_choose_split(spark, sf_dir):
+    """T5: two of the split routes over file names of the corpus."""
+    d = _docs(spark, sf_dir)
+    part = lambda k: (F.col("doc_id") % k).cast("int")
+    side = F.when(F.col("doc_id") % 3 == 0, F.lit("train")).otherwise(F.lit("validation"))
+    f = d.select(F.concat_ws("/", F.lit("data"), side, F.format_string("%s-%03d-00000.data", "source", part(7))).alias("file_name")).distinct()
+    g = d.select(F.format_string("000_%s_%05d.parquet", "source", part(5)).alias("file_name")).distinct()
+    a = splits.choose_split(f, 42, folder_split=True).select(F.lit("folder").alias("route"), "file_name", "split")
+    b = splits.choose_split(g, 42, validation_rate=0.1).select(F.lit("rate").alias("route"), "file_name", "split")
+    return a.unionByName(b)

@@ -8,7 +8,6 @@ UDF, one archive or one batch per call.
 
 from __future__ import annotations
 
-import io
 import json
 import tarfile
 from collections.abc import Callable, Sequence
@@ -19,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.ordering import ordinal
+from .storage import open_input
 
 # File patterns of each reader format; a folder is read with
 # the union of its format's patterns.
@@ -31,10 +31,14 @@ PATTERN_MAP = {
 }
 
 
+# JSON Lines files that are not archives
+PLAIN_JSONL = "{*.jsonl,*json,*.json.gz,*.jsonl.gz}"
+
+
 def glob_filter(fmt: str) -> str:
     """One brace glob for a format; an unknown format raises."""
     if fmt not in PATTERN_MAP:
-        raise ValueError(f"Handler {fmt} not supported")
+        raise ValueError(f"unknown corpus format {fmt!r}; known: {', '.join(sorted(PATTERN_MAP))}")
     pats = PATTERN_MAP[fmt]
     return pats[0] if len(pats) == 1 else "{" + ",".join(pats) + "}"
 
@@ -77,15 +81,19 @@ def read_json_array(spark: SparkSession, root, schema, pattern: str | None = "*.
 
 
 def read_json_positions(spark: SparkSession, root, schema: str, pattern: str | None = "*.json",
-                        pos: str = "id_in_file") -> DataFrame:
+                        pos: str = "id_in_file", skip_bad: bool = False) -> DataFrame:
     """JSON array files with each record's position in its array
-    (``multiLine`` JSON loses it). A file that is not a JSON array gives no
-    rows (quarantined in ``bad_json_files``)."""
+    (``multiLine`` JSON loses it). A file that is not a JSON array, or an
+    item that does not fit ``schema``, fails the job; ``skip_bad`` leaves
+    such files out instead (``bad_json_files`` lists them)."""
     t = _reader(spark, pattern).text(root, wholetext=True).select(
         F.col("_metadata.file_path").alias("file_path"), "value")
-    items = t.select("file_path", F.posexplode(F.from_json("value", "array<string>")).alias(pos, "__item"))
+    parsed = F.from_json("value", "array<string>")
+    if not skip_bad:
+        parsed = F.when(parsed.isNull(), F.raise_error(F.concat(F.lit("not a JSON array: "), "file_path")).cast("array<string>")).otherwise(parsed)
+    items = t.select("file_path", F.posexplode(parsed).alias(pos, "__item"))
     return items.select("file_path", F.col(pos).cast("bigint").alias(pos),
-                        F.from_json("__item", schema).alias("r")).select("file_path", pos, "r.*")
+                        F.from_json("__item", schema, {"mode": "FAILFAST"}).alias("r")).select("file_path", pos, "r.*")
 
 
 def bad_json_files(spark: SparkSession, root, pattern: str | None = "*.json") -> DataFrame:
@@ -109,6 +117,14 @@ def read_jsonl_positions(spark: SparkSession, root, schema, pattern: str | None
         .drop("__block", "__row")
 
 
+def read_parquet_positions(spark: SparkSession, root, pattern: str | None = "*.parquet",
+                           pos: str = "id_in_file") -> DataFrame:
+    """Parquet rows with ``file_path`` and each row's 0-based position,
+    taken from the file's own row index (no shuffle)."""
+    df = _reader(spark, pattern).parquet(root)
+    return df.select("*", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.row_index").alias(pos))
+
+
 def default_id(path: str = "file_path", pos: str = "id_in_file"):
     """``path/position``."""
     return F.concat_ws("/", F.col(path), F.col(pos).cast("string"))
@@ -142,7 +158,7 @@ def _tar_lines(member_suffix: str, as_array: bool, batch_rows: int = 4096):
 
     def lines_of(f):
         if as_array:
-            for x in json.load(io.TextIOWrapper(f, encoding="utf-8")):
+            for x in json.loads(f.read().decode("utf-8")):
                 yield json.dumps(x, ensure_ascii=False)
         else:
             for raw in f:
@@ -155,8 +171,7 @@ def _tar_lines(member_suffix: str, as_array: bool, batch_rows: int = 4096):
         buf = []
         for pdf in batches:
             for path in pdf["path"]:
-                local = path[len("file:"):] if path.startswith("file:") else path
-                with tarfile.open(local, "r:gz") as tar:
+                with open_input(path) as raw, tarfile.open(fileobj=raw, mode="r|gz") as tar:
                     for name, f in members(tar):
                         with f:
                             for i, ln in enumerate(lines_of(f)):
@@ -179,7 +194,8 @@ def read_tar(spark: SparkSession, root, schema: str, member_suffix: str = ".json
     n = max(1, files.count())   # the listing: one row per archive
     lines = files.repartition(n, "path").mapInPandas(
         _tar_lines(member_suffix, as_array), "file_path string, member string, id_in_file long, line string")
-    return lines.select("file_path", "member", "id_in_file", F.from_json("line", schema).alias("r")) \
+    # a line that is not JSON fails the job, as in the plain reader
+    return lines.select("file_path", "member", "id_in_file", F.from_json("line", schema, {"mode": "FAILFAST"}).alias("r")) \
         .select("file_path", "member", "id_in_file", "r.*")
 
 
@@ -256,7 +272,7 @@ def read_format(spark: SparkSession, root, fmt: str, schema=None, fn: Callable[[
     elif fmt == "jsonl":
         if schema is None:
             raise ValueError("jsonl needs a schema")
-        plain = read_jsonl(spark, root, schema, pattern="{*.jsonl,*json,*.json.gz,*.jsonl.gz}")
+        plain = read_jsonl(spark, root, schema, pattern=PLAIN_JSONL)
         tar = read_tar(spark, root, schema if isinstance(schema, str) else schema.simpleString(),
                        member_suffix=".jsonl", pattern="{*.json.tar.gz,*.jsonl.tar.gz}")
         df = plain.unionByName(tar.drop("file_path", "member", "id_in_file"), allowMissingColumns=True)

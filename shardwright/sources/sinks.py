@@ -8,78 +8,93 @@ dtype code (0 = int16, 1 = int32, 2 = int64), then the token array.
 
 from __future__ import annotations
 
-import os
 import struct
 import uuid
+from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names
+from .storage import open_input, open_random, resolve
 
 HEADER_FORMAT = "<4siiii"
 HEADER_SIZE = struct.calcsize(HEADER_FORMAT)   # 20
 MAGIC = b"XLLM"
 VERSION = 1
-DTYPE_CODES = {"i2": 0, "i4": 1, "i8": 2}
-CODE_DTYPES = {v: k for k, v in DTYPE_CODES.items()}
+DTYPES = ("i2", "i4", "i8")  # the code is the place
+DTYPE_CODES = {name: code for code, name in enumerate(DTYPES)}
 INT32_MAX = 2**31 - 1
+READ_TOKENS = 1 << 22  # ids held by one output batch of the importer
 
 
 def write_chat(df: DataFrame, path: str, max_file_bytes: int = 400 * 1024 * 1024,
-               partition: str = "dataset_name") -> None:
-    """``(id, text, chat)`` Parquet per dataset, files rolled at
-    about ``max_file_bytes`` (rows per file from the mean row size)."""
-    avg = df.agg(F.avg(F.octet_length("text") * 2 + F.lit(64))).first()[0] or 1.0
-    rows = max(1, int(max_file_bytes // avg))
-    cols = ["id", "text", "chat"] + ([partition] if partition in df.columns else [])
-    out = df.select(*cols)
-    w = out.repartition(partition) if partition in df.columns else out
-    w = w.write.mode("overwrite").option("maxRecordsPerFile", rows)
-    (w.partitionBy(partition) if partition in df.columns else w).parquet(path)
+               partition: str = "dataset_name") -> DataFrame:
+    """``(id, text, chat)`` Parquet files named
+    ``NNN_<dataset>_NNNNN.parquet`` (the dataset's place in name order, then
+    the file's number), each of about ``max_file_bytes``. Rows stay spread
+    over tasks: AQE's rebalance splits a dataset of any size. Files are
+    written to a staging folder and renamed when all are complete. Returns
+    the written table, ``dataset_name`` read back from the file names."""
+    from .readers import read_parquet
+    spark = df.sparkSession
+    size = F.octet_length("text") * 2 + F.lit(64)
+    rows = F.greatest(F.lit(1), F.floor(F.lit(float(max_file_bytes)) / F.avg(size))).cast("bigint")
+    per_file = df.agg(rows).first()[0] or 1
+    staging = f"{path}/_staging-{uuid.uuid4().hex}"
+    (df.select("id", "text", "chat", F.col(partition).alias("__ds")).hint("rebalance", "__ds")
+       .write.option("maxRecordsPerFile", per_file).partitionBy("__ds").parquet(staging))
+    jvm = spark.sparkContext._jvm
+    base = jvm.org.apache.hadoop.fs.Path(staging)
+    store = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for k, folder in enumerate(sorted((d.getPath() for d in store.listStatus(base) if d.isDirectory()), key=lambda p: p.getName())):
+        name = unquote(folder.getName().partition("=")[2])
+        parts = sorted((f.getPath() for f in store.listStatus(folder) if f.getPath().getName().endswith(".parquet")), key=lambda p: p.getName())
+        for i, f in enumerate(parts):
+            target = jvm.org.apache.hadoop.fs.Path(path, names.CHAT_NAME_FORMAT % (k, name, i))
+            if not store.rename(f, target):
+                raise OSError(f"cannot rename {f} to {target}")
+    store.delete(base, True)
+    back = read_parquet(spark, path, pattern="*.parquet").select("*", F.col("_metadata.file_path").alias("__f"))
+    return back.withColumn(partition, names.dataset_name("__f")).drop("__f")
 
 
 def _write_files(out_dir: str, dtype: str):
     """mapInArrow body: rows sorted by (file_name, file_offset) arrive in
-    Arrow batches; each run of rows of one file is written with one slice
-    of the batch's flat id buffer. The header is written last (seek to 0)
-    from the counts of what was written, so no statistics pass is needed.
-    A file is written under a temporary name and renamed when complete, so
-    a retried task simply rewrites it."""
+    Arrow batches with the file's totals; each run of rows of one file is
+    written with one slice of the batch's flat id buffer, behind a header
+    from the totals. Files are streams, so any store will do; a file gets
+    its name when it is complete, and a retried or speculative attempt
+    writes under a name of its own and replaces it with the same bytes."""
     import pyarrow as pa
     np_dtype = np.dtype(dtype).newbyteorder("<")
     code = DTYPE_CODES[dtype]
 
     def run(batches):
-        st = {"cur": None, "fh": None, "tmp": None, "ntok": 0, "nspec": 0}
+        store, root = resolve(out_dir)
+        st = {"cur": None, "fh": None}
         done = []
 
         def close():
-            fh = st["fh"]
-            if fh is None:
+            if st["fh"] is None:
                 return
-            if st["ntok"] > INT32_MAX:
-                raise ValueError(f"{st['cur']}: {st['ntok']} tokens do not fit the header")
-            fh.seek(0)
-            fh.write(struct.pack(HEADER_FORMAT, MAGIC, VERSION, st["ntok"], st["nspec"], code))
-            fh.close()
-            os.replace(st["tmp"], os.path.join(out_dir, st["cur"]))
+            st["fh"].close()
+            store.move(st["tmp"], f"{root}/{st['cur']}")
             done.append((st["cur"], st["ntok"], st["nspec"]))
             st["fh"] = None
 
-        def open_file(name):
+        def open_file(name, ntok, nspec):
             close()
-            # unique per attempt: a speculative or retried attempt never
-            # shares a temporary file; the rename is atomic and idempotent
-            st.update(cur=name, ntok=0, nspec=0, tmp=os.path.join(out_dir, f".{name}.{uuid.uuid4().hex}.tmp"))
-            st["fh"] = open(st["tmp"], "wb")
-            st["fh"].write(b"\0" * HEADER_SIZE)
+            if ntok > INT32_MAX:
+                raise ValueError(f"{name}: {ntok} tokens do not fit the header")
+            st.update(cur=name, ntok=ntok, nspec=nspec, tmp=f"{root}/.{name}.{uuid.uuid4().hex}.tmp")
+            st["fh"] = store.open_output_stream(st["tmp"], compression=None)
+            st["fh"].write(struct.pack(HEADER_FORMAT, MAGIC, VERSION, ntok, nspec, code))
 
         for batch in batches:
             names_ = batch.column("file_name").to_pylist()
-            spec = batch.column("num_special_tokens").to_numpy(zero_copy_only=False)
             ids = batch.column("ids")
             offs = ids.offsets.to_numpy()
             vals = ids.values.to_numpy(zero_copy_only=False)
@@ -89,11 +104,8 @@ def _write_files(out_dir: str, dtype: str):
                 while j + 1 < n and names_[j + 1] == names_[i]:
                     j += 1
                 if names_[i] != st["cur"]:
-                    open_file(names_[i])
-                part = vals[offs[i]:offs[j + 1]].astype(np_dtype)
-                st["fh"].write(part.tobytes())
-                st["ntok"] += len(part)
-                st["nspec"] += int(spec[i:j + 1].sum())
+                    open_file(names_[i], batch.column("num_tokens")[i].as_py(), batch.column("num_special_tokens")[i].as_py())
+                st["fh"].write(vals[offs[i]:offs[j + 1]].astype(np_dtype).tobytes())
                 i = j + 1
         close()
         if done:
@@ -109,38 +121,45 @@ def export_shards(pieces: DataFrame, out_dir: str, prefix: str = "source", shard
     """K1 / K3: write ``prefix-UUU-CCCCC.data`` files from the shard pieces
     (``pack_shards``). The pieces of a file meet in one task (hash by file
     name; AQE merges small partitions) in offset order and are streamed to
-    disk. Returns ``(file_name, num_tokens, num_special_tokens)``; the
-    export runs when that is evaluated. ``out_dir`` must be shared storage
-    mounted on every executor."""
-    if "://" in out_dir and not out_dir.startswith("file:"):
-        raise ValueError(f"export_shards writes through the file system API: mount {out_dir} on every "
-                         "executor and pass its local path")
-    out_dir = out_dir[len("file:"):] if out_dir.startswith("file:") else out_dir
+    its file. Returns ``(file_name, num_tokens, num_special_tokens)``; the
+    export runs when that is evaluated. ``out_dir`` is any folder or URI that
+    all executors share; a file that is there already is replaced, so a
+    second run into one folder needs other file numbers (``next_file_no``)."""
+    spark = pieces.sparkSession
     p = pieces.select(names.shard_file_name(F.col(prefix), F.col(shard), F.col("file_no")).alias("file_name"),
-                      "file_offset", "num_special_tokens", "ids")
-    p = p.repartition("file_name").sortWithinPartitions("file_name", "file_offset")
-    os.makedirs(out_dir, exist_ok=True)
+                      "file_offset", "piece_len", "num_special_tokens", "ids")
+    whole = Window.partitionBy("file_name")
+    p = p.repartition("file_name").select(
+        "file_name", "file_offset", "ids", F.sum("piece_len").over(whole).cast("bigint").alias("num_tokens"),
+        F.sum("num_special_tokens").over(whole).cast("bigint").alias("num_special_tokens"))
+    p = p.sortWithinPartitions("file_name", "file_offset")
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(out_dir)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(folder)
     return p.mapInArrow(_write_files(out_dir, dtype),
                         "file_name string, num_tokens long, num_special_tokens long")
 
 
+def next_file_no(done: DataFrame, by: str = "prefix", shard: str = "shard") -> DataFrame:
+    """Next free file number per prefix and writer part, from the names of
+    files that are already there: ``(prefix, shard, next_no)``."""
+    base = names.basename("file_name")
+    n = F.regexp_extract(base, r"-(\d{3,})-(\d{5,})\.data$", 2).cast("bigint")
+    u = F.regexp_extract(base, r"-(\d{3,})-(\d{5,})\.data$", 1).cast("bigint")
+    return done.select(names.shard_prefix("file_name").alias(by), u.alias(shard), n.alias("n")) \
+        .groupBy(by, shard).agg((F.max("n") + 1).alias("next_no"))
+
+
 def _read_headers(batches):
     for pdf in batches:
         rows = []
         for path in pdf["path"]:
-            local = path[len("file:"):] if path.startswith("file:") else path
-            with open(local, "rb") as f:
-                data = f.read(HEADER_SIZE)
-            if len(data) != HEADER_SIZE:
-                raise ValueError(f"{path}: invalid header size")
-            magic, version, ntok, nspec, code = struct.unpack(HEADER_FORMAT, data)
-            if magic != MAGIC:
-                raise ValueError(f"{path}: invalid magic number")
-            if version != VERSION:
-                raise ValueError(f"{path}: invalid version")
-            if code not in CODE_DTYPES:
-                raise ValueError(f"{path}: invalid data type")
-            rows.append((path, ntok, nspec, CODE_DTYPES[code]))
+            with open_input(path) as f:
+                raw = f.read(HEADER_SIZE)
+            fields = struct.unpack(HEADER_FORMAT, raw) if len(raw) == HEADER_SIZE else None
+            if fields is None or fields[:2] != (MAGIC, VERSION) or fields[4] not in range(len(DTYPES)):
+                raise ValueError(f"{path} does not start with a token-shard header (found {raw!r})")
+            rows.append((path, fields[2], fields[3], DTYPES[fields[4]]))
         yield pd.DataFrame(rows, columns=["path", "num_tokens", "num_special_tokens", "dtype"])
 
 
@@ -155,23 +174,31 @@ def shard_headers(spark: SparkSession, root: str, pattern: str = "*.data") -> Da
 
 def _read_ranges(batches):
     """mapInArrow body: each ``(path, start, count)`` range is one seek and
-    one read; ids go out as an Arrow list column without pandas objects."""
+    one read; ids go out in batches of bounded size, without pandas objects."""
     import pyarrow as pa
+
+    def out(batch, rows, chunks):
+        offsets = np.zeros(len(chunks) + 1, dtype=np.int32)
+        np.cumsum([len(c) for c in chunks], out=offsets[1:])
+        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(chunks)))
+        return pa.RecordBatch.from_arrays([batch.column("path").take(pa.array(rows)), batch.column("chunk_no").take(pa.array(rows)), ids],
+                                          names=["path", "chunk_no", "ids"])
+
     for batch in batches:
         cols = batch.to_pydict()
-        chunks, lens = [], []
-        for path, dtype, start, count in zip(cols["path"], cols["dtype"], cols["start"], cols["count"]):
-            local = path[len("file:"):] if path.startswith("file:") else path
+        rows, chunks, held = [], [], 0
+        for i, (path, dtype, start, count) in enumerate(zip(cols["path"], cols["dtype"], cols["start"], cols["count"])):
             dt = np.dtype(dtype).newbyteorder("<")
-            arr = np.fromfile(local, dtype=dt, count=int(count), offset=HEADER_SIZE + int(start) * dt.itemsize)
-            chunks.append(arr.astype(np.int32))
-            lens.append(len(arr))
-        offsets = np.zeros(len(lens) + 1, dtype=np.int32)
-        np.cumsum(lens, out=offsets[1:])
-        values = np.concatenate(chunks) if chunks else np.zeros(0, np.int32)
-        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
-        yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("chunk_no"), ids],
-                                         names=["path", "chunk_no", "ids"])
+            with open_random(path) as f:
+                raw = f.read_at(int(count) * dt.itemsize, HEADER_SIZE + int(start) * dt.itemsize)
+            rows.append(i)
+            chunks.append(np.frombuffer(raw, dt).astype(np.int32))
+            held += len(chunks[-1])
+            if held > READ_TOKENS:
+                yield out(batch, rows, chunks)
+                rows, chunks, held = [], [], 0
+        if rows:
+            yield out(batch, rows, chunks)
 
 
 def import_shards(spark: SparkSession, root: str, chunk_tokens: int, pattern: str = "*.data") -> DataFrame:
@@ -202,15 +229,19 @@ def new_files(files: DataFrame, manifest: DataFrame, path: str = "path") -> Data
     return files.withColumn("sig", signature(path)).join(manifest.select("sig"), "sig", "left_anti")
 
 
-def append_manifest(done: DataFrame, manifest_path: str, path: str = "path") -> None:
+def append_manifest(done: DataFrame, manifest_path: str, path: str = "path", batch: str | None = None) -> None:
     """K4: record finished inputs; called after their output is written,
-    so a failure before this point re-processes them (never loses them)."""
+    so a failure before this point re-processes them (never loses them).
+    Each batch has a folder of its own: writing a named ``batch`` again
+    replaces its rows."""
     done.select(signature(path).alias("sig"), F.col(path).alias("path"),
-                F.current_timestamp().alias("committed_at")).write.mode("append").parquet(manifest_path)
+                F.current_timestamp().alias("committed_at")) \
+        .write.mode("overwrite").parquet(f"{manifest_path}/batch={batch or uuid.uuid4().hex}")
 
 
 def read_manifest(spark: SparkSession, manifest_path: str) -> DataFrame:
     from .readers import path_exists
+    schema = "sig string, path string, committed_at timestamp"
     if path_exists(spark, manifest_path):
-        return spark.read.parquet(manifest_path)
-    return spark.createDataFrame([], "sig string, path string, committed_at timestamp")
+        return spark.read.option("recursiveFileLookup", True).schema(schema).parquet(manifest_path)
+    return spark.createDataFrame([], schema)

@@ -45,11 +45,19 @@ def test_bad_header_is_rejected(spark):
     os.makedirs(out)
     with open(os.path.join(out, "x-000-00000.data"), "wb") as f:
         f.write(struct.pack("<4siiii", b"NOPE", 1, 2, 0, 1) + np.arange(2, dtype="<i4").tobytes())
-    with pytest.raises(Exception, match="magic"):
+    with pytest.raises(Exception, match="token-shard header"):
         sinks.shard_headers(spark, out).collect()
 
 
-def test_export_needs_a_mounted_folder(spark):
+def test_export_to_a_uri_and_numbers_after_it(spark):
+    out = "file://" + scratch_path(spark, "t-uri")
     pieces = packing.pack_shards(pp.tokenized(spark, SF_SMALL), pp.SPEC, pp.BY, "doc_id")
-    with pytest.raises(ValueError, match="mount"):
-        sinks.export_shards(pieces, "hdfs://namenode/shards")
+    written = sinks.export_shards(pieces, out)
+    n = written.count()
+    heads = sinks.shard_headers(spark, out)
+    assert heads.count() == n
+    total = sum(len(r["ids"]) for r in sinks.import_shards(spark, out, 1 << 16).collect())
+    assert total == heads.agg(F.sum("num_tokens")).first()[0]
+    nxt = {(r["prefix"], r["shard"]): r["next_no"] for r in sinks.next_file_no(heads.withColumnRenamed("path", "file_name")).collect()}
+    want = {(r["source"], r["shard"]): r["n"] for r in pieces.groupBy("source", "shard").agg((F.max("file_no") + 1).alias("n")).collect()}
+    assert nxt == want
