@@ -170,22 +170,16 @@ def identify(pages: DataFrame, docs: DataFrame, id_col: str = "page_id", url_col
     total = vector(shown.agg(*[F.sum(F.col("post")[k]).alias(f"c{k}") for k in range(size)]).first())
     prior = (total + 1) / (total + 1).sum()
 
-    def given(by: str, classes: int) -> dict:
-        """log P(class | l) for a column of at most ``classes`` values."""
-        rows = {r[by]: np.array(r["n"]) for r in counts(by).collect()}
-        return {v: np.log((x + 0.5) / (total + 0.5 * classes)) for v, x in rows.items()}, np.log(0.5 / (total + 0.5 * classes))
-
-    def literal(table) -> Column:
-        known, other = table
-        out = F.lit([float(v) for v in other])
-        for v, x in known.items():
-            out = F.when(F.col(v[0]) == F.lit(v[1]), F.lit([float(y) for y in x])).otherwise(out)
+    def given(by: str, classes: int) -> Column:
+        """log P(class | l) for a column of at most ``classes`` values. A
+        missing or never seen class says nothing (0 for every language)."""
+        out = F.lit([0.0] * size)
+        for r in counts(by).filter(f"{by} != ''").collect():
+            p = np.log((np.array(r["n"]) + 0.5) / (total + 0.5 * classes))
+            out = F.when(F.col(by) == F.lit(r[by]), F.lit([float(v) for v in p])).otherwise(out)
         return out
 
-    told_given = given("told", size + 2)
-    code_given = given("coded", size + 1)
-    told_col = literal(({("told", v): x for v, x in told_given[0].items()}, told_given[1]))
-    code_col = literal(({("coded", v): x for v, x in code_given[0].items()}, code_given[1]))
+    told_col, code_col = given("told", size + 2), given("coded", size + 1)
     # suffix, domain and host tables grow with the input: joined, not broadcast
     suffix = counts("suffix").filter("suffix IS NOT NULL").select("suffix", F.col("n").alias("ns"))
     host = counts("domain", "host").filter("host IS NOT NULL").select("host", F.col("n").alias("nh"))

@@ -127,9 +127,8 @@ def test_sentences(spark, docs, texts):
         for p in places:
             by_doc[p[:2]].append(p)
         low = min(places, key=lambda p: p[:2])[:2]
-        if len({p[3] for p in by_doc[low]}) > 1:  # one id, several texts: any of them may come first
-            continue
-        first = min(by_doc[low], key=lambda p: p[4])
+        # one id with several texts: any of them may come first (not compared below)
+        first = min(by_doc[low], key=lambda p: p[4]) if len({p[3] for p in by_doc[low]}) == 1 else None
         for p in places:
             if p != first:
                 hit[p[2], p[3]].update(range(p[4], p[4] + k))
