@@ -33,6 +33,7 @@ VOCAB_SIZE = 49152
 BYTE_OFFSET = len(SPECIAL_TOKENS)  # 17
 
 _SPECIAL_RE = re.compile("(" + "|".join(re.escape(s) for s in SPECIAL_TOKENS) + ")")
+_SPECIAL_BYTES_RE = re.compile(_SPECIAL_RE.pattern.encode())
 _SPECIAL_ID = {s: i for i, s in enumerate(SPECIAL_TOKENS)}
 
 
@@ -56,28 +57,27 @@ class ByteTokenizer:
     # a vectorised byte copy: re-running it is cheaper than writing its output
     cheap = True
 
-    def encode_one(self, text: str) -> np.ndarray:
-        out = []
-        for part in _SPECIAL_RE.split(text):
-            if not part:
-                continue
-            sid = _SPECIAL_ID.get(part)
-            if sid is not None:
-                out.append(np.array([sid], dtype=np.int32))
-            else:
-                out.append(np.frombuffer(part.encode("utf-8"), np.uint8).astype(np.int32) + BYTE_OFFSET)
-        return np.concatenate(out) if out else np.zeros(0, np.int32)
-
     def encode_batch(self, texts: pa.Array) -> pa.Array:
-        texts = texts.cast(pa.large_string())
-        if pc.any(pc.match_substring_regex(texts, _SPECIAL_RE.pattern)).as_py():
-            return pa.array([None if t is None else self.encode_one(t) for t in texts.to_pylist()],
-                            type=pa.list_(pa.int32()))
-        offs, data = _utf8_parts(texts)
-        base = offs[0]
-        vals = data[base: offs[-1]].astype(np.int32) + BYTE_OFFSET
-        return pa.ListArray.from_arrays(pa.array((offs - base).astype(np.int32)), pa.array(vals),
-                                        mask=pc.is_null(texts))
+        """All rows at once: bytes + 17, and every special string of the
+        buffer that lies inside one row folded to its id."""
+        offs, data = _utf8_parts(texts.fill_null(""))
+        offs, data = offs - offs[0], data[offs[0]: offs[-1]]
+        if len(data) >= 2**31:
+            raise ValueError("more than 2 GiB of text in one batch: lower spark.sql.execution.arrow.maxRecordsPerBatch")
+        vals = data.astype(np.int32) + BYTE_OFFSET
+        found = [(m.start(), m.end(), _SPECIAL_ID[m[0].decode()]) for m in _SPECIAL_BYTES_RE.finditer(data.tobytes())]
+        if found:
+            start, end, sid = (np.array(x) for x in zip(*found))
+            inside = np.searchsorted(offs, start, "right") == np.searchsorted(offs, end - 1, "right")
+            start, end, sid = start[inside], end[inside], sid[inside]
+            gone = np.zeros(len(data) + 1, np.int64)
+            np.add.at(gone, start + 1, 1)
+            np.add.at(gone, end, -1)
+            keep = np.cumsum(gone)[:-1] == 0
+            vals[start] = sid
+            vals = vals[keep]
+            offs = np.concatenate(([0], np.cumsum(keep)))[offs]
+        return pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(vals), mask=pc.is_null(texts))
 
     def decode_one(self, ids) -> str:
         out, run = [], bytearray()

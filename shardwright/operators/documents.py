@@ -38,9 +38,13 @@ def wrap_metadata(meta: Column) -> Column:
 def merge_metadata(meta: Column, data: Column) -> Column:
     """``meta | data``: keys of ``data`` win; null values of ``data``
     count as absent keys."""
-    d = F.map_filter(data, lambda k, v: v.isNotNull())
-    keep = F.map_filter(meta, lambda k, v: ~F.array_contains(F.map_keys(d), k))
-    return F.map_concat(keep, d)
+    # one-element transforms bind the filtered map and its keys, so each is
+    # computed once a row and not once a key
+    def merged(d):
+        keys = F.array(F.map_keys(d))
+        return F.get(F.transform(keys, lambda ks: F.map_concat(F.map_filter(meta, lambda k, v: ~F.array_contains(ks, k)), d)), 0)
+
+    return F.get(F.transform(F.array(F.map_filter(data, lambda k, v: v.isNotNull())), merged), 0)
 
 
 def data_map(df: DataFrame, cols: Sequence[str]) -> Column:

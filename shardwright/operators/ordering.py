@@ -61,6 +61,15 @@ def with_adaptive_bucket(df: DataFrame, order: str, by: Sequence[str], rows_per_
     return x.withColumn(out, F.floor((o - F.col("__lo")) / F.col("__w")).cast("bigint")).drop("__lo", "__w")
 
 
+def with_range_bucket(df: DataFrame, order: Sequence[str], out: str = "__rbucket", n: int | None = None) -> DataFrame:
+    """Add ``out``, a bucket of an order key of any type: the partition of a
+    range partitioning by it (about equal rows each, null first). Written
+    to the shared folder, so that the buckets are the same at every use."""
+    spark = df.sparkSession
+    n = n or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(spark, df.repartitionByRange(n, *order).withColumn(out, F.spark_partition_id().cast("bigint")), "range-buckets")
+
+
 def bucket_hex(order: Column | str, digits: int = 4) -> Column:
     """Bucket of a hex-string order key (e.g. an MD5 order key): its first
     ``digits`` hex digits, 16**digits buckets."""
@@ -86,7 +95,9 @@ def _bases(totals: DataFrame, by: Sequence[str], how: str) -> DataFrame:
     """Exclusive running aggregate ``__base`` of the bucket totals, in two
     levels: within groups of ``FAN`` buckets, and over the groups."""
     agg = _AGG[how]
-    t = totals.withColumn("__c", F.floor(F.col(_B) / FAN).cast("bigint"))
+    whole = dict(totals.dtypes)[_B] in ("tinyint", "smallint", "int", "bigint")
+    # buckets that are not whole numbers (a few names) form one group
+    t = totals.withColumn("__c", F.floor(F.col(_B) / FAN).cast("bigint") if whole else F.lit(0).cast("bigint"))
     before = Window.partitionBy(*by, "__c").orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     inner = t.withColumn("__in", agg("__tot").over(before)).drop("__tot")
     groups = t.groupBy(*by, "__c").agg(agg("__tot").alias("__ct"))
@@ -120,7 +131,10 @@ def running(df: DataFrame, value: str | Column, how: str, order: Sequence[str],
     w = Window.partitionBy(*by, _B).orderBy(*order).rowsBetween(Window.unboundedPreceding, hi)
     local = b.withColumn("__local", agg("__v").over(w))
     totals = materialize(df.sparkSession, b.groupBy(*by, _B).agg(agg("__v").alias("__tot")), "bucket-totals")
-    res = _null_safe(local, _bases(totals, by, how), [*by, _B])
+    # written too: from its known size Spark plans a broadcast up front, and
+    # the rows keep the partitioning of their window
+    bases = materialize(df.sparkSession, _bases(totals, by, how), "bucket-bases")
+    res = _null_safe(local, bases, [*by, _B])
     comb = _combine(how, F.col("__base"), F.col("__local"))
     res = res.withColumn(out, comb).drop("__local", "__base", "__v")
     return res.withColumnRenamed(_B, bucket_out) if bucket_out else res.drop(_B)

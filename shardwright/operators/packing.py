@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names, tokens
-from .ordering import bucket_numeric, running_sum, with_adaptive_bucket
+from .ordering import bucket_numeric, running_sum, with_adaptive_bucket, with_range_bucket
 
 
 @dataclass(frozen=True)
@@ -63,8 +63,12 @@ def stream_offsets(df: DataFrame, spec: PackSpec, by: list[str], order: str,
                    numeric_order: bool = True, keep_bucket: bool = False) -> DataFrame:
     """Add ``start``: the row's first token position in its (``by``) stream
     (and, with ``keep_bucket``, the running-sum bucket as ``stream_bucket``)."""
-    adaptive = numeric_order and not spec.dense_order
-    if adaptive:
+    whole = dict(df.dtypes)[order] in ("tinyint", "smallint", "int", "bigint")
+    adaptive = numeric_order and whole and not spec.dense_order
+    if numeric_order and not whole:  # e.g. string keys: buckets from their ranges
+        df = with_range_bucket(df, [*by, order], out="__ab")
+        bucket, adaptive = F.col("__ab"), True
+    elif adaptive:
         # about ``bucket_rows`` rows per bucket in every stream, whatever the key spacing
         df = with_adaptive_bucket(df, order, by, spec.bucket_rows, out="__ab")
         bucket = F.col("__ab")
@@ -108,8 +112,9 @@ def shard_stats(pieces: DataFrame, by: list[str]) -> DataFrame:
 
 
 def window_pieces(tok: DataFrame, spec: PackSpec, by: list[str], order: str,
-                  keep_bucket: bool = False) -> DataFrame:
-    """Pieces of each document inside each training window it overlaps."""
+                  keep_bucket: bool = False, keep: list[str] = ()) -> DataFrame:
+    """Pieces of each document inside each training window it overlaps;
+    ``keep`` names further columns to carry."""
     C, M = spec.context, spec.file_tokens
     p = _file_pieces(stream_offsets(tok, spec, by, order, keep_bucket=keep_bucket), M)
     wseq = F.expr(f"sequence(file_offset div {C}, (file_offset + piece_len - 1) div {C})")
@@ -117,7 +122,7 @@ def window_pieces(tok: DataFrame, spec: PackSpec, by: list[str], order: str,
     lo = F.greatest(F.col("file_offset"), F.col("win") * C)
     hi = F.least(F.col("file_offset") + F.col("piece_len"), (F.col("win") + 1) * C)
     from_doc = F.col("piece_from") + (lo - F.col("file_offset"))
-    return x.select(*by, *([SB] if keep_bucket else []), "file_no", "win", order,
+    return x.select(*by, *([SB] if keep_bucket else []), "file_no", "win", order, *keep,
                     (lo - F.col("win") * C).cast("int").alias("win_offset"),
                     from_doc.alias("doc_from"), (hi - lo).cast("int").alias("len"),
                     F.slice("ids", from_doc.cast("int") + 1, (hi - lo).cast("int")).alias("ids"))

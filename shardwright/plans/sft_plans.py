@@ -131,14 +131,12 @@ def q_pack_text(spark, sf_dir):
     x = d.withColumn("__key", order_key(1234, F.col("doc_key")))
     x = ordinal(x, ["__key", "doc_key"], by=["source"], bucket=bucket_hex("__key", 4), out="position")
     t = packing.tokenize(x.select("doc_id", "source", "position", "text"), "text", add_eos=True).drop("text")
-    wp = packing.window_pieces(t, STREAM, ["source"], "position")
+    wp = packing.window_pieces(t, STREAM, ["source"], "position", keep=["doc_id"])
     g = wp.groupBy("source", "win").agg(
         F.array_sort(F.collect_list(F.struct("win_offset", "ids"))).alias("parts"),
         F.sum("len").alias("n"), F.count("*").alias("n_pieces"),
-        F.min_by("position", "win_offset").alias("first_position"))
-    g = g.filter(F.col("n") == C)
-    first = x.select("source", F.col("position").alias("first_position"), F.col("doc_id").alias("first_doc_id"))
-    return g.join(first, ["source", "first_position"]).select(
+        F.min_by("doc_id", "win_offset").alias("first_doc_id")).filter(F.col("n") == C)
+    return g.select(
         "source", "win", "n_pieces", "first_doc_id",
         F.md5(F.array_join(F.flatten(F.transform("parts", lambda s: s["ids"])), ",")).alias("ids_md5"))
 

@@ -83,8 +83,7 @@ def q_scan_limit_skip(spark, sf_dir):
     out = _write_jsonl_by_source(spark, sf_dir)
     df = readers.read_jsonl_positions(spark, out, "doc_id long", pattern="*.json.gz")
     df = df.withColumn("source", F.regexp_extract("file_path", "source=([^/]+)", 1))
-    return readers.skip_limit(df, ["source", "id_in_file"], skip=5, limit=100, bucket=F.col("source")) \
-        .select("doc_id")
+    return readers.skip_limit_by_file(df, "source", skip=5, limit=100).select("doc_id")
 
 
 def _write_json_arrays(spark, sf_dir):

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.ordering import ordinal
+from ..operators.ordering import ordinal, running_sum, with_range_bucket
 from .storage import open_input
 
 # File patterns of each reader format; a folder is read with
@@ -134,11 +134,24 @@ def skip_limit(df: DataFrame, order: Sequence[str], skip: int = 0, limit: int =
                bucket=None) -> DataFrame:
     """Rows ``skip .. skip + limit`` of the reader's order, by a
     distributed ordinal (no single-partition sort of the remainder)."""
-    o = ordinal(df, list(order), bucket=bucket, out="__ord")
+    return _slice(ordinal(df, list(order), bucket=bucket, out="__ord"), skip, limit)
+
+
+def skip_limit_by_file(df: DataFrame, file: str, pos: str = "id_in_file", skip: int = 0, limit: int = -1) -> DataFrame:
+    """S12 / L1 for rows that know their position in their file: rows
+    ``skip .. skip + limit`` in (``file``, ``pos``) order. Only the row
+    counts per file are ordered; the rows are filtered where they are."""
+    counts = with_range_bucket(df.groupBy(file).agg(F.count("*").alias("__n")), [file])
+    base = running_sum(counts, "__n", [file], bucket=F.col("__rbucket"), out="__start").select(F.col(file).alias("__file"), "__start")
+    x = df.join(base, F.col(file).eqNullSafe(F.col("__file"))).withColumn("__ord", F.col("__start") + F.col(pos))
+    return _slice(x, skip, limit).drop("__start", "__file")
+
+
+def _slice(df: DataFrame, skip: int, limit: int) -> DataFrame:
     cond = F.col("__ord") >= skip
     if limit >= 0:
         cond = cond & (F.col("__ord") < skip + limit)
-    return o.filter(cond).drop("__ord")
+    return df.filter(cond).drop("__ord")
 
 
 # --- tar.gz archives ---------------------------------------------------------

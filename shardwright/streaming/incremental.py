@@ -76,27 +76,19 @@ def _pack_state(context: int, order: str):
         if not frames:
             return
         pdf = pd.concat(frames, ignore_index=True).sort_values(order)
-        out_win, out_first, out_ids = [], [], []
-        buf = np.asarray(carry, dtype=np.int32)
-        owners = np.full(len(buf), carry_first, dtype=np.int64)
-        parts, own = [buf], [owners]
-        for doc, ids in zip(pdf[order], pdf["ids"]):
-            a = np.asarray(ids, dtype=np.int32)
-            parts.append(a)
-            own.append(np.full(len(a), doc, dtype=np.int64))
-        allids = np.concatenate(parts)
-        allown = np.concatenate(own)
-        n_full = len(allids) // context
-        for k in range(n_full):
-            out_win.append(win)
-            out_first.append(int(allown[k * context]))
-            out_ids.append(allids[k * context:(k + 1) * context])
-            win += 1
-        rest = allids[n_full * context:]
-        rest_first = int(allown[n_full * context]) if len(rest) else -1
-        state.update((rest.tolist(), rest_first, win))
-        if out_win:
-            yield pd.DataFrame({"shard": key[0], "win": out_win, f"first_{order}": out_first, "input_ids": out_ids})
+        parts = [np.asarray(carry, np.int32)] + [np.asarray(a, np.int32) for a in pdf["ids"]]
+        owners = np.concatenate(([carry_first], pdf[order].to_numpy(np.int64)))
+        starts = np.cumsum([0] + [len(a) for a in parts[:-1]])
+        ids = np.concatenate(parts)
+        n_full = len(ids) // context
+        cut = n_full * context
+        # the document that a window starts in: the last one that starts at or before it
+        at = np.searchsorted(starts, np.arange(0, len(ids) + 1, context), "right") - 1
+        rest_first = int(owners[at[n_full]]) if cut < len(ids) else -1
+        state.update((ids[cut:].tolist(), rest_first, win + n_full))
+        if n_full:
+            yield pd.DataFrame({"shard": key[0], "win": np.arange(win, win + n_full), f"first_{order}": owners[at[:n_full]],
+                                "input_ids": list(ids[:cut].reshape(n_full, context))})
     return fn
 
 
@@ -122,17 +114,15 @@ def _plateau_state(limit: int, order: list[str], loss: str, event: str):
         if not frames:
             return
         pdf = pd.concat(frames, ignore_index=True).sort_values(order)
-        rows = []
-        for ev, val in zip(pdf[event], pdf[loss]):
-            improved = bool(val < best)
-            if improved:
-                best, last = float(val), step
-            bad = step - last
-            rows.append((key[0], int(ev), step, best, improved, bad, bad >= limit))
-            step += 1
-        state.update((step, best, last))
-        if rows:
-            yield pd.DataFrame(rows, columns=["run", event, "step", "best", "improved", "bad", "alert"])
+        val = pdf[loss].to_numpy(float)
+        running = np.fmin.accumulate(np.concatenate(([best], val)))  # a missing loss is no improvement
+        improved = val < running[:-1]
+        steps = np.arange(step, step + len(val))
+        lasts = np.maximum.accumulate(np.concatenate(([last], np.where(improved, steps, -1))))[1:]
+        bad = steps - lasts
+        state.update((int(step + len(val)), float(running[-1]), int(lasts[-1])))
+        yield pd.DataFrame({"run": key[0], event: pdf[event].to_numpy(np.int64), "step": steps, "best": running[1:],
+                            "improved": improved, "bad": bad.astype(np.int32), "alert": bad >= limit})
     return fn
 
 
