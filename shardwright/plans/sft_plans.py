@@ -5,8 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import chat, packing, splits
-from ..operators.ordering import bucket_hex, ordinal
+from ..operators import chat, mixing, packing, splits
+from ..operators.ordering import bucket_hex, count_by, ordinal
 from ..functions.hashing import order_key
 from .chat_plans import raw_from_value
 from .registry import query
@@ -106,13 +106,16 @@ def q_sft_truncate(spark, sf_dir):
                     (F.col("n_tokens") > C).alias("truncated"))
 
 
-@query("pack_text", sql=f"""
-WITH d AS (
+def _text_windows_sql(epochs: int) -> str:
+    return f"""
+WITH b AS (
   SELECT doc_id, source, strlen(text) + 1 AS n,
          list_concat(list_transform(regexp_extract_all(hex(encode(text)), '..'),
                                     lambda x: ('0x' || x)::INTEGER + 17), [0]) AS toks,
-         row_number() OVER (PARTITION BY source ORDER BY md5('1234:' || doc_id::VARCHAR), doc_id::VARCHAR) - 1 AS position
+         row_number() OVER (PARTITION BY source ORDER BY md5('1234:' || doc_id::VARCHAR), doc_id::VARCHAR) - 1 AS rk,
+         count(*) OVER (PARTITION BY source) AS n_docs
   FROM documents),
+d AS (SELECT doc_id, source, n, toks, e * n_docs + rk AS position FROM b, (SELECT unnest(range({epochs})) AS e)),
 o AS (SELECT *, (sum(n) OVER (PARTITION BY source ORDER BY position
                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n)::BIGINT AS start FROM d),
 w AS (SELECT *, unnest(generate_series(start // {C}, (start + n - 1) // {C})) AS win FROM o),
@@ -122,14 +125,20 @@ pc AS (SELECT source, win, doc_id, lo, hi - lo AS len,
               array_to_string(list_slice(toks, lo - start + 1, hi - start), ',') AS s FROM p)
 SELECT source, win, count(*) AS n_pieces, arg_min(doc_id, lo) AS first_doc_id,
        md5(string_agg(s, ',' ORDER BY lo)) AS ids_md5
-FROM pc GROUP BY source, win HAVING sum(len) = {C}""")
-def q_pack_text(spark, sf_dir):
-    """Untokenized corpus (per source) in shuffled order, EOS after each
-    document, cut into C-token windows; the tail is dropped."""
+FROM pc GROUP BY source, win HAVING sum(len) = {C}"""
+
+
+def _text_windows(spark, sf_dir, epochs: int):
+    """Documents per source in shuffled order, ``epochs`` times over, EOS
+    after each, cut into C-token windows: the tail of one epoch is the head
+    of the next, the last tail is dropped."""
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     d = d.withColumn("doc_key", F.col("doc_id").cast("string"))
     x = d.withColumn("__key", order_key(1234, F.col("doc_key")))
     x = ordinal(x, ["__key", "doc_key"], by=["source"], bucket=bucket_hex("__key", 4), out="position")
+    if epochs > 1:
+        x = mixing.repeat_epochs(count_by(x, ["source"], "n_docs"), epochs) \
+            .withColumn("position", F.col("epoch") * F.col("n_docs") + F.col("position"))
     t = packing.tokenize(x.select("doc_id", "source", "position", "text"), "text", add_eos=True).drop("text")
     wp = packing.window_pieces(t, STREAM, ["source"], "position", keep=["doc_id"])
     g = wp.groupBy("source", "win").agg(
@@ -140,3 +149,14 @@ def q_pack_text(spark, sf_dir):
         "source", "win", "n_pieces", "first_doc_id",
         F.md5(F.array_join(F.flatten(F.transform("parts", lambda s: s["ids"])), ",")).alias("ids_md5"))
 
+
+@query("pack_text", sql=_text_windows_sql(1))
+def q_pack_text(spark, sf_dir):
+    """Untokenized corpus (per source) as windows."""
+    return _text_windows(spark, sf_dir, 1)
+
+
+@query("pack_text_epochs", sql=_text_windows_sql(2))
+def q_pack_text_epochs(spark, sf_dir):
+    """W3 + R10: the tail is carried into the next epoch."""
+    return _text_windows(spark, sf_dir, 2)
