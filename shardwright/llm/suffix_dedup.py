@@ -5,8 +5,8 @@ removed; strings are judged on the input.
 
 1. Equal texts are folded to one (their texts of at least ``length`` bytes
    are repeated from end to end).
-2. A first pass keeps one anchor per window: the ``length / 2``-byte grams
-   whose hash is smallest in some run of ``length / 2 + 1`` starts. Every
+2. A first pass keeps one anchor per window: the ``3/4 length``-byte grams
+   whose hash is smallest in some run of ``length / 4 + 1`` starts. Every
    ``length``-byte string holds such an anchor, chosen by its content alone,
    so both ends of a repeat hold the same one. Anchors counted once cannot
    be in a repeat.
@@ -41,6 +41,7 @@ from . import sketches, textops
 from .exact_dedup import _fold_copies
 
 SHARD_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20  # texts hashed together when looking for anchors
 _U = np.uint64
 
 
@@ -158,7 +159,7 @@ def _slide(x: np.ndarray, w: int, op) -> np.ndarray:
 
 def anchors(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """``(position, fingerprint)`` of the anchors of a block's texts."""
-    k = length // 2
+    k = 3 * length // 4
     w = length - k + 1
     n = len(data)
     if n < length:
@@ -195,7 +196,7 @@ def _blocks(batch, dup):
     if not len(rows):
         return
     offs, data = textops.utf8(batch.column(2).take(pa.array(rows)))
-    for a, z in textops.blocks(offs):
+    for a, z in textops.blocks(offs, BLOCK_BYTES):
         yield rows[a:z], None, offs[a:z + 1] - offs[a], data[offs[a]:offs[z]]
 
 
@@ -231,7 +232,7 @@ def _shards(texts: DataFrame, dup, repeated, length: int, bins: int, shard_bytes
 def _runs(at, o, length, shard_bytes):
     """Maximal runs of candidate starts ``(row, first, end, text start)``;
     runs are cut at ``shard_bytes``."""
-    k = length // 2
+    k = 3 * length // 4
     doc = np.searchsorted(o, at, "right") - 1
     lo = np.maximum(at - (length - k), o[doc])
     hi = np.minimum(at, o[doc + 1] - length) + 1
@@ -269,7 +270,7 @@ def _one_shard(held, length, bins):
     fp, rep = fp[o], np.where(many[o], 0xFFFFFFFF, rep[o]).astype("<u4")  # no answer wanted for own repeats
     keys = [h[0] for h in held]
     doc_at = np.array([(s, h[1]) for s, h in zip(starts.tolist(), held)], "<i8").tobytes()
-    rows = [("map", shard, shard % bins, None, None, keys, doc_at), ("own", shard, shard % bins, None, own.astype("<u4").tobytes(), None, None)]
+    rows = [("map", shard, shard % bins, None, None, keys, doc_at), ("own", shard, shard % bins, None, _runs_of(own).tobytes(), None, None)]
     cut = np.searchsorted(fp, [(i << 64) // bins for i in range(1, bins)]) if bins > 1 else []
     edges = [0, *np.asarray(cut).tolist(), len(fp)]
     rows += [("run", shard, i, fp[a:z].astype("<u8").tobytes(), rep[a:z].tobytes(), None, None)
@@ -277,6 +278,14 @@ def _one_shard(held, length, bins):
     yield pa.RecordBatch.from_pylist([dict(zip(("kind", "shard", "bin", "fps", "at", "keys", "doc_at"), r)) for r in rows], _schema())
 
 
+def _runs_of(at: np.ndarray) -> np.ndarray:
+    """Sorted positions as ``<u4`` (first, count) pairs of their runs."""
+    if not len(at):
+        return np.zeros(0, "<u4")
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1] + 1))
+    return np.stack((at[first], np.diff(np.append(first, len(at)))), axis=1).astype("<u4")
+
+
 def _schema():
     return pa.schema([("kind", pa.string()), ("shard", pa.int64()), ("bin", pa.int32()), ("fps", pa.binary()), ("at", pa.binary()),
                       ("keys", pa.list_(pa.binary())), ("doc_at", pa.binary())])
@@ -347,7 +356,11 @@ def _spans(found: DataFrame, length: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         maps = [r for r in rows if r["kind"] == "map"]
-        at = [np.frombuffer(r["at"], "<u4") for r in rows if r["kind"] != "map" and r["at"]]
+        at = [np.frombuffer(r["at"], "<u4") for r in rows if r["kind"] == "across"]
+        for r in rows:
+            if r["kind"] == "own" and r["at"]:
+                first, n = np.frombuffer(r["at"], "<u4").reshape(-1, 2).astype(np.int64).T
+                at.append((np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())).astype("<u4"))
         schema = pa.schema([("key", pa.binary()), ("start", pa.int64()), ("end", pa.int64())])
         at = np.unique(np.concatenate(at)).astype(np.int64) if at else np.zeros(0, np.int64)
         if not len(at) or not maps:
@@ -366,7 +379,7 @@ def _spans(found: DataFrame, length: int) -> DataFrame:
 
 # ---- the operator -------------------------------------------------------
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400,
-                 shard_bytes: int = SHARD_BYTES, bitmap_bits: int = 25, with_text: bool = False) -> DataFrame:
+                 shard_bytes: int = SHARD_BYTES, bitmap_bits: int = 26, with_text: bool = False) -> DataFrame:
     """One row per input row: ``id_col, n_bytes, n_removed, n_spans,
     kept_sha256`` (and ``kept`` binary, the bytes left, with ``with_text``).
 
