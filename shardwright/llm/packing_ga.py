@@ -11,7 +11,8 @@ several islands at once, every island a Spark row of its own:
 * crossover takes whole well-filled bins of one parent into the other,
   drops the receiver's bins that hold a piece twice, and puts the displaced
   pieces back by best fit, longest first;
-* mutation empties some of the worst-filled bins in the same way;
+* mutation empties the open bins and some full ones and packs their pieces
+  anew, by best fit or by exact complements, whichever takes fewer bins;
 * after each epoch the elite of every island moves on to the next island of
   its chunk (a shuffle), where it competes with the locals.
 
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import materialize
+from . import textops
 
 END_ID = 2
 SPECIAL = "<|endoftext|>"
@@ -127,6 +129,47 @@ def best_fit(order, sizes, capacity: int, start: Bins | None = None) -> Bins:
     return bins
 
 
+def complement_fit(sizes, capacity: int, rng) -> Bins:
+    """Bins opened by the longest piece left and closed exactly where one or
+    two pieces of the missing length exist, else by the longest that fits."""
+    at: list[list[int]] = [[] for _ in range(capacity + 1)]
+    for i, s in enumerate(sizes):
+        at[s].append(i)
+    have = np.array([len(x) for x in at])
+    out, top = Bins(capacity), capacity
+
+    def take(s):
+        have[s] -= 1
+        return at[s].pop()
+
+    while True:
+        while top and not have[top]:
+            top -= 1
+        if not top:
+            return out
+        items, left = [take(top)], capacity - top
+        while left > 0:
+            if have[left]:
+                items.append(take(left))
+                left = 0
+                break
+            half = (left + 1) // 2
+            a = np.arange(half, left)
+            pair = np.flatnonzero((have[half:left] > 0) & (have[left - a] > 0) & ((2 * a != left) | (have[half:left] > 1)))
+            if len(pair):
+                x = half + int(pair[max(0, len(pair) - 1 - int(rng.integers(3)))])
+                items += [take(x), take(left - x)]
+                left = 0
+                break
+            one = np.flatnonzero(have[1:left + 1])
+            if not len(one):
+                break
+            x = int(one[max(0, len(one) - 1 - int(rng.integers(3)))]) + 1
+            items.append(take(x))
+            left -= x
+        out.add(items, capacity - left)
+
+
 def _cost(bins: Bins) -> tuple:
     """Fewer bins first, then fuller ones (sum of squared fills)."""
     return len(bins.items), -sum((bins.capacity - f) ** 2 for f in bins.free)
@@ -154,15 +197,23 @@ def crossover(giver: Bins, taker: Bins, sizes, rng, capacity: int) -> Bins:
 
 
 def mutate(bins: Bins, sizes, rng, capacity: int) -> Bins:
-    n = len(bins.items)
-    worst = np.argsort(-(np.array(bins.free) + rng.integers(0, capacity // 8 + 1, n)))[:max(1, n // 20)]
-    gone = set(worst.tolist())
+    """Open bins and up to as many full ones are emptied; their pieces are
+    packed anew and the better result is taken."""
+    free = np.array(bins.free)
+    loose, full = np.flatnonzero(free > 0), np.flatnonzero(free == 0)
+    some = rng.choice(full, min(len(full), int(rng.integers(20, 200 + len(loose)))), replace=False) if len(full) else full
+    gone = {*loose.tolist(), *some.tolist()}
+    items = [i for b in gone for i in bins.items[b]]
+    part = [sizes[i] for i in items]
+    noisy = np.argsort(-np.array(part, float) * rng.uniform(0.9, 1.1, len(part)))
+    best = min((best_fit(noisy.tolist(), part, capacity), complement_fit(part, capacity, rng)), key=_cost)
     out = Bins(capacity)
-    for b, items in enumerate(bins.items):
+    for b, own in enumerate(bins.items):
         if b not in gone:
-            out.add(list(items), capacity - bins.free[b])
-    loose = sorted((i for b in gone for i in bins.items[b]), key=lambda i: -sizes[i])
-    return best_fit(loose, sizes, capacity, out)
+            out.add(list(own), capacity - bins.free[b])
+    for own, f in zip(best.items, best.free):
+        out.add([items[j] for j in own], capacity - f)
+    return out
 
 
 def to_labels(bins: Bins, n: int) -> np.ndarray:
@@ -188,7 +239,7 @@ def evolve(sizes: list[int], capacity: int, seed: int, guests: list[np.ndarray],
     down = sorted(range(len(sizes)), key=lambda i: -sizes[i])
     people = [from_labels(g, sizes, capacity) for g in guests]
     if not people:
-        people.append(best_fit(down, sizes, capacity))
+        people += [best_fit(down, sizes, capacity), complement_fit(sizes, capacity, rng)]
     arr = np.array(sizes, float)
     while len(people) < population:
         noisy = np.argsort(-arr * rng.uniform(0.8, 1.2, len(arr)))
@@ -199,9 +250,7 @@ def evolve(sizes: list[int], capacity: int, seed: int, guests: list[np.ndarray],
             break
         a, b = rng.permutation(min(len(people), 4))[:2] if len(people) > 1 else (0, 0)
         child = crossover(people[a], people[b], sizes, rng, capacity)
-        if rng.random() < 0.5:
-            child = mutate(child, sizes, rng, capacity)
-        people[-1] = child
+        people[-1] = min(child, mutate(child, sizes, rng, capacity), key=_cost)
         people.sort(key=_cost)
     return [to_labels(p, len(sizes)) for p in people]
 
@@ -222,8 +271,8 @@ def _epoch(state: DataFrame, capacity: int, population: int, generations: int, k
     return state.select("chunk", "island", "uids", "sizes", "elite").mapInArrow(run, schema)
 
 
-def pack_pieces(items: DataFrame, capacity: int, chunk_items: int = 4096, islands: int = 2, epochs: int = 2,
-                population: int = 5, generations: int = 8, elite: int = 2, seed: int = 11) -> DataFrame:
+def pack_pieces(items: DataFrame, capacity: int, chunk_items: int = 1 << 15, islands: int = 2, epochs: int = 2,
+                population: int = 4, generations: int = 10, elite: int = 2, seed: int = 11) -> DataFrame:
     """``(uid, sequence_id, offset)`` for items ``(uid, length)`` of at most
     ``capacity``. One row holds a chunk, whose size does not grow with the
     table."""
@@ -258,6 +307,7 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    textops.bounded_batches(spark)
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     cut = materialize(spark, pieces(base, ranks_path, pattern, capacity), "pieces")
     full = cut.filter(F.col("length") == capacity).withColumn("sequence_id", F.col("uid") * 2).withColumn("offset", F.lit(0).cast("bigint"))
