@@ -1,7 +1,7 @@
 """Operator 2: substring dedup by sliding sentence spans.
 
 A text is cut into sentences; every run of several consecutive sentences is
-hashed (runs of three with ``10`` words at least, runs of two with ``25``).
+hashed (three with 10 words at least, two with 25, a single one with 50).
 Runs are joined over the whole corpus; the first occurrence of a run stays
 and every sentence covered by a later one is removed.
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from . import sketches, textops
 
-RUNS = ((3, 10), (2, 25))  # (sentences, words at least)
+RUNS = ((3, 10), (2, 25), (1, 50))  # (sentences, words at least)
 _U = np.uint64
 
 
@@ -123,6 +123,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     it. Other columns are ignored. An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    textops.bounded_batches(spark)
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
     gone = materialize(spark, find_spans(base, **how), "sentence-gone")
     bitmap = sketches.share(spark, sketches.key_bitmap(gone.select(F.xxhash64("id", "t").alias("h")), "h"))
