@@ -40,8 +40,7 @@ from ..session import materialize
 from . import sketches, textops
 from .exact_dedup import _fold_copies
 
-SHARD_BYTES = 1 << 21
-BLOCK_BYTES = 1 << 20  # texts hashed together when looking for anchors
+SHARD_BYTES = 1 << 19  # small enough for ranks to stay in cache
 _U = np.uint64
 
 
@@ -61,34 +60,34 @@ def suffix_array(text: np.ndarray, words8: np.ndarray | None = None) -> np.ndarr
     doubling, touching only groups of more than one suffix."""
     n = len(text)
     if n == 0:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int32)
     words8 = _words8(text) if words8 is None else words8
-    sa = np.argsort(words8, kind="stable").astype(np.int64)
+    sa = np.argsort(words8).astype(np.int32)
     # a suffix shorter than its 8 padded bytes comes before a longer equal one
-    tail = words8[max(0, n - 8):]
     k = words8[sa]
-    if n > 1 and np.isin(tail, k[1:][k[1:] == k[:-1]]).any():
-        sa = np.lexsort((np.minimum(n - np.arange(n), 8), words8)).astype(np.int64)
-        k = words8[sa]
-        new = np.append(True, (k[1:] != k[:-1]) | (np.minimum(n - sa[1:], 8) != np.minimum(n - sa[:-1], 8)))
-    else:
-        new = np.append(True, k[1:] != k[:-1])
-    slot = np.arange(n)
-    head = np.maximum.accumulate(np.where(new, slot, 0))
-    rank = np.empty(n + 1, np.int64)
+    tail = words8[max(0, n - 8):]
+    left = np.minimum(n - sa, 8) if (np.searchsorted(k, tail, "right") - np.searchsorted(k, tail) > 1).any() else None
+    if left is not None:
+        o = np.lexsort((left, k))
+        sa, k, left = sa[o], k[o], left[o]
+    new = np.append(True, k[1:] != k[:-1])
+    if left is not None:
+        new[1:] |= left[1:] != left[:-1]
+    head = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), 0))
+    rank = np.empty(n + 1, np.int32)
     rank[n] = -1
     rank[sa] = head
-    size = np.bincount(head, minlength=n)
-    active = np.flatnonzero(size[head] > 1)
+    last = np.append(new[1:], True)
+    active = np.flatnonzero(~(new & last)).astype(np.int32)
     h = 8
     while len(active):
         pos = sa[active]
-        key = rank[pos] * (n + 1) + rank[np.minimum(pos + h, n)] + 1
-        o = np.argsort(key, kind="stable")
+        key = rank[pos].astype(np.int64) * (n + 1) + rank[np.minimum(pos + h, n)] + 1
+        o = np.argsort(key)
         key, pos = key[o], pos[o]
         sa[active] = pos
         first = np.append(True, key[1:] != key[:-1])
-        start = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
+        start = np.maximum.accumulate(np.where(first, np.arange(len(key), dtype=np.int32), 0))
         rank[pos] = active[start]
         last = np.append(first[1:], True)
         active = active[~(first & last)]
@@ -96,7 +95,7 @@ def suffix_array(text: np.ndarray, words8: np.ndarray | None = None) -> np.ndarr
     return sa
 
 
-def kasai(text: np.ndarray, sa: np.ndarray, cap: int, words8: np.ndarray | None = None, stride: int = 64) -> np.ndarray:
+def kasai(text: np.ndarray, sa: np.ndarray, cap: int, words8: np.ndarray | None = None, stride: int = 16) -> np.ndarray:
     """``lcp[j]``: common prefix of suffixes ``sa[j-1]`` and ``sa[j]``, up to
     ``cap``. By Kasai's rule a suffix keeps all but one byte of its left
     neighbour's common prefix; every ``stride``-th text position advances
@@ -106,7 +105,7 @@ def kasai(text: np.ndarray, sa: np.ndarray, cap: int, words8: np.ndarray | None
     if n < 2:
         return lcp
     words8 = _words8(text) if words8 is None else words8
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[sa[1:]] = sa[:-1]
     plcp = np.zeros(n, np.int64)
     for t in range(min(stride, n)):
@@ -129,9 +128,10 @@ def kasai(text: np.ndarray, sa: np.ndarray, cap: int, words8: np.ndarray | None
 
 def _equal_bytes(x: np.ndarray) -> np.ndarray:
     """Leading equal bytes of two words from their xor."""
-    out = np.zeros(len(x), np.int64)
-    for k in range(1, 9):
-        out += (x >> _U(64 - 8 * k)) == 0
+    out = np.full(len(x), 8, np.int64)
+    differ = np.flatnonzero(x)
+    y = x[differ]
+    out[differ] = sum((y >> _U(64 - 8 * k) == 0).astype(np.int64) for k in range(1, 8))
     return out
 
 
@@ -146,19 +146,23 @@ def repeat_classes(text: np.ndarray, valid: np.ndarray, length: int) -> tuple[np
 
 
 # ---- anchors ------------------------------------------------------------
-def _slide(x: np.ndarray, w: int, op) -> np.ndarray:
-    """``op`` over each run of ``w`` values: ``len(x) - w + 1`` results."""
+def _slide_min(x: np.ndarray, w: int) -> np.ndarray:
+    """Smallest of each run of ``w`` values: ``len(x) - w + 1`` results."""
     n = len(x)
-    pad = (-n) % w
-    fill = np.iinfo(np.uint64).max if op is np.minimum else 0
-    y = np.concatenate((x, np.full(pad, fill, np.uint64))).reshape(-1, w)
-    left = op.accumulate(y, axis=1).ravel()
-    right = op.accumulate(y[:, ::-1], axis=1)[:, ::-1].ravel()
-    return op(right[:n - w + 1], left[w - 1:n])
+    y = np.concatenate((x, np.full((-n) % w, np.iinfo(np.uint64).max, np.uint64))).reshape(-1, w)
+    left = np.minimum.accumulate(y, axis=1).ravel()
+    right = np.minimum.accumulate(y[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(right[:n - w + 1], left[w - 1:n])
+
+
+_PLACE = _U((1 << 31) - 1)
 
 
 def anchors(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """``(position, fingerprint)`` of the anchors of a block's texts."""
+    """``(position, fingerprint)`` of the anchors of a block's texts: the
+    gram with the smallest hash in each run, the first of equal ones. The
+    hash's top 33 bits and the position are one number, so the smallest
+    number names its position."""
     k = 3 * length // 4
     w = length - k + 1
     n = len(data)
@@ -166,13 +170,16 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     prefix = textops.prefix_hash(data)
     _, inverse = textops._powers(n)
-    gram = textops.mix((prefix[k:] - prefix[:-k]) * inverse[:n - k + 1])
-    left = np.repeat(offs[1:], np.diff(offs)) - np.arange(n)  # bytes to the text's end
-    low = _slide(gram, w, np.minimum)
-    low[left[:len(low)] < length] = 0
-    edge = np.zeros(w - 1, np.uint64)
-    high = _slide(np.concatenate((edge, low, edge)), w, np.maximum)
-    at = np.flatnonzero((high == gram) & (left[:len(gram)] >= k))
+    gram = (prefix[k:] - prefix[:-k]) * inverse[:n - k + 1]
+    order = (gram ^ (gram >> _U(29))) * _U(0xBF58476D1CE4E5B9)
+    low = _slide_min((order & ~_PLACE) | np.arange(n - k + 1, dtype=np.uint64), w)
+    inside = np.zeros(n + 1, np.int8)  # starts of whole strings
+    first, last = offs[:-1], offs[1:] - length + 1
+    some = last > first
+    inside[first[some]] = 1
+    inside[last[some]] -= 1
+    at = (low[np.cumsum(inside, dtype=np.int8)[:len(low)].astype(bool)] & _PLACE).astype(np.int64)
+    at = at[np.append(True, at[1:] != at[:-1])] if len(at) else at
     return at, textops.mix(gram[at] ^ _U(0xA0761D6478BD642F))
 
 
@@ -196,7 +203,7 @@ def _blocks(batch, dup):
     if not len(rows):
         return
     offs, data = textops.utf8(batch.column(2).take(pa.array(rows)))
-    for a, z in textops.blocks(offs, BLOCK_BYTES):
+    for a, z in textops.blocks(offs):
         yield rows[a:z], None, offs[a:z + 1] - offs[a], data[offs[a]:offs[z]]
 
 
@@ -394,6 +401,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if length < 16 or length % 2:
         raise ValueError("length: an even number of bytes, 16 at least")
     spark = docs.sparkSession
+    textops.bounded_batches(spark)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.col(id_col).alias("id"), text.alias("text"))
     rows = materialize(spark, base.select("id", F.unhex(F.sha2("text", 256)).alias("key"), F.octet_length("text").cast("bigint").alias("n_bytes"),
