@@ -118,7 +118,7 @@ def _seed_counts(base: DataFrame, shared, n: int) -> DataFrame:
         for batch in batches:
             for _, b, _, _, d, _, s in _texts(batch.column(0), items, n):
                 pair = np.unique(d * max(len(items.seed), 1) + s)
-                total += np.bincount(pair % max(len(items.seed), 1), minlength=len(total)) if len(pair) else 0
+                np.add.at(total, pair % max(len(items.seed), 1), 1)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["seed", "df"])
 
@@ -170,6 +170,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     columns are ignored. Empty tables give an empty result.
     """
     spark = docs.sparkSession
+    textops.bounded_batches(spark)
     base = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"))
     bench = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).cast("string").alias("text")).filter("text IS NOT NULL")
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import html_blocks, html_training
+from . import html_blocks, html_training, textops
 
 DIM = 1 << 12
 SLOTS = 28  # features a block can have; further class words are left out
@@ -204,6 +204,7 @@ def extract(pages: DataFrame, model, id_col: str = "page_id", url_col: str = "ur
     an empty result.
     """
     base = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"))
+    textops.bounded_batches(base.sparkSession)
     shared = base.sparkSession.sparkContext.broadcast(model)
     kinds = dict(base.dtypes)
 

@@ -75,9 +75,10 @@ def _counts(base: DataFrame, good) -> DataFrame:
     return base.select("h", "text").mapInArrow(run, schema).repartition(16, "model", "chunk").mapInArrow(merge, schema)
 
 
-def log_ratios(raw: np.ndarray, target: np.ndarray, shrink: float = 3.0, prior: float = 0.5) -> np.ndarray:
-    """Per bucket log(target / raw), zero where the counts do not show it."""
-    expected = raw * (target.sum() / max(raw.sum(), 1))
+def log_ratios(raw: np.ndarray, target: np.ndarray, scale: float, shrink: float = 3.0, prior: float = 0.5) -> np.ndarray:
+    """Per bucket log(target / raw), zero where the counts do not show it;
+    ``scale`` is the target's n-grams over the raw ones."""
+    expected = raw * scale
     ratio = np.log((target + prior) / (expected + prior))
     error = shrink / np.sqrt(expected + prior)
     return (np.sign(ratio) * np.maximum(np.abs(ratio) - error, 0)).astype(np.float32)
@@ -107,13 +108,19 @@ def weigh(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     columns are ignored. An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    textops.bounded_batches(spark)
     base = docs.select(F.xxhash64(id_col).alias("h"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"))
     ids, share = good_sample(labels, id_col, max_labels)
-    total = np.zeros((2, 1 << BITS), np.int64)
+    packed = {(m, c): raw for m, c, raw in _counts(base, spark.sparkContext.broadcast(ids)).collect()}  # 128 rows of a fixed size
     un = zstandard.ZstdDecompressor()
-    for m, c, raw in _counts(base, spark.sparkContext.broadcast(ids)).collect():  # 128 rows of a fixed size
-        total[m, c * _CHUNK:(c + 1) * _CHUNK] = np.frombuffer(un.decompress(raw), np.int64)
-    ratio = spark.sparkContext.broadcast(log_ratios(total[0], total[1]) if total[1].any() else np.zeros(1 << BITS, np.float32))
+    zero = np.zeros(_CHUNK, np.int64)
+    read = lambda m, c: np.frombuffer(un.decompress(packed[m, c]), np.int64) if (m, c) in packed else zero
+    chunks = range((1 << BITS) // _CHUNK)
+    raw_n, target_n = (sum(int(read(m, c).sum()) for c in chunks) for m in (0, 1))
+    table = np.zeros(1 << BITS, np.float32)
+    for c in chunks if target_n else ():  # a chunk at a time: the driver never holds all counts
+        table[c * _CHUNK:(c + 1) * _CHUNK] = log_ratios(read(0, c), read(1, c), target_n / max(raw_n, 1))
+    ratio = spark.sparkContext.broadcast(table)
 
     def run(batches):
         for batch in batches:

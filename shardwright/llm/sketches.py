@@ -11,7 +11,6 @@ right, only the saving is lost.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,9 +69,9 @@ def share(spark, bitmap: np.ndarray):
 
 def maybe_in(bitmap):
     """Column function: may this bigint key be in the shared bitmap?"""
-    @F.pandas_udf("boolean")
-    def maybe(h: pd.Series) -> pd.Series:
-        return pd.Series(in_bitmap(bitmap.value, h.to_numpy()))
+    @F.arrow_udf("boolean")
+    def maybe(h: pa.Array) -> pa.Array:
+        return pa.array(in_bitmap(bitmap.value, h.to_numpy(zero_copy_only=False)))
 
     return maybe
 

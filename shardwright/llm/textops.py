@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19  # numpy's temporaries are about 100 bytes for each
 _U = np.uint64
 _MULT = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_MULT, -1, 1 << 64)
@@ -81,6 +81,14 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offs, data
 
 
+def bounded_batches(spark) -> None:
+    """Arrow batches of at most 8 MB or 2,000 rows, unless the session says
+    otherwise: a batch of long texts is held by the JVM and by Python."""
+    for name, value in (("maxBytesPerBatch", 8 << 20), ("maxRecordsPerBatch", 2000)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}", None) is None:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(value))
+
+
 def blocks(offs: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges ``[a, b)`` of at most ``limit`` bytes (or one row)."""
     a, n = 0, len(offs) - 1

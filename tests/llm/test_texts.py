@@ -183,7 +183,7 @@ def test_kth_largest(spark, k):
 
 
 def test_log_ratios_need_evidence():
-    r = quality.log_ratios(np.array([1000, 1, 0, 1000]), np.array([500, 0, 0, 10]))
+    r = quality.log_ratios(np.array([1000, 1, 0, 1000]), np.array([500, 0, 0, 10]), 0.25)
     assert r[1] == r[2] == 0 and r[3] < -2
 
 
