@@ -45,7 +45,7 @@ from .components import components
 
 SKETCH_BITS = 22
 _CHUNK = 1 << 16
-FRAGMENTS = 8
+FRAGMENTS = 4
 CENTERS = 16  # stars per shared n-gram
 QUICK = 512  # bits of the parity vector in the join condition
 _U = np.uint64
