@@ -1,8 +1,10 @@
 """Operator 4: quality by importance resampling.
 
 Two generative models over hashed n-grams (words and word pairs, 2**22
-buckets): the target model counts labelled good documents, the raw model
-counts every document of the corpus. A document's log importance weight is
+buckets): the target model counts labelled good texts, the raw model counts
+every text of the corpus. Both count a text once, however many copies it
+has: copies need not be labelled like other rows. A document's log importance
+weight is
 the sum of log ratios target / raw over its n-grams; Gumbel noise is added
 and the k largest are kept, which samples k documents without replacement in
 proportion to their weights.
@@ -10,7 +12,8 @@ proportion to their weights.
 A bucket's log ratio is drawn towards 0 by ``shrink`` standard errors of its
 expected target count: buckets seen too rarely say nothing.
 
-Counting and scoring are one pass each; the only shuffles are the tasks'
+Counting and scoring are one pass each; shuffled are text hashes (to find the
+copies), the texts that have copies (folded per task first), the tasks'
 count vectors (compressed, fixed size) and score histograms. The ratios are
 broadcast: 16 MB whatever the corpus. Labels enter as a sample of at most
 ``max_labels`` documents, chosen by hash.
@@ -41,15 +44,42 @@ def features(column: pa.Array):
         yield a, b, np.concatenate((doc, two)), (np.concatenate((h, g)) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def _counts(base: DataFrame, good) -> DataFrame:
-    """``(model, chunk, packed)``: each task's compressed count chunks."""
+def _label_bits(sample):
+    """Column function over hashed ids: 0 without a label, 1 bad, 2 good."""
+    @F.arrow_udf("int")
+    def bits(h: pa.Array) -> pa.Array:
+        ids, good = sample.value
+        if not len(ids):
+            return pa.array(np.zeros(len(h), np.int32))
+        k = h.to_numpy(zero_copy_only=False)
+        at = np.minimum(np.searchsorted(ids, k), len(ids) - 1)
+        return pa.array(np.where(ids[at] == k, 1 + good[at], 0).astype(np.int32))
+
+    return bits
+
+
+def _distinct(base: DataFrame, sample) -> DataFrame:
+    """``(bits, text)``, one row per text: the labels of its rows, OR-ed.
+    Texts that occur once stay where they are."""
+    twice = base.groupBy("t").count().filter("count > 1")
+    maybe = sketches.maybe_in(sketches.share(base.sparkSession, sketches.key_bitmap(twice, "t")))
+    tagged = base.select("t", "text", _label_bits(sample)("h").alias("bits"), maybe("t").alias("maybe"))
+    once = tagged.filter("NOT maybe").select("bits", "text")
+    copied = tagged.filter("maybe").groupBy("t").agg(F.bit_or("bits").alias("bits"), F.first("text").alias("text"))
+    return once.unionByName(copied.select("bits", "text"))
+
+
+def _counts(texts: DataFrame) -> DataFrame:
+    """``(model, chunk, packed)``: each task's compressed count chunks of the
+    raw (0) and the target model (1); model 2 holds the numbers of labelled
+    and of good texts. A text is good if all its labels are."""
     def run(batches):
         total = np.zeros((2, 1 << BITS), np.uint32)
+        labelled = np.zeros(2, np.uint32)
         for batch in batches:
-            h = batch.column(0).to_numpy(zero_copy_only=False)
-            ids = good.value
-            at = np.minimum(np.searchsorted(ids, h), max(len(ids) - 1, 0))
-            is_good = ids[at] == h if len(ids) else np.zeros(len(h), bool)
+            bits = batch.column(0).to_numpy(zero_copy_only=False)
+            is_good = bits == 2
+            labelled += np.array([(bits > 0).sum(), is_good.sum()], np.uint32)
             for a, b, doc, f in features(batch.column(1)):
                 np.add.at(total[0], f, 1)
                 np.add.at(total[1], f[is_good[a:b][doc]], 1)
@@ -59,6 +89,8 @@ def _counts(base: DataFrame, good) -> DataFrame:
                 x = total[model][c * _CHUNK:(c + 1) * _CHUNK]
                 yield pa.RecordBatch.from_arrays([pa.array([model], pa.int32()), pa.array([c], pa.int32()),
                                                   pa.array([pack.compress(x.astype("<u4").tobytes())], pa.binary())], names=["model", "chunk", "packed"])
+        yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([0], pa.int32()),
+                                          pa.array([pack.compress(labelled.astype("<u4").tobytes())], pa.binary())], names=["model", "chunk", "packed"])
 
     def merge(batches):
         held: dict = {}
@@ -72,7 +104,7 @@ def _counts(base: DataFrame, good) -> DataFrame:
                                              names=["model", "chunk", "packed"])
 
     schema = "model int, chunk int, packed binary"
-    return base.select("h", "text").mapInArrow(run, schema).repartition(16, "model", "chunk").mapInArrow(merge, schema)
+    return texts.select("bits", "text").mapInArrow(run, schema).repartition(16, "model", "chunk").mapInArrow(merge, schema)
 
 
 def log_ratios(raw: np.ndarray, target: np.ndarray, scale: float, shrink: float = 3.0, prior: float = 0.5) -> np.ndarray:
@@ -84,23 +116,40 @@ def log_ratios(raw: np.ndarray, target: np.ndarray, scale: float, shrink: float
     return (np.sign(ratio) * np.maximum(np.abs(ratio) - error, 0)).astype(np.float32)
 
 
-def good_sample(labels: DataFrame, id_col: str, max_labels: int) -> tuple[np.ndarray, float | None]:
-    """Hashed ids of the good documents of the label sample, and their share
-    of it. Good: every label of the document says quality 1 and toxic 0
-    (null is not good)."""
+def label_sample(labels: DataFrame, id_col: str, max_labels: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashed ids of the label sample and whether each is good: every
+    label of the document says quality 1 and toxic 0 (null is not good)."""
     good = F.coalesce((F.col("quality") == 1) & (F.col("toxic") == 0), F.lit(False))
     one = labels.filter(F.col(id_col).isNotNull()).groupBy(F.xxhash64(id_col).alias("h")).agg(F.min(good).alias("good"))
-    rows = one.orderBy(F.xxhash64("h"), "h").limit(max_labels).collect()  # at most max_labels rows
-    ids = np.sort(np.array([r.h for r in rows if r.good], np.int64))
-    return ids, (len(ids) / len(rows) if rows else None)
+    rows = sorted((r.h, r.good) for r in one.orderBy(F.xxhash64("h"), "h").limit(max_labels).collect())  # at most max_labels rows
+    return np.array([h for h, _ in rows], np.int64), np.array([g for _, g in rows], bool)
+
+
+def good_sample(labels: DataFrame, id_col: str, max_labels: int) -> tuple[np.ndarray, float | None]:
+    """Hashed ids of the good documents of the label sample, and their share
+    of it."""
+    ids, good = label_sample(labels, id_col, max_labels)
+    return ids[good], (float(good.mean()) if len(ids) else None)
+
+
+def _noisy(weight: np.ndarray, draw: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Weights plus Gumbel noise, and bigints of the same order."""
+    u = draw.to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(11)
+    score = weight - np.log(-np.log((u + 0.5) / 2.0 ** 53))
+    bits = score.view(np.int64)
+    return score, np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits)
 
 
 def weigh(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_share: float | None = None,
-          max_labels: int = 50_000, seed: int = 17) -> DataFrame:
+          max_labels: int = 50_000, seed: int = 17, errors: float = 3.0) -> DataFrame:
     """One row per input row: ``id_col, log_weight, score, kept``.
 
     ``k = round(keep_share * rows)``; by default the share of good documents
-    in the label sample. ``score`` is the weight plus Gumbel noise drawn
+    in the label sample. That default holds for rows only if copies are
+    labelled like other rows. So the rank is also taken over distinct texts
+    (share and rank count a text once) and its least score put to all rows;
+    where that keeps a number of rows more than ``errors`` standard errors
+    of the label share from k, it decides instead. ``score`` is the weight plus Gumbel noise drawn
     from a hash of the id; the k largest scores are kept, ties with the k-th
     too. Null and empty texts have weight 0. Rows that repeat an id share
     its noise; null ids share one draw. Without labels (or without a good
@@ -109,9 +158,10 @@ def weigh(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     spark = docs.sparkSession
     textops.bounded_batches(spark)
-    base = docs.select(F.xxhash64(id_col).alias("h"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"))
-    ids, share = good_sample(labels, id_col, max_labels)
-    packed = {(m, c): raw for m, c, raw in _counts(base, spark.sparkContext.broadcast(ids)).collect()}  # 128 rows of a fixed size
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    base = docs.select(F.xxhash64(id_col).alias("h"), text.alias("text"), F.col(id_col).alias("id"), F.xxhash64(text).alias("t"))
+    ids, good = label_sample(labels, id_col, max_labels)
+    packed = {(m, c): raw for m, c, raw in _counts(_distinct(base, spark.sparkContext.broadcast((ids, good)))).collect()}  # 129 rows of a fixed size
     un = zstandard.ZstdDecompressor()
     zero = np.zeros(_CHUNK, np.int64)
     read = lambda m, c: np.frombuffer(un.decompress(packed[m, c]), np.int64) if (m, c) in packed else zero
@@ -127,18 +177,24 @@ def weigh(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             w = np.zeros(batch.num_rows)
             for a, b, doc, f in features(batch.column(1)):
                 w[a:b] = np.bincount(doc, ratio.value[f], b - a)
-            u = batch.column(3).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(11)
-            score = w - np.log(-np.log((u + 0.5) / 2.0 ** 53))
-            bits = score.view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(w), pa.array(score), pa.array(np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits))],
-                                             names=["id", "log_weight", "score", "place"])
+            score, place = _noisy(w, batch.column(4))
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), pa.array(w), pa.array(score), pa.array(place), pa.array(_noisy(w, batch.column(5))[1])],
+                                             names=["id", "t", "log_weight", "score", "place", "text_place"])
 
     kind = dict(base.dtypes)["id"]
-    scored = materialize(spark, base.withColumn("u", F.xxhash64("id", F.lit(seed))).mapInArrow(run, f"id {kind}, log_weight double, score double, place bigint"), "weights")
-    share = keep_share if keep_share is not None else share
+    drawn = base.withColumn("u", F.xxhash64("id", F.lit(seed))).withColumn("v", F.xxhash64("t", F.lit(seed)))
+    scored = materialize(spark, drawn.mapInArrow(run, f"id {kind}, t bigint, log_weight double, score double, place bigint, text_place bigint"), "weights")
     n = scored.count()
-    k = n if share is None else round(share * n)
-    least = kth_largest(scored, "place", k)
+    if keep_share is not None or not len(ids):
+        least = kth_largest(scored, "place", n if keep_share is None else round(keep_share * n))
+    else:
+        share = float(good.mean())
+        labelled, fine = (np.frombuffer(un.decompress(packed[2, 0]), np.int64) if (2, 0) in packed else np.zeros(2, np.int64)).tolist()
+        texts = materialize(spark, scored.select("t", "text_place").distinct(), "text-scores")
+        least = kth_largest(texts, "text_place", round((fine / labelled if labelled else share) * texts.count()))
+        held = 0 if least is None else scored.filter(F.col("place") >= least).count()
+        if abs(held - share * n) <= errors * np.sqrt(share * (1 - share) / len(ids)) * n:
+            least = kth_largest(scored, "place", round(share * n))
     kept = F.lit(False) if least is None else F.col("place") >= least
     return scored.select(F.col("id").alias(id_col), "log_weight", "score", kept.alias("kept"))
 

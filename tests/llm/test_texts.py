@@ -174,6 +174,24 @@ def test_quality_edges(spark, docs, empty):
     assert quality.keep_good(docs, labels, keep_share=0.0).count() == 0
 
 
+@pytest.mark.parametrize("clean", [True, False])
+def test_quality_many_copies(spark, clean):
+    """A third of all rows are unlabelled copies of one clean or one bad text:
+    they share its fate and move no other document over the line."""
+    d, l = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    plain = quality.weigh(d, l).join(l, "doc_id")
+    fine = (F.col("quality") == 1) & (F.col("toxic") == 0)
+    pick = plain.filter(fine if clean else F.col("quality") == 0).orderBy(F.col("log_weight").desc() if clean else F.col("log_weight"), "doc_id").first()
+    text = d.filter(F.col("doc_id") == pick.doc_id).first().text
+    more = spark.range(5000).select((F.col("id") + 10_000_000).alias("doc_id"), F.lit(text).alias("text"))
+    got = quality.weigh(d.select("doc_id", "text").unionByName(more), l)
+    copies = got.filter("doc_id >= 10000000").filter("kept").count()
+    assert copies > 4900 if clean else copies < 100
+    rows = got.join(l, "doc_id").collect()
+    good, bad = [r.kept for r in rows if r.quality == 1 and r.toxic == 0], [r.kept for r in rows if not (r.quality == 1 and r.toxic == 0)]
+    assert np.mean(good) > 0.95 and np.mean(bad) < 0.1
+
+
 @pytest.mark.parametrize("k", [0, 1, 2, 250, 499, 500, 501])
 def test_kth_largest(spark, k):
     rng = random.Random(k)
