@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 from . import html_blocks, html_training, textops
 
 DIM = 1 << 12
-SLOTS = 28  # features a block can have; further class words are left out
 _INDEX: dict[str, int] = {}
 
 
@@ -39,9 +38,22 @@ def _index(name: str) -> int:
     return i
 
 
-def page_features(blocks: list) -> np.ndarray:
-    """``int[blocks, SLOTS]`` feature numbers, 0 for none."""
-    out = np.zeros((len(blocks), SLOTS), np.int32)
+class Features:
+    """Feature numbers of a page's blocks: ``flat``, cut at ``first``. A
+    block has as many as its tags and class words give."""
+
+    __slots__ = ("flat", "first")
+
+    def __init__(self, flat: np.ndarray, first: np.ndarray):
+        self.flat, self.first = flat, first
+
+    def __len__(self) -> int:
+        return len(self.first)
+
+
+def page_features(blocks: list) -> Features:
+    flat: list[int] = []
+    first: list[int] = []
     last = len(blocks) - 1
     total = sum(len(b.text) for b in blocks)
     before = 0
@@ -60,24 +72,25 @@ def page_features(blocks: list) -> np.ndarray:
             f.append("hidden")
         f += [f"a:{x}" for x in dict.fromkeys(b.path[:-1]) if x not in ("html", "body")]
         f += [f"k:{x}" for x in dict.fromkeys(b.names)]
-        f = f[:SLOTS]
-        out[k, :len(f)] = [_index(x) for x in f]
+        first.append(len(flat))
+        flat += [_index(x) for x in f]
         before += len(t)
-    return out
+    return Features(np.array(flat, np.int32), np.array(first, np.int64))
 
 
 # ---- the chain ----------------------------------------------------------
-def _pad(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    n = max(len(p) for p in pages)
-    x = np.zeros((len(pages), n, SLOTS), np.int32)
-    for i, p in enumerate(pages):
-        x[i, :len(p)] = p
-    return x, np.array([len(p) for p in pages])
+def _join(pages: list[Features]) -> tuple[Features, np.ndarray]:
+    """All blocks of the pages in a row, and the pages' numbers of blocks."""
+    at = np.cumsum([0] + [len(p.flat) for p in pages])
+    return (Features(np.concatenate([p.flat for p in pages]), np.concatenate([p.first + a for p, a in zip(pages, at)])),
+            np.array([len(p) for p in pages]))
 
 
-def emissions(weights: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Scores ``[page, block, label]``."""
-    return weights[x].sum(axis=2)
+def emissions(weights: np.ndarray, x: Features, inside: np.ndarray) -> np.ndarray:
+    """Scores ``[page, block, label]``; ``inside`` marks the pages' blocks."""
+    out = np.zeros((*inside.shape, 2), weights.dtype)
+    out[inside] = np.add.reduceat(weights[x.flat], x.first, axis=0)
+    return out
 
 
 def _log_add(a: np.ndarray, axis: int) -> np.ndarray:
@@ -102,14 +115,15 @@ def forward_backward(e: np.ndarray, trans: np.ndarray, sizes: np.ndarray):
     return z, marginal, (pair * inside[:, 1:, None, None]).sum(axis=(0, 1))
 
 
-def train(pages: list[np.ndarray], labels: list[np.ndarray], steps: int = 60, rate: float = 0.15, decay: float = 2e-3):
+def train(pages: list[Features], labels: list[np.ndarray], steps: int = 60, rate: float = 0.15, decay: float = 2e-3):
     """``(weights [DIM, 2], transitions [2, 2])`` by Adam on the regularised
     conditional log likelihood."""
-    x, sizes = _pad(pages)
-    y = np.zeros(x.shape[:2], np.int64)
+    x, sizes = _join(pages)
+    inside = np.arange(sizes.max()) < sizes[:, None]
+    y = np.zeros(inside.shape, np.int64)
     for i, v in enumerate(labels):
         y[i, :len(v)] = v
-    inside = np.arange(x.shape[1]) < sizes[:, None]
+    each = np.diff(np.append(x.first, len(x.flat)))
     gold = np.eye(2)[y] * inside[:, :, None]
     seen = np.zeros((2, 2))
     both = inside[:, 1:]
@@ -118,10 +132,10 @@ def train(pages: list[np.ndarray], labels: list[np.ndarray], steps: int = 60, ra
     state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(tr), np.zeros_like(tr)]
     total = inside.sum()
     for step in range(1, steps + 1):
-        e = emissions(w, x)
+        e = emissions(w, x, inside)
         _, marginal, pairs = forward_backward(e, tr, sizes)
         diff = (gold - marginal) / total
-        gw = np.stack([np.bincount(x.ravel(), np.repeat(diff[:, :, k].ravel(), SLOTS), DIM) for k in (0, 1)], axis=1) - decay * w / 50
+        gw = np.stack([np.bincount(x.flat, np.repeat(diff[inside][:, k], each), DIM) for k in (0, 1)], axis=1) - decay * w / 50
         gw[0] = 0
         gt = (seen - pairs) / total
         for p, g, i in ((w, gw, 0), (tr, gt, 2)):
@@ -131,7 +145,7 @@ def train(pages: list[np.ndarray], labels: list[np.ndarray], steps: int = 60, ra
     return w.astype(np.float32), tr
 
 
-def viterbi(pages: list[np.ndarray], weights: np.ndarray, trans: np.ndarray) -> list[np.ndarray]:
+def viterbi(pages: list[Features], weights: np.ndarray, trans: np.ndarray) -> list[np.ndarray]:
     """Most likely labels of each page; pages of like length run together."""
     out: list = [np.zeros(0, np.int64)] * len(pages)
     order = sorted((i for i in range(len(pages)) if len(pages[i])), key=lambda i: len(pages[i]))
@@ -139,9 +153,9 @@ def viterbi(pages: list[np.ndarray], weights: np.ndarray, trans: np.ndarray) ->
     while at < len(order):
         some = order[at:at + max(1, min(256, 20_000 // len(pages[order[min(at + 64, len(order) - 1)]])))]
         at += len(some)
-        x, sizes = _pad([pages[i] for i in some])
-        e = emissions(weights, x)
-        n = e.shape[1]
+        x, sizes = _join([pages[i] for i in some])
+        n = int(sizes.max())
+        e = emissions(weights, x, np.arange(n) < sizes[:, None])
         best, back = e[:, 0].astype(float), np.zeros((len(some), n, 2), np.int8)
         final = best.copy()
         for t in range(1, n):
