@@ -2,6 +2,9 @@
 
 A text is cut into sentences; every run of several consecutive sentences is
 hashed (three with 10 words at least, two with 25, a single one with 50).
+Where three sentences have fewer words the run grows until it holds 10, to
+ten sentences of one word at most: any repeated passage of three sentences
+and 10 words is covered, however short its lines are.
 Runs are joined over the whole corpus; the first occurrence of a run stays
 and every sentence covered by a later one is removed.
 
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from . import sketches, textops
 
-RUNS = ((3, 10), (2, 25), (1, 50))  # (sentences, words at least)
+RUNS = (*((k, 10) for k in range(3, 11)), (2, 25), (1, 50))  # (sentences, words at least)
 _U = np.uint64
 
 
@@ -65,6 +68,8 @@ def runs(doc: np.ndarray, size: np.ndarray, h: np.ndarray, n_docs: int):
             continue
         at = np.flatnonzero(doc[:len(doc) - k + 1] == doc[k - 1:])
         at = at[words[at + k] - words[at] >= least]
+        if k > 3:  # else two runs of one sentence less cover it, and stand wherever it stands
+            at = at[(words[at + k - 1] - words[at] < least) | (words[at + k] - words[at + 1] < least)]
         out.append((doc[at], at - first[doc[at]], np.full(len(at), k), _spans(h, at, at + k) ^ _U(k)))
     if not out:
         z = np.zeros(0, np.int64)
