@@ -24,7 +24,7 @@ from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -76,11 +76,26 @@ def address(url: str | None, known: set) -> tuple:
 
 
 def train(docs: DataFrame, text_col: str, lang_col: str, max_train: int) -> tuple[list[str], np.ndarray]:
-    """Languages and their log trigram probabilities, from at most
-    ``max_train`` labelled documents (smallest text hashes). Documents that
-    mix languages only blur the counts."""
+    """Languages and their log trigram probabilities. Every language of the
+    labelled documents is one; its trigrams come from at most ``max_train``
+    over the number of languages (one at least) different texts, those with
+    the smallest hashes. Documents that mix languages only blur the counts."""
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    sample = rows.orderBy(F.xxhash64("text", "lang")).limit(max_train)
+    rows = rows.withColumn("t", F.xxhash64("text"))
+    spark = docs.sparkSession
+    texts = materialize(spark, rows.select("lang", "t").distinct(), "language-labels")
+    sizes = {r["lang"]: r["count"] for r in texts.groupBy("lang").count().collect()}  # one row per language
+    langs = sorted(sizes)
+    if not langs:
+        return [], np.zeros((1 << BITS, 0))
+    quota = max(1, max_train // len(langs))
+    # hashes are uniform: a bound that some more than ``quota`` texts of each language pass, then the smallest of those
+    bound = {l: min(2.0 ** 63, -(2.0 ** 63) + 2.0 ** 64 * (quota + 6 * quota ** 0.5 + 20) / n) for l, n in sizes.items()}
+    bounds = F.broadcast(spark.createDataFrame(list(bound.items()), "lang string, bound double"))
+    few = texts.join(bounds, "lang").filter(F.col("t").cast("double") <= F.col("bound")).select("lang", "t")
+    few = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("t"))).filter(F.col("k") <= quota)
+    chosen = spark.createDataFrame([(r.lang, r.t) for r in few.collect()], "lang string, t bigint")  # max_train rows at most, or one per language
+    sample = rows.join(F.broadcast(chosen), ["lang", "t"]).groupBy("lang", "t").agg(F.first("text").alias("text")).select("lang", "text")
 
     def run(batches):
         held: dict[str, np.ndarray] = {}
@@ -98,9 +113,6 @@ def train(docs: DataFrame, text_col: str, lang_col: str, max_train: int) -> tupl
     total: dict[str, np.ndarray] = {}
     for l, raw in sample.mapInArrow(run, "lang string, counts binary").toLocalIterator():  # max_train documents at most
         total[l] = total.get(l, 0) + np.frombuffer(raw, "<i8")
-    langs = sorted(total)
-    if not langs:
-        return [], np.zeros((1 << BITS, 0))
     counts = np.stack([total[l] for l in langs], axis=1) + 0.2
     return langs, np.log(counts / counts.sum(axis=0))
 
