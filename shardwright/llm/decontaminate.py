@@ -7,7 +7,8 @@ A second pass looks the corpus n-grams up among these seeds; each hit fixes
 an item and a diagonal, hits on near diagonals share one window of the text,
 and Smith-Waterman alignment of the item's words with the window scores it:
 edits, insertions and paraphrased words lower the score instead of hiding
-the copy.
+the copy. Items of fewer than ``min_words`` words are sought by their whole
+word sequence: an exact copy only is a leak of them.
 
 The benchmark is taken in blocks of at most ``block_bytes`` of text; each
 block goes to every task, so what is broadcast is bounded and a larger
@@ -70,6 +71,12 @@ class Items:
         self.keep = count >= min_words
         self.ids = list(texts.values())
         self.words = np.split(h, np.cumsum(count)[:-1]) if len(texts) else []
+        self.short = []  # (words, sorted hashes of whole items, items)
+        for k in np.unique(count[(count > 0) & ~self.keep]).tolist():
+            own = count[doc] == k
+            d, _, g = textops.ngrams(doc[own], h[own], k, len(texts), whole_short=False)
+            o = np.argsort(g, kind="stable")
+            self.short.append((k, g[o], d[o]))
         d, pos, g = textops.ngrams(doc, h, n, len(texts))
         ok = self.keep[d]
         d, pos, g = d[ok], pos[ok], g[ok]
@@ -111,6 +118,19 @@ def _texts(batch_col, items: Items, n: int):
         yield a, b, doc, h, d[hit], pos[hit], at[hit]
 
 
+def _exact(items: Items, doc: np.ndarray, h: np.ndarray, n_docs: int):
+    """``(doc, item, position, words)`` of the first exact copy of each short
+    item in each text."""
+    for k, grams, item in items.short:
+        d, pos, g = textops.ngrams(doc, h, k, n_docs, whole_short=False)
+        lo, hi = np.searchsorted(grams, g), np.searchsorted(grams, g, "right")
+        hit = np.flatnonzero(hi > lo)
+        _, first = np.unique(np.stack((d[hit], lo[hit])), axis=1, return_index=True)
+        for j in hit[first].tolist():
+            for i in item[lo[j]:hi[j]].tolist():
+                yield int(d[j]), i, int(pos[j]), k
+
+
 def _seed_counts(base: DataFrame, shared, n: int) -> DataFrame:
     def run(batches):
         items = shared.value
@@ -163,8 +183,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     ``score`` is the alignment score over that of an exact copy (match 2,
     mismatch and gap -1); a leak has ``min_score`` at least. Words are runs
     of ASCII letters, digits and non-ASCII characters, A-Z lower-cased.
-    Items of fewer than ``min_words`` words (null and empty ones too) cannot
-    be told from ordinary text and are passed over; items of equal text are
+    An item of fewer than ``min_words`` words leaks by an exact copy (score
+    1) only; one of a word or two is thus found in every text that says it.
+    Null items and items without words leak nowhere; items of equal text are
     each reported. Null and empty texts leak nothing. Null or repeated ids
     are reported as they are. Ties between windows go to the first. Other
     columns are ignored. Empty tables give an empty result.
@@ -199,6 +220,9 @@ def _leaks(spark, base, items: Items, n, min_score, id_type, item_type) -> DataF
         for batch in batches:
             found = []
             for a, b, doc, h, d, pos, s in _texts(batch.column(0), items, n):
+                for dd, it, at, k in _exact(items, doc, h, b - a):
+                    for name in items.ids[it]:
+                        found.append((a + dd, name, 1.0, at, at + k))
                 if not len(d):
                     continue
                 start = np.searchsorted(doc, np.arange(b - a))
