@@ -3,7 +3,7 @@
 For every page and language l the log posterior adds
 
 * the text: a naive Bayes likelihood of byte trigrams of the page's
-  paragraph text, trained on labelled documents, tempered so that ``most``
+  text outside navigation and link lists, trained on labelled documents, tempered so that ``most``
   trigrams count at most (neighbouring trigrams are not independent);
 * the language declared by the markup: P(declared | l);
 * the address suffix (last label of the host) and a language code in the
@@ -49,10 +49,10 @@ def trigrams(offs: np.ndarray, data: np.ndarray):
 
 
 def paragraph_text(page: str) -> str:
-    """Text of paragraph-like blocks with few links; all text if none."""
+    """Text of the blocks with few links outside navigation, footers, asides
+    and forms, whatever their tag; all text if there are none."""
     found = html_blocks.blocks(page)
-    main = [b.text for b in found if b.path and b.path[-1] in ("p", "h1", "h2", "blockquote", "pre", "article", "main", "td", "dd")
-            and 2 * b.linked < len(b.text) and not {"nav", "footer", "aside", "form"} & set(b.path)]
+    main = [b.text for b in found if 2 * b.linked < len(b.text) and not {"nav", "footer", "aside", "form"} & set(b.path)]
     return "\n".join(main or [b.text for b in found])
 
 
