@@ -5,7 +5,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from sf_paths import SF_SMALL
 from shardwright.functions import tokens
 from shardwright.operators import packing
 from shardwright.plans import packing_plans as pp

@@ -8,7 +8,7 @@ import io
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from conftest import SF_CHECK, SF_SMALL
+from sf_paths import SF_CHECK, SF_SMALL
 from shardwright.operators import mixing, packing
 from shardwright.plans import packing_plans as pp
 from shardwright.session import scratch_path

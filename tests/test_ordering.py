@@ -53,7 +53,7 @@ def test_adaptive_bucket_sparse_keys(spark):
 
 def test_packing_with_sparse_order_equals_dense(spark):
     from shardwright.operators import packing
-    from conftest import SF_SMALL
+    from sf_paths import SF_SMALL
     from shardwright.plans import packing_plans as pp
     tok = pp.tokenized(spark, SF_SMALL)
     spec = packing.PackSpec(context=512, file_tokens=5000, shards=4, bucket_rows=8)

@@ -6,7 +6,7 @@ import os
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from conftest import SF_SMALL
+from sf_paths import SF_SMALL
 from shardwright.operators import registry, splits
 from shardwright.session import scratch_path
 from shardwright.sources import readers

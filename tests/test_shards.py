@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from sf_paths import SF_SMALL
 from shardwright.operators import packing
 from shardwright.plans import packing_plans as pp
 from shardwright.session import scratch_path

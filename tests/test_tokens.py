@@ -18,7 +18,7 @@ def test_byte_tokenizer_vectorised_and_specials():
 
 
 def test_round_trip_on_documents(spark):
-    from conftest import SF_SMALL
+    from sf_paths import SF_SMALL
     d = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("text")
     bad = d.withColumn("back", tokens.decode(tokens.encode("text"))).filter(F.col("back") != F.col("text"))
     assert bad.count() == 0

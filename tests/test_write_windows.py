@@ -3,7 +3,7 @@ windows are cut by bucket boundaries."""
 
 from pyspark.sql import functions as F
 
-from conftest import SF_CHECK
+from sf_paths import SF_CHECK
 from shardwright.operators import packing
 from shardwright.plans import packing_plans as pp
 from shardwright.session import scratch_path
