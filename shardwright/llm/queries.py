@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (decontaminate, exact_dedup, html_crf, jaccard_join, language_id, packing_ga, quality,
+from . import (decontaminate, exact_dedup, html_crf, jaccard_join, language_id, pack_histogram, packing_ga, quality,
                sentence_dedup, suffix_dedup, warc)
 from .registry import query
 
@@ -84,3 +84,8 @@ def op3_html_crf(spark, sf_dir):
 @query("op6_language_id")
 def op6_language_id(spark, sf_dir):
     return language_id.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+@query("op13_pack_histogram")
+def op13_pack_histogram(spark, sf_dir):
+    return pack_histogram.pack(table(spark, sf_dir, "documents"), **tokenizer_files())
