@@ -6,8 +6,9 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (decontaminate, exact_dedup, html_crf, jaccard_join, language_id, pack_histogram, packing_ga, quality,
-               sentence_dedup, suffix_dedup, warc)
+from . import (decontaminate, exact_dedup, html_crf, jaccard_join, language_id, pack_histogram, packing_ga, prefix_trie,
+               quality, sentence_dedup, suffix_dedup, warc)
+from .crc_sql import crc32
 from .registry import query
 
 
@@ -89,3 +90,35 @@ def op6_language_id(spark, sf_dir):
 @query("op13_pack_histogram")
 def op13_pack_histogram(spark, sf_dir):
     return pack_histogram.pack(table(spark, sf_dir, "documents"), **tokenizer_files())
+
+
+@query("op12_prefix_trie", f"""
+WITH own AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT conv_id, {crc32("CAST(conv_id AS VARCHAR)")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM own)),
+turns AS (
+  SELECT i.conv_id, o.place, o.role, o.text FROM ids i JOIN own o ON o.conv_id = i.conv_id - i.conv_id % 5 AND o.place <= i.h
+  UNION ALL
+  SELECT i.conv_id, o.place, o.role, o.text FROM ids i JOIN own o ON o.conv_id = i.conv_id AND o.place > i.h),
+seqs AS (
+  SELECT conv_id, list(length(role) || ':' || role || text ORDER BY place) AS seq, list(strlen(text) ORDER BY place) AS sizes
+  FROM turns GROUP BY conv_id),
+whole AS (SELECT conv_id, coalesce(seq, []) AS seq, coalesce(sizes, []) AS sizes FROM ids LEFT JOIN seqs USING (conv_id)),
+steps AS (SELECT conv_id, d AS depth, list_slice(seq, 1, d) AS path, CASE WHEN d > 0 THEN sizes[d] ELSE 0 END AS size, d = len(seq) AS ends
+          FROM whole, unnest(range(0, len(seq) + 1)) AS r(d)),
+nodes AS (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(size) AS size,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM steps GROUP BY path, depth),
+links AS (SELECT c.path, p.path AS up, p.conv_id AS parent_conv_id FROM nodes c JOIN nodes p ON c.depth > 0 AND p.path = list_slice(c.path, 1, c.depth - 1)),
+childs AS (SELECT up AS path, count(*) AS n FROM links GROUP BY up),
+sums AS (
+  SELECT list_slice(m.path, 1, k) AS path, count(*) FILTER (WHERE c.n IS NULL) AS n_leaves, sum((m.n_convs - 1) * m.size) AS saved
+  FROM nodes m LEFT JOIN childs c ON c.path = m.path, unnest(range(0, m.depth + 1)) AS r(k) GROUP BY 1)
+SELECT n.conv_id, n.depth, l.parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children, s.n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN sums s ON s.path = n.path LEFT JOIN childs c ON c.path = n.path LEFT JOIN links l ON l.path = n.path
+""")
+def op12_prefix_trie(spark, sf_dir):
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
