@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (decontaminate, exact_dedup, html_crf, jaccard_join, language_id, pack_histogram, packing_ga, prefix_trie,
-               quality, sentence_dedup, suffix_dedup, warc)
+               quality, sentence_dedup, spelling_trie, suffix_dedup, warc)
 from .crc_sql import crc32
 from .registry import query
 
@@ -122,3 +122,32 @@ FROM nodes n JOIN sums s ON s.path = n.path LEFT JOIN childs c ON c.path = n.pat
 """)
 def op12_prefix_trie(spark, sf_dir):
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op11_spelling_variants", f"""
+WITH RECURSIVE occurrences AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+         translate(unnest(regexp_extract_all(text, '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]{{7,}}')), '{spelling_trie.UPPER}', '{spelling_trie.LOWER}') AS run
+  FROM documents),
+hashed AS (SELECT run, k, {crc32("id || ':' || run")} AS h FROM (SELECT id, run, count(*) AS k FROM occurrences GROUP BY id, run)),
+slipped AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM hashed),
+vocabulary AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM slipped WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+cuts AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS cut FROM vocabulary, unnest(range(1, length(word) + 1)) AS r(i)),
+pairs AS (
+  SELECT a.word, b.word AS near FROM cuts a JOIN cuts b ON a.cut = b.cut AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word FROM cuts a JOIN vocabulary b ON a.cut = b.word
+  UNION SELECT b.word, a.word FROM cuts a JOIN vocabulary b ON a.cut = b.word),
+ranked AS (
+  SELECT p.word, p.near, v.n AS near_n, count(*) OVER (PARTITION BY p.word) AS n_near,
+         row_number() OVER (PARTITION BY p.word ORDER BY v.n DESC, p.near) AS place
+  FROM pairs p JOIN vocabulary v ON v.word = p.near),
+formed AS (
+  SELECT v.word, v.n, coalesce(r.n_near, 0) AS n_near, CASE WHEN r.near_n >= 10 * v.n THEN r.near END AS form, CASE WHEN r.near_n >= 10 * v.n THEN r.near_n END AS form_n
+  FROM vocabulary v LEFT JOIN ranked r ON r.word = v.word AND r.place = 1),
+walk AS (
+  SELECT word, word AS root, form AS next FROM formed
+  UNION ALL SELECT w.word, f.word, f.form FROM walk w JOIN formed f ON f.word = w.next)
+SELECT f.word, f.form, w.root, f.n, f.n_near, f.form_n FROM formed f JOIN walk w ON w.word = f.word AND w.next IS NULL
+""")
+def op11_spelling_variants(spark, sf_dir):
+    return spelling_trie.spelling_variants(table(spark, sf_dir, "documents"))
