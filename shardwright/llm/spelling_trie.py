@@ -1,7 +1,7 @@
 """Operator 11: spelling variants by a relational trie frontier.
 
 The words of a corpus (with their counts) form a trie that is a distributed
-edge table ``(side, node, letter, label, child)``: a node is a prefix, known
+edge table ``(node, letter, label, child, onward)``: a node is a prefix, known
 by its hash, and an edge leads over all letters up to the next prefix where
 words part or end. Two words are near if one inserted, deleted or replaced
 code point makes them equal. The neighbours of all words are found at once by
@@ -13,7 +13,8 @@ a frontier of states ``(word, position, node, edits)``:
   word's, or is inserted before it. (A deletion is the insertion seen from
   the shorter word.)
 * states with the edit spent join the edge table level by level on (node,
-  next letter); they live on while the edge's label is what the word says.
+  next letter); they live on while the edge's label is what the word says and
+  the word's letter after it is one of those that lead on from there.
 * a state whose word is used up on a node where a word ends has found a
   neighbour.
 
@@ -69,46 +70,52 @@ def count_words(words: DataFrame, min_length: int, min_count: int) -> DataFrame:
 
 
 # ---- the trie as tables ------------------------------------------------------
+LONG = 64  # letters; a longer word is not written with each of its prefixes
+
+
+def _prefix_nodes(codes: np.ndarray, offs: np.ndarray, side: int):
+    """``(word, position, node, letter)`` of the prefixes of words given as
+    code points, from the middle of each on; letter 0 is the end."""
+    power, inverse = textops._powers(len(codes))
+    total = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(textops.mix(codes.astype(np.uint64) + np.uint64(1)) * power[:len(codes)], out=total[1:])
+    size = np.diff(offs)
+    first = np.maximum((size + 1) // 2 - 1, 0)  # where a word one letter shorter starts
+    rows = size - first + 1
+    word = np.repeat(np.arange(len(size)), rows)
+    position = np.arange(len(word)) - np.repeat(np.cumsum(rows) - rows, rows) + first[word]
+    at = offs[word] + position
+    node = textops.mix((total[at] - total[offs[word]]) * inverse[offs[word]] + position.astype(np.uint64) * np.uint64(2) + np.uint64(side))
+    letter = np.where(position < size[word], np.append(codes, 0)[at], 0).astype("<u4")
+    return word, position, node, letter
+
+
 def _prefixes(vocabulary: DataFrame) -> DataFrame:
-    """``(side, key, position, node, letter)``: the prefixes of each word
-    from its middle on (side 0) and of the word backwards (side 1); ``node``
-    hashes the prefix, ``letter`` follows it (empty at the end), ``key``
-    hashes the word (a long word is not written with each of its prefixes)."""
-    names = ["side", "key", "position", "node", "letter"]
+    """``(side, word, key, position, node, letter)``: the prefixes of each
+    word from its middle on (side 0) and of the word backwards (side 1);
+    ``node`` hashes side and prefix, ``letter`` follows it (empty at the
+    end). Words longer than ``LONG`` are null and known by ``key``."""
+    names = ["side", "word", "key", "position", "node", "letter"]
 
     def run(batches):
         for batch in batches:
-            for piece in _pieces(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                out: list[list] = [[], [], [], [], []]
-                for word, key in piece:
-                    for side, w in enumerate((word, word[::-1])):
-                        code = np.frombuffer(w.encode("utf-32-le"), "<u4").astype(np.uint64)
-                        up, _ = textops._powers(len(code))
-                        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((textops.mix(code + np.uint64(1))) * up[:len(code)], dtype=np.uint64)))
-                        first = max(len(w) // 2 - 1, 0)
-                        at = np.arange(first, len(w) + 1)
-                        out[0] += [side] * len(at)
-                        out[1] += [key] * len(at)
-                        out[2] += at.tolist()
-                        out[3].append(textops.mix(total[first:] + at.astype(np.uint64)).view(np.int64))
-                        out[4] += [*w[first:], ""]
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()),
-                                                  pa.array(np.concatenate(out[3])), pa.array(out[4], pa.string())], names=names)
-
-    return vocabulary.select("word", F.xxhash64("word").alias("key")).mapInArrow(run, "side int, key bigint, position int, node bigint, letter string")
-
-
-def _pieces(words, letters: int = 1 << 14):
-    """Lists of ``(word, key)`` of about as many letters, a longer word alone."""
-    part, n = [], 0
-    for w, key in words:
-        if part and n + len(w) > letters:
-            yield part
-            part, n = [], 0
-        part.append((w, key))
-        n += len(w)
-    if part:
-        yield part
+            words, size = batch.column(0), batch.column(1).to_numpy()
+            for a, b in textops.blocks(np.append(0, np.cumsum(size)), 1 << 18):
+                own, n = words.slice(a, b - a), size[a:b]
+                codes = np.frombuffer("".join(own.to_pylist()).encode("utf-32-le"), "<u4")
+                known = pa.array(np.arange(b - a), mask=n > LONG)
+                for side in (0, 1):
+                    if side:
+                        codes, n = codes[::-1], n[::-1]
+                    word, position, node, letter = _prefix_nodes(codes, np.append(0, np.cumsum(n)), side)
+                    word = b - a - 1 - word if side else word
+                    at = pa.array(word)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(word), side, np.int32)), own.take(known.take(at)), batch.column(2).slice(a, b - a).take(at),
+                         pa.array(position.astype(np.int32)), pa.array(node.view(np.int64)), pa.array(letter.view("<U1"))], names=names)
+
+    return vocabulary.select("word", F.length("word").cast("bigint"), F.xxhash64("word")).mapInArrow(
+        run, "side int, word string, key bigint, position int, node bigint, letter string")
 
 
 def _spelt(word: str = "word"):
@@ -121,46 +128,55 @@ def build(vocabulary: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     ``stops(side, word, position, node, letter)``: the nodes on each word's
     path where words part or end, with the letter the word goes on with.
-    ``edges(side, node, letter, label, child)``: one row per edge.
+    ``edges(node, letter, label, child, onward)``: one row per edge; ``onward``
+    lists the letters that follow its child, `` `` (a space) for an end.
     """
     spark = vocabulary.sparkSession
-    steps = materialize(spark, _prefixes(vocabulary), "spelling-prefixes")
+    steps = _prefixes(vocabulary)
     # an ending is a letter of its own (the empty one), so a node with an end and a branch parts words too
-    parting = steps.groupBy("side", "node").agg(F.min("letter").alias("low"), F.max("letter").alias("high")).filter("low != high OR high = ''").select("side", "node")
-    named = vocabulary.select("word", F.xxhash64("word").alias("key"))
-    stops = materialize(spark, steps.join(parting, ["side", "node"], "left_semi").join(named, "key").select("side", "word", "position", "node", "letter"), "spelling-stops")
+    parting = steps.groupBy("node").agg(F.min("letter").alias("low"), F.max("letter").alias("high")).filter("low != high OR high = ''").select("node")
+    parted = steps.join(parting, "node", "left_semi")
+    cols = ["side", "word", "position", "node", "letter"]
+    named = vocabulary.filter(F.length("word") > LONG).select("word", F.xxhash64("word").alias("key"))
+    stops = materialize(spark, parted.filter("word IS NOT NULL").select(*cols).unionByName(
+        parted.filter("word IS NULL").drop("word").join(named, "key").select(*cols)), "spelling-stops")
     # a word's stops are at most as many as its letters
     path = stops.groupBy("side", "word").agg(F.sort_array(F.collect_list(F.struct("position", "node", "letter"))).alias("p"))
     hop = path.select("side", "word", "p", F.explode(F.expr("sequence(1, size(p))")).alias("k")).filter("k < size(p)")
     hop = hop.select("side", "word", F.col("p")[F.col("k") - 1].alias("x"), F.col("p")[F.col("k")].alias("y"))
-    edges = hop.select("side", F.col("x.node").alias("node"), F.col("x.letter").alias("letter"),
-                       F.substring(_spelt(), F.col("x.position") + 1, F.col("y.position") - F.col("x.position")).alias("label"), F.col("y.node").alias("child"))
-    return stops, materialize(spark, edges.distinct(), "spelling-edges")
+    edges = hop.select(F.col("x.node").alias("node"), F.col("x.letter").alias("letter"),
+                       F.substring(_spelt(), F.col("x.position") + 1, F.col("y.position") - F.col("x.position")).alias("label"), F.col("y.node").alias("child")).distinct()
+    # at most a letter of the alphabet each
+    onward = stops.groupBy(F.col("node").alias("child")).agg(F.array_join(F.collect_set(F.when(F.col("letter") == "", " ").otherwise(F.col("letter"))), "").alias("onward"))
+    return stops, materialize(spark, edges.join(onward, "child"), "spelling-edges")
 
 
 def near_pairs(vocabulary: DataFrame, stops: DataFrame, edges: DataFrame) -> DataFrame:
     """``(word, near)``, both ways, of words one edit apart."""
     spark = vocabulary.sparkSession
-    ends = stops.filter("letter = ''").select("side", "node", F.col("word").alias("near"))
+    ends = stops.filter("letter = ''").select("node", F.col("word").alias("near"))
     at, size = F.col("position"), F.length("label")
     rest = F.substring(F.col("label"), F.lit(2), size)
 
+    def goes_on(position):  # is the next letter, or the end, among those that follow the child?
+        nxt = F.substring(F.col("w"), position + 1, F.lit(1))
+        return F.instr(F.col("onward"), F.when(nxt == "", " ").otherwise(nxt)) > 0
+
     own = stops.withColumn("w", _spelt()).filter(at >= F.floor(F.length("word") / 2)).alias("s")
-    first = own.join(edges.alias("e"), ["side", "node"]).filter("s.letter != e.letter")
-    replaced = (F.col("s.letter") != "") & (F.substring(F.col("w"), at + 2, size - 1) == rest)
-    inserted = F.substring(F.col("w"), at + 1, size - 1) == rest
+    replaced = (F.col("s.letter") != "") & (F.substring(F.col("w"), at + 2, size - 1) == rest) & goes_on(at + size)
+    inserted = (F.substring(F.col("w"), at + 1, size - 1) == rest) & goes_on(at + size - 1)
+    first = own.join(edges.alias("e"), "node").filter((F.col("s.letter") != F.col("e.letter")) & (replaced | inserted))
     moves = F.array_compact(F.array(F.when(replaced, at + size), F.when(inserted, at + size - 1)))
-    frontier = materialize(spark, first.select("side", "word", F.col("child").alias("node"), F.explode(moves).alias("position"))
-                           .filter(at <= F.length("word")), "spelling-frontier")
+    frontier = materialize(spark, first.select("side", "word", F.col("child").alias("node"), F.explode(moves).alias("position")), "spelling-frontier")
     found = None
     while True:
-        done = frontier.filter(at == F.length("word")).join(ends, ["side", "node"]).select("word", "near")
+        done = frontier.filter(at == F.length("word")).join(ends, "node").select("word", "near")
         found = done if found is None else found.unionByName(done)
         live = frontier.filter(at < F.length("word"))
         if not live.limit(1).count():
             break
-        on = live.withColumn("w", _spelt()).withColumn("letter", F.substring(F.col("w"), at + 1, F.lit(1))).join(edges, ["side", "node", "letter"])
-        on = on.filter(F.substring(F.col("w"), at + 1, size) == F.col("label"))
+        on = live.withColumn("w", _spelt()).withColumn("letter", F.substring(F.col("w"), at + 1, F.lit(1))).join(edges, ["node", "letter"])
+        on = on.filter((F.substring(F.col("w"), at + 1, size) == F.col("label")) & goes_on(at + size))
         frontier = materialize(spark, on.select("side", "word", F.col("child").alias("node"), (at + size).alias("position")), "spelling-frontier")
     both = found.unionByName(found.select(F.col("near").alias("word"), F.col("word").alias("near")))
     return both.filter("word != near").distinct()
