@@ -294,7 +294,7 @@ def end_digests(rows: DataFrame, block: int = 4096) -> DataFrame:
     return joined.select("a", "b", "ids").mapInArrow(run, "a bigint, b bigint, ends_sha256 string")
 
 
-def trie(turns: DataFrame, shard_convs: int = 4096, shard_nodes: int = 1 << 17) -> DataFrame:
+def trie(turns: DataFrame, shard_convs: int = 256, shard_nodes: int = 1 << 17) -> DataFrame:
     """One row per node of the trie of ``turns(conv_id, place, role, text)``
     (see ``paths``): ``conv_id`` (smallest member), ``depth, parent_conv_id``
     (null for the root), ``n_convs, n_children, n_leaves, saved_tokens,
