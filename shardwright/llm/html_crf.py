@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import html_blocks, html_training, textops
+from . import html_blocks, html_training, sketches, textops
 
 DIM = 1 << 12
 _INDEX: dict[str, int] = {}
@@ -200,10 +200,14 @@ def _mark(markup: str, label: int) -> str:
     return "".join(p if p.startswith("<") or not p.strip() else sign + p for p in _TAGS.split(markup))
 
 
-def fit(docs: DataFrame, text_col: str = "text", n_train: int = 600, n_docs: int = 200, seed: int = 5):
+def fit(docs: DataFrame, text_col: str = "text", n_train: int = 600, n_docs: int = 200, max_chars: int = 20_000, seed: int = 5):
     """Weights from ``n_train`` labelled pages filled with sentences of
-    ``n_docs`` documents at most (smallest text hashes)."""
-    rows = docs.select(F.substring(F.col(text_col).cast("string"), 1, 2000).alias("t")).filter("length(t) > 20").orderBy(F.xxhash64("t")).limit(n_docs).collect()
+    ``n_docs`` different texts at most (smallest text hashes; texts of more
+    than ``max_chars`` characters are not drawn, which bounds the sample)."""
+    texts = docs.select(F.col(text_col).cast("string").alias("t")).filter(F.length("t").between(21, max_chars)).withColumn("h", F.xxhash64("t"))
+    bound = sketches.hash_bound(texts.agg(F.approx_count_distinct("h")).first()[0] * 9 // 10, n_docs)  # 5 % error: rather too many than too few
+    few = texts.filter(F.col("h").cast("double") <= bound).groupBy("h").agg(F.first("t").alias("t"))
+    rows = few.orderBy("h").limit(n_docs).collect()
     sentences = [s.strip() for r in rows for s in re.split(r"(?<=[.!?])\s+|\n+", r.t) if len(s) > 3] or ["One plain sentence.", "Another one follows here."]
     return train(*labelled(sentences, n_train, seed))
 

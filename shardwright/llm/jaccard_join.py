@@ -35,9 +35,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..session import materialize
 from . import sketches, textops
@@ -110,10 +110,11 @@ def profile(docs: DataFrame, shingler: Shingler) -> DataFrame:
     """One pass: per row ``(id, n, node, check, parity)``, and per task the chunks
     ``(chunk, counts)`` of its n-gram counting sketch."""
     kind = dict(docs.dtypes)["id"]
-    schema = f"id {kind}, n bigint, node bigint, check bigint, parity binary, quick array<bigint>, chunk int, counts binary"
+    names = ["id", "n", "node", "check", "parity", "quick", "chunk", "task", "counts"]
+    schema = f"id {kind}, n bigint, node bigint, check bigint, parity binary, quick array<bigint>, chunk int, task int, counts binary"
 
     def run(batches):
-        counts, arrow_id = np.zeros(1 << SKETCH_BITS, np.uint32), None
+        counts, arrow_id, task = np.zeros(1 << SKETCH_BITS, np.uint32), None, TaskContext.get().partitionId()
         for batch in batches:
             ids, arrow_id = batch.column(0), batch.column(0).type
             for a, b, o, v in shingler.sets(batch.column(1)):
@@ -122,14 +123,14 @@ def profile(docs: DataFrame, shingler: Shingler) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(a, m), pa.array(np.diff(o), pa.int64()), pa.array(textops.signed(_node(o, v, _SALT))),
                      pa.array(textops.signed(_node(o, v, _SALT2))), pa.array(parities(o, v), pa.binary()),
-                     textops.lists(np.arange(m + 1) * (QUICK // 64), quick_parities(o, v).ravel(), pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
-                    names=["id", "n", "node", "check", "parity", "quick", "chunk", "counts"])
+                     textops.lists(np.arange(m + 1) * (QUICK // 64), quick_parities(o, v).ravel(), pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
+                    names=names)
         for c in np.flatnonzero(counts.reshape(-1, _CHUNK).any(axis=1)):
-            part = counts[c * _CHUNK:(c + 1) * _CHUNK].astype("<u4").tobytes()
+            part = sketches.pack_counts(counts[c * _CHUNK:(c + 1) * _CHUNK])
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(1, arrow_id), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()),
-                 pa.nulls(1, pa.binary()), pa.nulls(1, pa.list_(pa.int64())), pa.array([c], pa.int32()), pa.array([part], pa.binary())],
-                names=["id", "n", "node", "check", "parity", "quick", "chunk", "counts"])
+                 pa.nulls(1, pa.binary()), pa.nulls(1, pa.list_(pa.int64())), pa.array([c], pa.int32()),
+                 pa.array([task], pa.int32()), pa.array([part], pa.binary())], names=names)
 
     return docs.select("id", "text").mapInArrow(run, schema)
 
@@ -138,17 +139,9 @@ def frequency_classes(profiled: DataFrame) -> np.ndarray:
     """``uint8[2**22]``: class of each sketch cell, 0 up to twice the mean
     count, then one step per factor of sqrt(2). The collected table has 64
     rows whatever the input."""
-    def merge(batches):
-        held: dict[int, np.ndarray] = {}
-        for b in batches:
-            for c, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                held[c] = held.get(c, 0) + np.frombuffer(raw, "<u4").astype(np.int64)
-        for c, x in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([x.astype("<i8").tobytes()], pa.binary())], names=["chunk", "counts"])
-
-    rows = (profiled.filter("chunk IS NOT NULL").select("chunk", "counts").repartition(16, "chunk")
-            .mapInArrow(merge, "chunk int, counts binary").collect())
-    chunks = {c: np.frombuffer(raw, "<i8") for c, raw in rows}
+    parts = profiled.filter("chunk IS NOT NULL").select("chunk", "task", F.col("counts").alias("packed"))
+    rows = sketches.merge_tasks(parts, ["chunk"], sketches.add_counts, sketches.pack_counts).collect()
+    chunks = {c: sketches.unpack_counts(raw) for c, raw in rows}
     mean = max(sum(int(x.sum()) for x in chunks.values()) / (1 << SKETCH_BITS), 0.5)
     out = np.zeros(1 << SKETCH_BITS, np.uint8)
     for c, x in chunks.items():  # a chunk at a time: the driver holds the counts once
@@ -297,11 +290,13 @@ def find_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     classes = spark.sparkContext.broadcast(frequency_classes(prof))
     # prefix entries: texts of equal sets folded, keys of one text dropped
     e = prefixes(base, sh, classes, num, den).repartition("key").dropDuplicates(["key", "node"])
-    w = Window.partitionBy("key")
-    multi = materialize(spark, e.withColumn("low", F.min("node").over(w)).withColumn("high", F.max("node").over(w))
-                        .filter("low != high").drop("low", "high"), "jaccard-shared")
-    drawn = F.array(*[F.min_by(F.struct("node", "n", "pos"), F.xxhash64("node", F.lit(i))).over(w) for i in range(CENTERS)])
-    stars = multi.withColumn("drawn", drawn).withColumn("c", F.explode(F.array_distinct("drawn"))).filter(F.col("node") != F.col("c.node")).filter(
+    e = materialize(spark, e, "jaccard-prefixes")
+    drawn = F.array(*[F.min_by(F.struct("node", "n", "pos"), F.xxhash64("node", F.lit(i))) for i in range(CENTERS)])
+    # one row per shared n-gram, folded before its shuffle, then joined back: a hot n-gram is a skewed join of narrow rows
+    shared = materialize(spark, e.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.array_distinct(drawn).alias("drawn"))
+                         .filter("low != high").select("key", "drawn"), "jaccard-shared")
+    multi = e.join(shared.select("key"), "key", "left_semi")
+    stars = e.join(shared, "key").withColumn("c", F.explode("drawn")).filter(F.col("node") != F.col("c.node")).filter(
         _possible(F.col("c.n"), F.col("n"), F.col("c.pos"), F.col("pos"), num, den))
     first = F.col("node") < F.col("c.node")
     parity = rows.filter("n > 0").select("node", "parity").dropDuplicates(["node"])

@@ -3,11 +3,10 @@
 Two generative models over hashed n-grams (words and word pairs, 2**22
 buckets): the target model counts labelled good texts, the raw model counts
 every text of the corpus. Both count a text once, however many copies it
-has: copies need not be labelled like other rows. A document's log importance
-weight is
-the sum of log ratios target / raw over its n-grams; Gumbel noise is added
-and the k largest are kept, which samples k documents without replacement in
-proportion to their weights.
+has: copies need not be labelled like other rows. A text's log importance
+weight is the sum of log ratios target / raw over its n-grams; Gumbel noise
+is added and the k largest are kept, which samples k distinct texts without
+replacement in proportion to their weights.
 
 A bucket's log ratio is drawn towards 0 by ``shrink`` standard errors of its
 expected target count: buckets seen too rarely say nothing.
@@ -23,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,67 +43,50 @@ def features(column: pa.Array):
         yield a, b, np.concatenate((doc, two)), (np.concatenate((h, g)) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def _label_bits(sample):
-    """Column function over hashed ids: 0 without a label, 1 bad, 2 good."""
-    @F.arrow_udf("int")
-    def bits(h: pa.Array) -> pa.Array:
-        ids, good = sample.value
-        if not len(ids):
-            return pa.array(np.zeros(len(h), np.int32))
-        k = h.to_numpy(zero_copy_only=False)
-        at = np.minimum(np.searchsorted(ids, k), len(ids) - 1)
-        return pa.array(np.where(ids[at] == k, 1 + good[at], 0).astype(np.int32))
+def _distinct(base: DataFrame, sample: DataFrame) -> tuple[DataFrame, object]:
+    """``(bits, text, t, alone)`` and the bitmap of the texts that have
+    copies. Those are one row each, folded before the shuffle, with the
+    labels of their rows OR-ed. The other texts stay where they are
+    (``alone``); rows there that the bitmap knows are not to be counted."""
+    spark = base.sparkSession
+    tagged = base.join(F.broadcast(sample), "h", "left").select("t", "text", F.coalesce("bits", F.lit(0)).alias("bits"))
+    bitmap = sketches.share(spark, sketches.key_bitmap(base.groupBy("t").count().filter("count > 1"), "t"))
+    copied = tagged.filter(sketches.maybe_in(bitmap)("t")).groupBy("t").agg(F.bit_or("bits").alias("bits"), F.first("text").alias("text"))
+    cols = ["bits", "text", "t"]
+    return tagged.select(*cols, F.lit(True).alias("alone")).unionByName(copied.select(*cols, F.lit(False).alias("alone"))), bitmap
 
-    return bits
 
+def _counts(texts: DataFrame, bitmap) -> DataFrame:
+    """``(model, chunk, packed)``: count chunks of the raw (0) and the target
+    model (1); model 2 holds the numbers of labelled and of good texts. A
+    text is good if all its labels are."""
+    names = ["model", "chunk", "task", "packed"]
 
-def _distinct(base: DataFrame, sample) -> DataFrame:
-    """``(bits, text)``, one row per text: the labels of its rows, OR-ed.
-    Texts that occur once stay where they are."""
-    twice = base.groupBy("t").count().filter("count > 1")
-    maybe = sketches.maybe_in(sketches.share(base.sparkSession, sketches.key_bitmap(twice, "t")))
-    tagged = base.select("t", "text", _label_bits(sample)("h").alias("bits"), maybe("t").alias("maybe"))
-    once = tagged.filter("NOT maybe").select("bits", "text")
-    copied = tagged.filter("maybe").groupBy("t").agg(F.bit_or("bits").alias("bits"), F.first("text").alias("text"))
-    return once.unionByName(copied.select("bits", "text"))
-
-
-def _counts(texts: DataFrame) -> DataFrame:
-    """``(model, chunk, packed)``: each task's compressed count chunks of the
-    raw (0) and the target model (1); model 2 holds the numbers of labelled
-    and of good texts. A text is good if all its labels are."""
     def run(batches):
         total = np.zeros((2, 1 << BITS), np.uint32)
-        labelled = np.zeros(2, np.uint32)
+        labelled = np.zeros(2, np.int64)
         for batch in batches:
+            alone = batch.column(3).to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array(~(alone & sketches.in_bitmap(bitmap.value, batch.column(2).to_numpy()))))
             bits = batch.column(0).to_numpy(zero_copy_only=False)
             is_good = bits == 2
-            labelled += np.array([(bits > 0).sum(), is_good.sum()], np.uint32)
+            labelled += (bits > 0).sum(), is_good.sum()
             for a, b, doc, f in features(batch.column(1)):
                 np.add.at(total[0], f, 1)
                 np.add.at(total[1], f[is_good[a:b][doc]], 1)
-        pack = zstandard.ZstdCompressor(level=1)
+        task = TaskContext.get().partitionId()
+
+        def row(model, c, x):
+            return pa.RecordBatch.from_arrays([pa.array([model], pa.int32()), pa.array([c], pa.int32()), pa.array([task], pa.int32()),
+                                               pa.array([sketches.pack_counts(x)], pa.binary())], names=names)
+
         for model in (0, 1):
             for c in np.flatnonzero(total[model].reshape(-1, _CHUNK).any(axis=1)).tolist():
-                x = total[model][c * _CHUNK:(c + 1) * _CHUNK]
-                yield pa.RecordBatch.from_arrays([pa.array([model], pa.int32()), pa.array([c], pa.int32()),
-                                                  pa.array([pack.compress(x.astype("<u4").tobytes())], pa.binary())], names=["model", "chunk", "packed"])
-        yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([0], pa.int32()),
-                                          pa.array([pack.compress(labelled.astype("<u4").tobytes())], pa.binary())], names=["model", "chunk", "packed"])
-
-    def merge(batches):
-        held: dict = {}
-        un = zstandard.ZstdDecompressor()
-        for b in batches:
-            for m, c, raw in zip(*(b.column(i).to_pylist() for i in range(3))):
-                held[m, c] = held.get((m, c), 0) + np.frombuffer(un.decompress(raw), "<u4").astype(np.int64)
-        pack = zstandard.ZstdCompressor(level=1)
-        for (m, c), x in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([m], pa.int32()), pa.array([c], pa.int32()), pa.array([pack.compress(x.tobytes())], pa.binary())],
-                                             names=["model", "chunk", "packed"])
-
-    schema = "model int, chunk int, packed binary"
-    return texts.select("bits", "text").mapInArrow(run, schema).repartition(16, "model", "chunk").mapInArrow(merge, schema)
+                yield row(model, c, total[model][c * _CHUNK:(c + 1) * _CHUNK])
+        yield row(2, 0, labelled)
+
+    parts = texts.mapInArrow(run, "model int, chunk int, task int, packed binary")
+    return sketches.merge_tasks(parts, ["model", "chunk"], sketches.add_counts, sketches.pack_counts)
 
 
 def log_ratios(raw: np.ndarray, target: np.ndarray, scale: float, shrink: float = 3.0, prior: float = 0.5) -> np.ndarray:
@@ -120,18 +102,14 @@ def label_sample(labels: DataFrame, id_col: str, max_labels: int) -> tuple[np.nd
     """Sorted hashed ids of the label sample and whether each is good: every
     label of the document says quality 1 and toxic 0 (null is not good)."""
     good = F.coalesce((F.col("quality") == 1) & (F.col("toxic") == 0), F.lit(False))
-    one = labels.filter(F.col(id_col).isNotNull()).groupBy(F.xxhash64(id_col).alias("h")).agg(F.min(good).alias("good"))
-    rows = sorted((r.h, r.good) for r in one.orderBy(F.xxhash64("h"), "h").limit(max_labels).collect())  # at most max_labels rows
+    one = materialize(labels.sparkSession, labels.filter(F.col(id_col).isNotNull()).groupBy(F.xxhash64(id_col).alias("h"))
+                      .agg(F.min(good).alias("good")).withColumn("place", F.xxhash64("h")), "labels")
+    # places are uniform: a bound that some more than max_labels rows pass, then the smallest of those
+    bound = sketches.hash_bound(one.count(), max_labels)
+    rows = sorted((r.h, r.good) for r in one.filter(F.col("place").cast("double") <= bound).orderBy("place", "h").limit(max_labels).collect())
     return np.array([h for h, _ in rows], np.int64), np.array([g for _, g in rows], bool)
 
 
-def good_sample(labels: DataFrame, id_col: str, max_labels: int) -> tuple[np.ndarray, float | None]:
-    """Hashed ids of the good documents of the label sample, and their share
-    of it."""
-    ids, good = label_sample(labels, id_col, max_labels)
-    return ids[good], (float(good.mean()) if len(ids) else None)
-
-
 def _noisy(weight: np.ndarray, draw: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Weights plus Gumbel noise, and bigints of the same order."""
     u = draw.to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(11)
@@ -141,30 +119,29 @@ def _noisy(weight: np.ndarray, draw: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def weigh(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_share: float | None = None,
-          max_labels: int = 50_000, seed: int = 17, errors: float = 3.0) -> DataFrame:
+          max_labels: int = 50_000, seed: int = 17) -> DataFrame:
     """One row per input row: ``id_col, log_weight, score, kept``.
 
-    ``k = round(keep_share * rows)``; by default the share of good documents
-    in the label sample. That default holds for rows only if copies are
-    labelled like other rows. So the rank is also taken over distinct texts
-    (share and rank count a text once) and its least score put to all rows;
-    where that keeps a number of rows more than ``errors`` standard errors
-    of the label share from k, it decides instead. ``score`` is the weight plus Gumbel noise drawn
-    from a hash of the id; the k largest scores are kept, ties with the k-th
-    too. Null and empty texts have weight 0. Rows that repeat an id share
-    its noise; null ids share one draw. Without labels (or without a good
-    one) all ratios are 1, and without a share all rows are kept. Other
-    columns are ignored. An empty table gives an empty result.
+    ``score`` is the weight plus Gumbel noise drawn from a hash of the text,
+    so copies share score and decision. Of the distinct texts the ``k`` with
+    the largest scores are kept, ties with the k-th too, with all their
+    rows; ``k = round(keep_share * texts)``, by default with the share of
+    good ones among the labelled texts. Null and empty texts have weight 0.
+    Without labels (or without a good one) all ratios are 1, and without a
+    share all rows are kept. Other columns are ignored. An empty table gives
+    an empty result.
     """
     spark = docs.sparkSession
     textops.bounded_batches(spark)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.xxhash64(id_col).alias("h"), text.alias("text"), F.col(id_col).alias("id"), F.xxhash64(text).alias("t"))
     ids, good = label_sample(labels, id_col, max_labels)
-    packed = {(m, c): raw for m, c, raw in _counts(_distinct(base, spark.sparkContext.broadcast((ids, good)))).collect()}  # 129 rows of a fixed size
-    un = zstandard.ZstdDecompressor()
+    sample = spark.createDataFrame([(int(h), 1 + int(g)) for h, g in zip(ids, good)], "h bigint, bits int")  # max_labels rows at most
+    texts, bitmap = _distinct(base, sample)
+    packed = {(m, c): raw for m, c, raw in _counts(texts, bitmap).select("model", "chunk", "packed").collect()}  # 129 rows of a fixed size
+    bitmap.destroy()
     zero = np.zeros(_CHUNK, np.int64)
-    read = lambda m, c: np.frombuffer(un.decompress(packed[m, c]), np.int64) if (m, c) in packed else zero
+    read = lambda m, c: sketches.unpack_counts(packed[m, c]) if (m, c) in packed else zero
     chunks = range((1 << BITS) // _CHUNK)
     raw_n, target_n = (sum(int(read(m, c).sum()) for c in chunks) for m in (0, 1))
     table = np.zeros(1 << BITS, np.float32)
@@ -178,24 +155,22 @@ def weigh(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             for a, b, doc, f in features(batch.column(1)):
                 w[a:b] = np.bincount(doc, ratio.value[f], b - a)
             score, place = _noisy(w, batch.column(4))
-            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), pa.array(w), pa.array(score), pa.array(place), pa.array(_noisy(w, batch.column(5))[1])],
-                                             names=["id", "t", "log_weight", "score", "place", "text_place"])
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), pa.array(w), pa.array(score), pa.array(place)],
+                                             names=["id", "t", "log_weight", "score", "place"])
 
     kind = dict(base.dtypes)["id"]
-    drawn = base.withColumn("u", F.xxhash64("id", F.lit(seed))).withColumn("v", F.xxhash64("t", F.lit(seed)))
-    scored = materialize(spark, drawn.mapInArrow(run, f"id {kind}, t bigint, log_weight double, score double, place bigint, text_place bigint"), "weights")
-    n = scored.count()
-    if keep_share is not None or not len(ids):
-        least = kth_largest(scored, "place", n if keep_share is None else round(keep_share * n))
+    scored = materialize(spark, base.withColumn("u", F.xxhash64("t", F.lit(seed))).mapInArrow(
+        run, f"id {kind}, t bigint, log_weight double, score double, place bigint"), "weights")
+    ratio.destroy()
+    if keep_share is None and len(ids):
+        labelled, fine = read(2, 0)[:2].tolist()
+        keep_share = fine / labelled if labelled else float(good.mean())
+    if keep_share is None:
+        kept = F.lit(True)
     else:
-        share = float(good.mean())
-        labelled, fine = (np.frombuffer(un.decompress(packed[2, 0]), np.int64) if (2, 0) in packed else np.zeros(2, np.int64)).tolist()
-        texts = materialize(spark, scored.select("t", "text_place").distinct(), "text-scores")
-        least = kth_largest(texts, "text_place", round((fine / labelled if labelled else share) * texts.count()))
-        held = 0 if least is None else scored.filter(F.col("place") >= least).count()
-        if abs(held - share * n) <= errors * np.sqrt(share * (1 - share) / len(ids)) * n:
-            least = kth_largest(scored, "place", round(share * n))
-    kept = F.lit(False) if least is None else F.col("place") >= least
+        of_texts = materialize(spark, scored.select("t", "place").distinct(), "text-scores")
+        least = kth_largest(of_texts, "place", round(keep_share * of_texts.count()))
+        kept = F.lit(False) if least is None else F.col("place") >= least
     return scored.select(F.col("id").alias(id_col), "log_weight", "score", kept.alias("kept"))
 
 
@@ -219,8 +194,14 @@ def kth_largest(df: DataFrame, column: str, k: int) -> int | None:
     return known
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """``docs`` without the rejected rows, same columns. A row goes when its
-    id is rejected; rows that share an id (null too) go when one of them is."""
-    gone = weigh(docs, labels, id_col, **how).filter("NOT kept").select(F.col(id_col).alias("id")).distinct()
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", bound: float = -1.5, **how) -> DataFrame:
+    """``docs`` without the rejected rows, same columns.
+
+    Here the weight decides, not a rank: a row goes when its log weight is
+    below ``bound`` (clearly negative: its n-grams speak against it), so that
+    neither noise nor a number to be filled rejects clean documents or keeps
+    bad ones. Null and empty texts have weight 0 and stay. Rows that share an id (null
+    too) go when one of them is rejected. An empty table stays empty.
+    """
+    gone = weigh(docs, labels, id_col, **how).filter(F.col("log_weight") < bound).select(F.col(id_col).alias("id")).distinct()
     return sketches.without(docs, materialize(docs.sparkSession, gone, "rejected"), [(F.col(id_col), "id")])

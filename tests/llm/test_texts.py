@@ -4,6 +4,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,20 +159,55 @@ def test_quality_held_out(spark):
     junk, toxic = [r for r in rows if r.quality == 0], [r for r in rows if r.toxic == 1]
     share = np.mean([r.kept for r in good])
     assert share > 0.93 and np.mean([r.kept for r in junk]) < 0.1 and np.mean([r.kept for r in toxic]) < 0.45
-    _, p = quality.good_sample(fit, "doc_id", 50_000)
-    assert got.filter("kept").count() == round(p * n)
+    ids, ok = quality.label_sample(fit, "doc_id", 50_000)
+    labels = dict(zip(ids.tolist(), ok.tolist()))
+    seen: dict = {}  # a text's labels and decisions, over its rows
+    for r in got.join(d, "doc_id").select("kept", "text", F.xxhash64("doc_id").alias("h")).collect():
+        own = seen.setdefault(r.text, ([], set()))
+        own[0].extend([labels[r.h]] if r.h in labels else [])
+        own[1].add(r.kept)
+    assert all(len(kept) == 1 for _, kept in seen.values()) and got.count() == n  # copies share a decision
+    told = [all(x) for x, _ in seen.values() if x]
+    assert sum(kept == {True} for _, kept in seen.values()) == round(np.mean(told) * len(seen))
+
+
+def test_quality_equals_recomputation(spark, docs, texts):
+    """Counts, ratios, weights, noise and the k largest, recomputed text by
+    text from the definition."""
+    labels = [(i, int(i % 3 > 0), int(i % 7 == 0)) for i in range(0, 1030, 2)]
+    got = quality.weigh(docs, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")).collect()
+    good = {i: q == 1 and t == 0 for i, q, t in labels}
+    of_text: dict = {}
+    for i, t in texts:
+        of_text.setdefault(t or "", []).extend([good[i]] if i in good else [])
+    bucket = {t: next(f for *_, f in quality.features(pa.array([t]))) for t in of_text}
+    raw, target = np.zeros(1 << quality.BITS, np.int64), np.zeros(1 << quality.BITS, np.int64)
+    for t, own in of_text.items():
+        np.add.at(raw, bucket[t], 1)
+        if own and all(own):
+            np.add.at(target, bucket[t], 1)
+    ratio = quality.log_ratios(raw, target, target.sum() / raw.sum())
+    weight = {t: float(ratio[f].astype(float).sum()) for t, f in bucket.items()}
+    draw = {r.t: r.u for r in spark.createDataFrame([(t,) for t in of_text], "t string").select("t", F.xxhash64(F.xxhash64("t"), F.lit(17)).alias("u")).collect()}
+    score = {t: weight[t] - np.log(-np.log(((draw[t] % 2**64 >> 11) + 0.5) / 2.0**53)) for t in of_text}
+    told = [all(x) for x in of_text.values() if x]
+    least = sorted(score.values(), reverse=True)[round(np.mean(told) * len(of_text)) - 1]
+    want = sorted((i is None, i or 0, round(weight[t or ""], 3), round(score[t or ""], 3), score[t or ""] >= least) for i, t in texts)
+    assert sorted((r.doc_id is None, r.doc_id or 0, round(r.log_weight, 3), round(r.score, 3), r.kept) for r in got) == want
 
 
 def test_quality_edges(spark, docs, empty):
     labels = spark.createDataFrame([(0, 1, 0), (1, None, 0), (2, 0, 0), (None, 1, 0), (0, 1, None)], "doc_id bigint, quality int, toxic int")
     got = quality.weigh(docs, labels, keep_share=0.5)
-    assert got.count() == docs.count() and got.filter("kept").count() >= round(docs.count() / 2)
-    scores = sorted((r.score for r in got.collect()), reverse=True)
-    k = round(docs.count() / 2)
-    assert {r.score >= scores[k - 1] for r in got.filter("kept").collect()} == {True}
+    assert got.count() == docs.count()
+    scores = sorted({r.score for r in got.collect()}, reverse=True)  # one per text
+    k = round(len(scores) / 2)
+    assert {(r.score, r.kept) for r in got.collect()} == {(s, s >= scores[k - 1]) for s in scores}
     assert quality.weigh(docs, labels.limit(0)).filter("NOT kept").count() == 0
     assert quality.weigh(empty, labels).count() == 0 and quality.keep_good(empty, labels).columns == docs.columns
-    assert quality.keep_good(docs, labels, keep_share=0.0).count() == 0
+    heavy = {r.doc_id for r in got.collect() if r.log_weight < -1.5}
+    assert {r.doc_id for r in quality.keep_good(docs, labels).collect()} == {r.doc_id for r in docs.collect()} - heavy
+    assert quality.keep_good(docs, labels, bound=1e9).count() == 0
 
 
 @pytest.mark.parametrize("clean", [True, False])
