@@ -1,9 +1,8 @@
 """Sinks: chat Parquet, token-shard files (export / import) and the
 done-file manifest.
 
-Token-shard file layout (fixed values, little endian): a 20-byte header
-``4s i i i i`` = magic ``XLLM``, version 1, num_tokens, num_special_tokens,
-dtype code (0 = int16, 1 = int32, 2 = int64), then the token array.
+Token-shard file layout: see ``shard_source``, which is also their Spark
+data source.
 """
 
 from __future__ import annotations
@@ -18,15 +17,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names
+from .shard_source import DTYPES, HEADER_FORMAT, HEADER_SIZE, INT32_MAX, MAGIC, VERSION, parse_header
 from .storage import open_input, open_random, resolve
 
-HEADER_FORMAT = "<4siiii"
-HEADER_SIZE = struct.calcsize(HEADER_FORMAT)   # 20
-MAGIC = b"XLLM"
-VERSION = 1
-DTYPES = ("i2", "i4", "i8")  # the code is the place
 DTYPE_CODES = {name: code for code, name in enumerate(DTYPES)}
-INT32_MAX = 2**31 - 1
 READ_TOKENS = 1 << 22  # ids held by one output batch of the importer
 
 
@@ -156,10 +150,7 @@ def _read_headers(batches):
         for path in pdf["path"]:
             with open_input(path) as f:
                 raw = f.read(HEADER_SIZE)
-            fields = struct.unpack(HEADER_FORMAT, raw) if len(raw) == HEADER_SIZE else None
-            if fields is None or fields[:2] != (MAGIC, VERSION) or fields[4] not in range(len(DTYPES)):
-                raise ValueError(f"{path} does not start with a token-shard header (found {raw!r})")
-            rows.append((path, fields[2], fields[3], DTYPES[fields[4]]))
+            rows.append((path, *parse_header(path, raw)))
         yield pd.DataFrame(rows, columns=["path", "num_tokens", "num_special_tokens", "dtype"])
 
 
