@@ -12,15 +12,18 @@ trees shuffle.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.chat import render_train, turn
 from ..functions.hashing import uniform
-from ..session import materialize, scratch_path
+from ..session import materialize
+from .ordering import ordinal, with_range_bucket
 
 CHAT_COLUMNS = ["id", "text", "chat"]
 
@@ -183,8 +186,9 @@ def tree_paths(spark, edges: DataFrame) -> DataFrame:
         F.max_by(F.col("parent_id").isNull(), "dist").alias("rooted")).filter("rooted")
     paths = paths.select("tree_id", F.transform("p", lambda x: x["ordinal"]).alias("ords"),
                          F.transform("p", lambda x: turn(x["role"], x["text"])).alias("chat"))
-    k = F.row_number().over(Window.partitionBy("tree_id").orderBy("ords")) - 1
-    out = paths.withColumn("k", k)
+    # numbered by ranges of (tree, place): the chats of a large tree are spread over tasks
+    placed = with_range_bucket(paths, ["tree_id", "ords"])
+    out = ordinal(placed, ["ords"], by=["tree_id"], bucket=F.col("__rbucket"), out="k")
     return out.select(F.concat_ws("/", F.col("tree_id").cast("string"), F.col("k").cast("string")).alias("id"),
                       render_train("chat").alias("text"), "chat")
 
@@ -194,33 +198,50 @@ def drop_empty(df: DataFrame, text: str = "text") -> DataFrame:
     return df.filter(F.coalesce(F.length(text), F.lit(0)) > 0)
 
 
+def _walk(tree_id: str, text: str | None):
+    """Nodes of one nested tree, parents first: ``(tree_id, node_id,
+    parent_id, ordinal, role, text)``, node ids counted in that order."""
+    def plain(v):
+        return v if v is None or isinstance(v, str) else json.dumps(v)
+
+    try:
+        stack = [(json.loads(text) if text is not None else {}, None, 0)]
+    except (ValueError, RecursionError) as broken:
+        raise ValueError(f"tree {tree_id} is not a JSON tree: {broken}") from None
+    n = 0
+    while stack:
+        node, parent, place = stack.pop()
+        replies = node.get("replies") if isinstance(node, dict) else 0
+        if not (replies is None or isinstance(replies, list)):
+            raise ValueError(f"tree {tree_id} is not a JSON tree: a node is {str(node)[:80]!r}")
+        own, n = str(n), n + 1
+        yield tree_id, own, parent, place, plain(node.get("role")), plain(node.get("text"))
+        stack += [(r, own, i) for i, r in reversed(list(enumerate(replies or []))) if r is not None]
+
+
 def nested_tree_edges(df: DataFrame, prompt: str = "prompt", tree_id: str = "id") -> DataFrame:
     """Edge table of nested trees ``{role, text, replies: [...]}`` given as
-    JSON text (one tree per row), of any depth. Each level is parsed with
-    ``from_json`` into ``(role, text, replies array<string>)`` and its
-    replies exploded with their position, until a level is empty; text that
-    is not JSON fails the job. Each level is written to the shared folder
-    before the next is derived and the levels are read back as one table,
-    so neither plan nor work grows with the levels above."""
-    spark = df.sparkSession
-    node = "struct<role:string,text:string,replies:array<string>>"
-    strict = {"mode": "FAILFAST"}
-    level = df.select(F.col(tree_id).cast("string").alias("tree_id"),
-                      F.lit("0").alias("node_id"), F.lit(None).cast("string").alias("parent_id"),
-                      F.lit(0).alias("ordinal"), F.from_json(F.col(prompt), node, strict).alias("n"))
-    paths = []
-    while True:
-        path = scratch_path(spark, "tree-level")
-        level.write.option("compression", "zstd").parquet(path)
-        paths.append(path)
-        level = spark.read.parquet(path)
-        nxt = level.select("tree_id", F.col("node_id").alias("parent_id"),
-                           F.posexplode("n.replies").alias("ordinal", "child")) \
-            .filter(F.col("child").isNotNull()) \
-            .select("tree_id", F.concat_ws(".", "parent_id", F.col("ordinal").cast("string")).alias("node_id"),
-                    "parent_id", "ordinal", F.from_json("child", node, strict).alias("n"))
-        if level.filter(F.size("n.replies") > 0).isEmpty():
-            break
-        level = nxt
-    return spark.read.parquet(*paths).select("tree_id", "node_id", "parent_id", "ordinal",
-                                             F.col("n.role").alias("role"), F.col("n.text").alias("text"))
+    JSON text (one tree per row). Each text is parsed once and walked with a
+    stack in the task that reads it; a missing text is a root without role
+    and text, one that is not such a tree fails the job."""
+    names = ["tree_id", "node_id", "parent_id", "ordinal", "role", "text"]
+
+    def run(batches):
+        def batch(rows):
+            cols = list(zip(*rows))
+            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols[:3]), pa.array(cols[3], pa.int32()),
+                                               *(pa.array(c, pa.string()) for c in cols[4:])], names=names)
+
+        rows = []
+        for b in batches:
+            for tree, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for row in _walk(tree, text):
+                    rows.append(row)
+                    if len(rows) >= 4096:
+                        yield batch(rows)
+                        rows = []
+        if rows:
+            yield batch(rows)
+
+    return df.select(F.col(tree_id).cast("string"), F.col(prompt).cast("string")).mapInArrow(
+        run, "tree_id string, node_id string, parent_id string, ordinal int, role string, text string")

@@ -27,9 +27,9 @@ def _as_text(df: DataFrame, c: str) -> Column:
 
 
 def wrap_metadata(meta: Column) -> Column:
-    """A JSON object string opens into a map, anything else becomes
-    ``{"metadata": value}``; null gives an empty map."""
-    is_obj = F.ltrim(meta).startswith("{")
+    """A JSON object string opens into a map, anything else (broken JSON
+    too) becomes ``{"metadata": value}``; null gives an empty map."""
+    is_obj = F.ltrim(meta).startswith("{") & F.try_parse_json(meta).isNotNull()
     return (F.when(meta.isNull(), F.create_map().cast("map<string,string>"))
              .when(is_obj, F.from_json(meta, "map<string,string>"))
              .otherwise(F.create_map(F.lit("metadata"), meta)))

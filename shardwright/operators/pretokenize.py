@@ -64,11 +64,11 @@ def pretokenize(spark: SparkSession, root: str, fmt: str, out_dir: str, prefix:
     tok = packing.tokenize(docs, "text", tokenizer=tokenizer, add_bos=spec.add_bos, add_eos=spec.add_eos).drop("text")
     tok = materialize(spark, tok, "pretokenized")
     pieces = packing.pack_shards(tok, spec, ["prefix", "shard"], "doc_order")
-    done = _done(spark, f"{manifest}/outputs")
+    done = _done(spark, manifest)
     first = sinks.next_file_no(done)
     pieces = pieces.join(first, ["prefix", "shard"], "left") \
         .withColumn("file_no", F.col("file_no") + F.coalesce("next_no", F.lit(0))).drop("next_no")
-    batch = str(done.count())  # numbers of a run that failed are used again
+    batch = str(_runs(spark, manifest).count())  # the number of a run that failed is used again; a run without rows has one too
     written = materialize(spark, sinks.export_shards(pieces, out_dir, prefix="prefix", dtype=dtype), "written-files")
     written.write.mode("overwrite").parquet(f"{manifest}/outputs/batch={batch}")
     sinks.append_manifest(new.select("path"), f"{manifest}/inputs", batch=batch)
@@ -81,9 +81,20 @@ def _ranked(files: DataFrame) -> DataFrame:
     return ordinal(files, ["sig", "path"], bucket=bucket_hex("sig", 4), out="file_rank")
 
 
-def _done(spark: SparkSession, path: str) -> DataFrame:
+def _runs(spark: SparkSession, manifest: str) -> DataFrame:
+    """``(batch)`` of the finished runs: their inputs are recorded last."""
+    from ..sources.readers import path_exists
+    if not path_exists(spark, f"{manifest}/inputs"):
+        return spark.createDataFrame([], "batch string")
+    return spark.read.schema("path string, batch string").parquet(f"{manifest}/inputs").select("batch").distinct()
+
+
+def _done(spark: SparkSession, manifest: str) -> DataFrame:
+    """Outputs of finished runs. The files of a run that failed before its
+    inputs were recorded are numbered and written again."""
     from ..sources.readers import path_exists
     schema = "file_name string, num_tokens long, num_special_tokens long"
-    if path_exists(spark, path):
-        return spark.read.option("recursiveFileLookup", True).schema(schema).parquet(path)
-    return spark.createDataFrame([], schema)
+    if not path_exists(spark, f"{manifest}/outputs"):
+        return spark.createDataFrame([], schema)
+    out = spark.read.schema(f"{schema}, batch string").parquet(f"{manifest}/outputs")
+    return out.join(_runs(spark, manifest), "batch", "left_semi").drop("batch")

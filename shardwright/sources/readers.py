@@ -76,8 +76,9 @@ def read_jsonl(spark: SparkSession, root, schema, pattern: str | None = None,
 
 
 def read_json_array(spark: SparkSession, root, schema, pattern: str | None = "*.json") -> DataFrame:
-    """Files holding one JSON array of records (whole file per task)."""
-    return _reader(spark, pattern).schema(schema).option("multiLine", True).json(root)
+    """Files holding one JSON array of records (whole file per task); a
+    broken file fails the job (``bad_json_files`` lists such files)."""
+    return _reader(spark, pattern).schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(root)
 
 
 def read_json_positions(spark: SparkSession, root, schema: str, pattern: str | None = "*.json",

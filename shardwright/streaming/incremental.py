@@ -60,7 +60,7 @@ def ingest_new_files(spark: SparkSession, input_dir: str, out_dir: str, checkpoi
     def batch(df: DataFrame, epoch: int) -> None:
         tok = packing.tokenize(df.select(*keep, text, "path"), text, tokenizer=tokenizer).drop(text)
         tok.drop("path").write.mode("overwrite").parquet(os.path.join(out_dir, "tokens", f"batch={epoch}"))
-        sinks.append_manifest(df.select("path").distinct(), os.path.join(out_dir, "manifest"))
+        sinks.append_manifest(df.select("path").distinct(), os.path.join(out_dir, "manifest"), batch=f"epoch-{epoch}")
 
     _run(stream.writeStream.foreachBatch(batch), checkpoint)
 
