@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>|[^<]+|<""", re.S)
+# a quote opens a value behind an equals sign only, and only if it is closed somewhere
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*"|'[^']*')?+)*+)>|<[!?/][^>]*>|[^<]+|<""", re.S)
+# behind the last tag that ends: an open tag reaches to the next one
+_LOOSE = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>?|<[!?/][^<>]*>?|[^<]+|<""", re.S)
+_STARTS = re.compile(r"/?[a-zA-Z]|[!?/]")
 _ATTR = re.compile(r"""(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"""display\s*:\s*none|(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true""", re.I)
@@ -22,16 +27,63 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl
           "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr", "td", "th"}, {"table"})}
 
 
+class Open:
+    """An open block element. What it shares with its parent (distinct tags
+    above, distinct names, hidden) is held once, so depth costs nothing."""
+
+    __slots__ = ("tag", "parent", "up", "above", "tags", "names", "hidden")
+
+    def __init__(self, tag: str, names: list[str], hidden: bool, parent: "Open | None"):
+        self.tag, self.parent, self.up = tag, parent, parent.tag if parent else "none"
+        self.above = parent.tags if parent else ()
+        self.tags = self.above if tag in self.above else (*self.above, tag)
+        known = parent.names if parent else {}
+        new = [w for w in names if w not in known]
+        self.names = {**known, **dict.fromkeys(new)} if new else known
+        self.hidden = hidden or bool(parent and parent.hidden)
+
+
+_TOP = Open("none", [], False, None)  # text outside of any block
+_TOP.tags = ()
+
+
 class Block:
-    __slots__ = ("text", "path", "names", "linked", "hidden")
+    """``own`` and ``up``: the innermost block tag and the one around it;
+    ``above``: distinct tags around the innermost; ``tags``: with it;
+    ``names``: distinct words of class, id and role; ``linked``: characters
+    inside links."""
+
+    __slots__ = ("text", "at", "own", "up", "above", "tags", "names", "linked", "hidden")
 
-    def __init__(self, text, path, names, linked, hidden):
-        self.text, self.path, self.names, self.linked, self.hidden = text, path, names, linked, hidden
+    def __init__(self, text: str, at: Open, linked: int):
+        self.text, self.at, self.linked = text, at, linked
+        self.own, self.up, self.above, self.tags, self.names, self.hidden = at.tag, at.up, at.above, at.tags, at.names, at.hidden
+
+    @property
+    def path(self) -> tuple[str, ...]:
+        """All open block tags, outermost first."""
+        out, at = [], self.at
+        while at is not None and at is not _TOP:
+            out.append(at.tag)
+            at = at.parent
+        return tuple(reversed(out))
+
+
+def _next(page: str, pos: int, token: re.Pattern) -> tuple[re.Match, re.Pattern]:
+    """Next token and the pattern to go on with: a tag that never ends turns
+    to the loose one for the rest, so the page is read to its end once."""
+    m = token.match(page, pos)
+    if token is _TOKEN and m[0] == "<" and _STARTS.match(page, pos + 1):
+        return _LOOSE.match(page, pos), _LOOSE
+    return m, token
 
 
 def declared_language(page: str) -> str | None:
     """Language of the ``html`` tag, its primary subtag in lower case."""
-    for m in _TOKEN.finditer(page):
+    pos, token = 0, _TOKEN
+    while pos < len(page):
+        m, token = _next(page, pos, token)
+        pos = m.end()
         if m[2] and m[2].lower() == "html" and not m[1]:
             found = _LANG.search(m[3])
             return found[1].lower() if found else None
@@ -42,10 +94,15 @@ def declared_language(page: str) -> str | None:
 
 def blocks(page: str) -> list[Block]:
     """Non-empty leaf blocks in page order. Character references are
-    decoded, white space is one space. ``path``: open block tags; ``names``:
-    words of their class, id and role; ``linked``: characters inside links."""
+    decoded, white space is one space. Time grows with the page's length
+    whatever its depth, unclosed tags or unclosed quotes. A quote that is
+    never closed belongs to its tag up to the next ``>``; a tag that never
+    ends reaches to the next ``<``."""
     out: list[Block] = []
-    stack: list[tuple] = []  # (tag, names, hidden)
+    stack: list[Open] = []
+    opened: Counter = Counter()
+    never: set[str] = set()
+    token = _TOKEN
     buf: list[str] = []
     links: list[str] = []
     depth_a = 0
@@ -57,12 +114,26 @@ def blocks(page: str) -> list[Block]:
             text = " ".join(html.unescape("".join(buf)).split())
             if text:
                 linked = len(" ".join(html.unescape("".join(links)).split())) if links else 0
-                out.append(Block(text, tuple(s[0] for s in stack), tuple(w for s in stack for w in s[1]), linked, any(s[2] for s in stack)))
+                out.append(Block(text, stack[-1] if stack else _TOP, linked))
             buf.clear()
             links.clear()
 
+    def close(k):
+        for s in stack[k:]:
+            opened[s.tag] -= 1
+        del stack[k:]
+
+    def behind(tag, pattern, at):
+        """End of a skipped element; one that is nowhere is sought once."""
+        if tag in never:
+            return None
+        end = re.compile(pattern, re.I).search(page, at)
+        if end is None:
+            never.add(tag)
+        return end
+
     while pos < n:
-        m = _TOKEN.match(page, pos)
+        m, token = _next(page, pos, token)
         pos = m.end()
         tag = m[2]
         if tag is None:
@@ -78,23 +149,21 @@ def blocks(page: str) -> list[Block]:
                 depth_a = max(0, depth_a - 1)
             elif tag in BLOCK:
                 flush()
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        break
+                if opened[tag]:
+                    close(next(k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == tag))
                 depth_a = 0
             continue
         if tag in SKIP:
             if tag == "head":
-                end = re.compile(r"</head\s*>|<body[\s>]", re.I).search(page, _past_raw(page, pos))
+                end = behind(tag, r"</head\s*>|<body[\s>]", _past_raw(page, pos))
                 pos = (end.start() if end[0].lower().startswith("<body") else end.end()) if end else pos
             elif not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, pos)
+                end = behind(tag, rf"</{tag}\b[^>]*>", pos)
                 pos = end.end() if end else (n if tag in RAW else pos)
             buf.append(" ")
             continue
         if tag == "title":
-            end = re.compile(r"</title\s*>", re.I).search(page, pos)
+            end = behind(tag, r"</title\s*>", pos)
             pos = end.end() if end else pos
             continue
         if tag == "br":
@@ -108,18 +177,20 @@ def blocks(page: str) -> list[Block]:
             depth_a = 0
             if tag in VOID:
                 continue
-            if stack and stack[-1][0] == "p":  # a block ends an open paragraph
-                stack.pop()
+            if stack and stack[-1].tag == "p":  # a block ends an open paragraph
+                close(len(stack) - 1)
             if tag in CLOSES:
                 ends, scope = CLOSES[tag]
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in ends:
-                        del stack[k:]
-                        break
-                    if stack[k][0] in scope:
-                        break
-            names = tuple(w for a in _ATTR.findall(m[3]) for w in _WORD.findall("".join(a).lower())) if m[3] else ()
-            stack.append((tag, names, bool(m[3]) and bool(_HIDDEN.search(m[3]))))
+                if any(opened[t] for t in ends):
+                    for k in range(len(stack) - 1, -1, -1):
+                        if stack[k].tag in ends:
+                            close(k)
+                            break
+                        if stack[k].tag in scope:
+                            break
+            names = [w for a in _ATTR.findall(m[3]) for w in _WORD.findall("".join(a).lower())] if m[3] else []
+            stack.append(Open(tag, names, bool(m[3]) and bool(_HIDDEN.search(m[3])), stack[-1] if stack else None))
+            opened[tag] += 1
     flush()
     return out
 

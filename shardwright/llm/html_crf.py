@@ -62,16 +62,15 @@ def page_features(blocks: list) -> Features:
         words = t.count(" ") + 1
         size = min(8, words.bit_length())
         link = min(3, int(4 * b.linked / max(len(t), 1)))
-        own = b.path[-1] if b.path else "none"
-        up = b.path[-2] if len(b.path) > 1 else "none"
+        own, up = b.own, b.up
         f = ["bias", f"t:{own}", f"u:{up}", f"n:{size}", f"l:{link}", f"nl:{size}{link}", f"tn:{own}{size}",
              f"e:{t[-1] in '.!?:' }", f"tl:{own}{link}", f"c:{'©' in t}", f"at:{min(4, 5 * before // max(total, 1))}"]
         if k == 0 or k == last:
             f.append(f"edge:{k == 0}{k == last}")
         if b.hidden:
             f.append("hidden")
-        f += [f"a:{x}" for x in dict.fromkeys(b.path[:-1]) if x not in ("html", "body")]
-        f += [f"k:{x}" for x in dict.fromkeys(b.names)]
+        f += [f"a:{x}" for x in b.above if x not in ("html", "body")]
+        f += [f"k:{x}" for x in b.names]
         first.append(len(flat))
         flat += [_index(x) for x in f]
         before += len(t)

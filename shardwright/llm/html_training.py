@@ -81,11 +81,17 @@ class Builder:
 
     def article(self) -> list[tuple[str, int]]:
         r = self.rng
-        out = [(f"<h1>{self.esc(self.words(2, 12))}</h1>", 1)] if r.random() < 0.85 else []
+        title = r.choices(["h1", "h2", "div"], [8, 1, 1])[0]
+        out = [(f"<{title}>{self.esc(self.words(2, 12))}</{title}>", 1)] if r.random() < 0.85 else []
+        if out and r.random() < 0.1:
+            out = [("<div>", None), *out, ("</div>", None)]
+        plain = r.random() < 0.12  # every paragraph a div of its own
         for k in range(r.randint(1, 9)):
             x = r.random()
             t = self.esc(self.prose() if r.random() < 0.85 else self.words(1, 8))
-            if x < 0.12:
+            if plain and x < 0.7:
+                out.append((f"<div>{t}</div>", 1))
+            elif x < 0.12:
                 out.append((f"<p><b>{t}<br>", 1))
             elif x < 0.2:
                 out.append((f"<h{r.randint(2, 4)}>{self.esc(self.words(1, 8))}</h2>", 1))
@@ -112,10 +118,15 @@ class Builder:
         if r.random() < 0.3:
             out += self.wrap("aside")
         x = r.random()
-        if x < 0.55:
+        if x < 0.5:
             shell = ("<article>", "</article>")
-        elif x < 0.7:
+        elif x < 0.63:
             shell = ("<main>", "</main>")
+        elif x < 0.73:  # nothing says where the article is
+            deep = r.randint(0, 3)
+            shell = ("<div>" * deep, "</div>" * deep)
+        elif x < 0.76:
+            shell = r.choice([("<table><tr><td>", "</td></tr></table>"), ("<section>", "</section>")])
         else:
             shell = (f'<div {r.choice(["class", "id"])}="{r.choice(["", "post-", "entry-"])}{r.choice(CONTENT)}">', "</div>")
         if r.random() < 0.15:
@@ -127,6 +138,9 @@ class Builder:
         for kind in ("share", "comments", "aside", "ad", "form", "notice", "footer"):
             if r.random() < {"footer": 0.85, "comments": 0.35}.get(kind, 0.25):
                 out += self.wrap(kind)
+        if r.random() < 0.3:
+            around = r.choice(["", ' id="page"', ' id="wrapper"', ' class="container"', ' id="root"', ' class="wrap"'])
+            out = [(f"<div{around}>", None), *out, ("</div>", None)]
         return out
 
 

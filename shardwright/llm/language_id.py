@@ -52,7 +52,7 @@ def paragraph_text(page: str) -> str:
     """Text of the blocks with few links outside navigation, footers, asides
     and forms, whatever their tag; all text if there are none."""
     found = html_blocks.blocks(page)
-    main = [b.text for b in found if 2 * b.linked < len(b.text) and not {"nav", "footer", "aside", "form"} & set(b.path)]
+    main = [b.text for b in found if 2 * b.linked < len(b.text) and not {"nav", "footer", "aside", "form"} & set(b.tags)]
     return "\n".join(main or [b.text for b in found])
 
 
