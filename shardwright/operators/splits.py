@@ -88,10 +88,15 @@ def split_rows(df: DataFrame, rate: float, seed, id_col: str, by: Sequence[str]
 def prefix_match(files: DataFrame, config: DataFrame, corpus: str = "corpus",
                  name: str = "file_name") -> DataFrame:
     """Files whose base name starts with a configured prefix; a
-    file may match two prefixes. ``config`` is the user's corpus list, so
-    its size is known and it is broadcast for the non-equi join."""
+    file may match two prefixes. Each name gives one key for every length a
+    prefix has (a level of the prefixes' trie), and the keys meet the config
+    in an equality join: no nested loop over the config. Null names and null
+    prefixes match nothing; the empty prefix matches every name."""
     base = F.regexp_extract(F.col(name), r"([^/]*)$", 1)
-    return files.join(F.broadcast(config), base.startswith(F.col(corpus)), "inner")
+    lengths = config.agg(F.array_sort(F.collect_set(F.length(corpus)))).scalar()
+    keyed = files.withColumn("__n", F.explode(lengths)).filter(F.col("__n") <= F.length(base)) \
+        .withColumn("__key", F.substr(base, F.lit(1), F.col("__n")))
+    return keyed.join(config, F.col("__key") == F.col(corpus), "inner").drop("__key", "__n")
 
 
 def missing_corpora(files_matched: DataFrame, config: DataFrame, corpus: str = "corpus") -> DataFrame:

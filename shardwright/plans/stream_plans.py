@@ -3,7 +3,7 @@ consumed by file-source streams with ``availableNow`` triggers."""
 
 from __future__ import annotations
 
-import os
+import math
 
 from pyspark.sql import functions as F
 
@@ -14,21 +14,25 @@ from . import report_plans
 from .registry import query
 from .tables import table
 
-ARRIVALS = 6   # files the documents / events arrive in, one per trigger
+ARRIVALS = 6   # files the events arrive in, one per trigger
 C = 2048
-SHARDS = 4
+# Documents: sqrt(n / 320) arrivals dealt to sqrt(n / 16) shards, so a shard
+# gets about 70 documents an arrival however large the table is.
+ARRIVAL_ROWS, SHARD_ROWS = 320, 16
 
 
-def _write_ordered_files(df, key: str, out_dir: str, n_files_col: str = "__f"):
-    """Write ``df`` as JSON Lines, one folder per value of ``key`` in
+def _write_ordered_files(df, key: str, out_dir: str):
+    """Write ``df`` as JSON Lines, one file per value of ``key`` in
     increasing order, and stamp increasing modification times so that a
     file source with one file per trigger reads them in that order."""
     df.repartition(key).sortWithinPartitions(*df.columns).write.partitionBy(key).json(out_dir)
-    parts = sorted((d for d in os.listdir(out_dir) if d.startswith(f"{key}=")),
-                   key=lambda d: int(d.split("=", 1)[1]))
-    for i, d in enumerate(parts):
-        for f in os.listdir(os.path.join(out_dir, d)):
-            os.utime(os.path.join(out_dir, d, f), (1_600_000_000 + i, 1_600_000_000 + i))
+    jvm = df.sparkSession.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(out_dir)
+    store = root.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
+    found = [(int(d.getPath().getName().split("=", 1)[1]), d.getPath()) for d in store.listStatus(root) if d.isDirectory()]
+    for k, folder in found:
+        for f in store.listStatus(folder):
+            store.setTimes(f.getPath(), (1_600_000_000 + k) * 1000, -1)
 
 
 @query("stream_new_files", sql="""
@@ -50,8 +54,9 @@ def q_stream_new_files(spark, sf_dir):
 
 
 @query("stream_pack", sql=f"""
-WITH d AS (
-  SELECT doc_id, doc_id % {SHARDS} AS shard, strlen(text) + 1 AS n,
+WITH s AS (SELECT greatest(1, ceil(sqrt(count(*) / {SHARD_ROWS}.0)))::BIGINT AS n_shards FROM documents),
+d AS (
+  SELECT doc_id, doc_id % (SELECT n_shards FROM s) AS shard, strlen(text) + 1 AS n,
          list_concat(list_transform(regexp_extract_all(hex(encode(text)), '..'),
                                     lambda x: ('0x' || x)::INTEGER + 17), [0]) AS toks
   FROM documents),
@@ -65,17 +70,19 @@ pc AS (SELECT shard, win, doc_id, lo, hi - lo AS len,
 SELECT shard::INTEGER AS shard, win, arg_min(doc_id, lo) AS first_doc_id, md5(string_agg(s, ',' ORDER BY lo)) AS ids_md5
 FROM pc GROUP BY shard, win HAVING sum(len) = {C}""")
 def q_stream_pack(spark, sf_dir):
-    """Documents arrive in doc_id order in ARRIVALS files, one per
-    trigger; windows per shard carry their partial tail across triggers."""
+    """Documents arrive in doc_id order in files, one per trigger;
+    windows per shard carry their partial tail across triggers. Files and
+    shards both grow with the square root of the table."""
     base = scratch_path(spark, "streampack")
     inp, out, ckpt = f"{base}/in", f"{base}/out", f"{base}/ckpt"
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    n = docs.agg(F.max("doc_id")).first()[0] + 1
-    docs = docs.withColumn("grp", F.floor(F.col("doc_id") * ARRIVALS / F.lit(n)).cast("long"))
+    top, n = docs.agg(F.max("doc_id"), F.count("*")).first()
+    arrivals, shards = (max(1, math.ceil(math.sqrt(n / per))) for per in (ARRIVAL_ROWS, SHARD_ROWS))
+    docs = docs.withColumn("grp", F.floor(F.col("doc_id") * arrivals / F.lit((top or 0) + 1)).cast("long"))
     _write_ordered_files(docs, "grp", inp)
     stream = spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", 1).json(inp)
-    tok = packing.assign_shard(packing.tokenize(stream, "text"), "doc_id", SHARDS)
-    incremental.run_to_parquet(incremental.pack_stream(tok, C), out, ckpt)
+    tok = packing.assign_shard(packing.tokenize(stream, "text"), "doc_id", shards)
+    incremental.run_to_parquet(incremental.pack_stream(tok, C), out, ckpt, rocksdb=True)
     w = spark.read.parquet(out)
     return w.select("shard", "win", "first_doc_id", F.md5(F.array_join("input_ids", ",")).alias("ids_md5"))
 

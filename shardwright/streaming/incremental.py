@@ -7,8 +7,8 @@
   output instead of duplicating it; the manifest row of a file is written
   after its tokens.
 - ``pack_stream`` (Z2): training windows over a stream of documents, the
-  partial window of each shard carried in state from batch to batch
-  (``applyInPandasWithState``; state < C tokens per shard).
+  partial window of each shard carried from batch to batch in state
+  (``transformWithStateInPandas``; less than C ids per shard).
 - ``plateau_stream`` (Z3): the evaluation-loss plateau counter per run,
   state = (steps seen, best loss, step of the last improvement).
 """
@@ -22,27 +22,34 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..operators import packing
 from ..operators.reports import PLATEAU_START_LOSS
 from ..sources import sinks
 
 
+# state variables of several kinds need the RocksDB store, which comes with Spark
+_STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def _run(query_writer, checkpoint: str, spark: SparkSession | None = None,
-         state_partitions: int | None = None) -> None:
+         state_partitions: int | None = None, rocksdb: bool = False) -> None:
     """Start with ``availableNow`` and wait. ``state_partitions`` fixes the
-    number of state-store partitions of a stateful query (taken from the
-    shuffle-partition setting when the query starts and kept in its
-    checkpoint); the session's own setting is restored right after start."""
-    old = None
-    if spark is not None and state_partitions:
-        old = spark.conf.get("spark.sql.shuffle.partitions")
-        spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+    number of state-store partitions of a stateful query. Both it and the
+    state store are taken from the session when the query starts and kept in
+    its checkpoint; the session's own settings are restored right after."""
+    ours = {"spark.sql.shuffle.partitions": str(state_partitions)} if state_partitions else {}
+    if rocksdb:
+        ours["spark.sql.streaming.stateStore.providerClass"] = _STATE_STORE
+    old = {k: spark.conf.get(k, None) for k in ours}
+    for k, v in ours.items():
+        spark.conf.set(k, v)
     try:
         q = query_writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     finally:
-        if old is not None:
-            spark.conf.set("spark.sql.shuffle.partitions", old)
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
@@ -65,43 +72,70 @@ def ingest_new_files(spark: SparkSession, input_dir: str, out_dir: str, checkpoi
     _run(stream.writeStream.foreachBatch(batch), checkpoint)
 
 
-def _pack_state(context: int, order: str):
-    def fn(key, pdfs, state):
-        if state.exists:
-            carry_ids, carry_first, win = state.get
-            carry = list(carry_ids)
-        else:
-            carry, carry_first, win = [], -1, 0
-        frames = [f for f in pdfs if len(f)]
+def _in_order(frames: list[pd.DataFrame], order: str):
+    """``(order, ids)`` of all rows in order, taken frame by frame: only the
+    keys are sorted, no ids are copied together."""
+    keys = np.concatenate([f[order].to_numpy(np.int64) for f in frames])
+    at = np.repeat(np.arange(len(frames)), [len(f) for f in frames])
+    row = np.concatenate([np.arange(len(f)) for f in frames])
+    columns = [f["ids"].to_numpy() for f in frames]
+    for i in np.argsort(keys, kind="stable"):
+        yield int(keys[i]), np.asarray(columns[at[i]][row[i]], np.int32)
+
+
+class PackWindows(StatefulProcessor):
+    """Windows of one shard. State, one value a shard: the ids of the open
+    window (less than a window, 32-bit little-endian), the document it starts
+    in and its number."""
+
+    def __init__(self, context: int, order: str, emit: int = 256):
+        self.context, self.order, self.emit = context, order, emit
+
+    def init(self, handle) -> None:
+        self.open = handle.getValueState("open", "ids binary, first long, win long")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803 - Spark's names
+        frames = [f for f in rows if len(f)]
         if not frames:
             return
-        pdf = pd.concat(frames, ignore_index=True).sort_values(order)
-        parts = [np.asarray(carry, np.int32)] + [np.asarray(a, np.int32) for a in pdf["ids"]]
-        owners = np.concatenate(([carry_first], pdf[order].to_numpy(np.int64)))
-        starts = np.cumsum([0] + [len(a) for a in parts[:-1]])
-        ids = np.concatenate(parts)
-        n_full = len(ids) // context
-        cut = n_full * context
-        # the document that a window starts in: the last one that starts at or before it
-        at = np.searchsorted(starts, np.arange(0, len(ids) + 1, context), "right") - 1
-        rest_first = int(owners[at[n_full]]) if cut < len(ids) else -1
-        state.update((ids[cut:].tolist(), rest_first, win + n_full))
-        if n_full:
-            yield pd.DataFrame({"shard": key[0], "win": np.arange(win, win + n_full), f"first_{order}": owners[at[:n_full]],
-                                "input_ids": list(ids[:cut].reshape(n_full, context))})
-    return fn
+        held, first, win = self.open.get() if self.open.exists() else (b"", -1, 0)
+        held = np.frombuffer(held, "<i4")
+        window = np.empty(self.context, np.int32)
+        window[:len(held)] = held
+        filled, done = len(held), []
+        for owner, ids in _in_order(frames, self.order):
+            at = 0
+            while at < len(ids):
+                if filled == 0:
+                    first = owner
+                n = min(self.context - filled, len(ids) - at)
+                window[filled:filled + n] = ids[at:at + n]
+                filled, at = filled + n, at + n
+                if filled == self.context:
+                    done.append((key[0], win, first, window.copy()))
+                    filled, win = 0, win + 1
+                    if len(done) == self.emit:
+                        yield self._frame(done)
+                        done = []
+        self.open.update((window[:filled].astype("<i4").tobytes(), first, win))
+        if done:
+            yield self._frame(done)
+
+    def _frame(self, done: list) -> pd.DataFrame:
+        return pd.DataFrame(done, columns=["shard", "win", f"first_{self.order}", "input_ids"])
 
 
 def pack_stream(stream: DataFrame, context: int, shard: str = "shard", order: str = "doc_id") -> DataFrame:
     """``stream`` has ``(shard, order, ids)``; returns a streaming
     DataFrame of full windows ``(shard, win, first_<order>, input_ids)``.
     Each micro-batch must hold the next rows of every shard (e.g. files in
-    order, one per trigger); rows inside a batch are sorted by ``order``."""
-    return stream.select(shard, order, "ids").groupBy(shard).applyInPandasWithState(
-        _pack_state(context, order),
-        outputStructType=f"shard int, win long, first_{order} long, input_ids array<int>",
-        stateStructType="carry array<int>, first long, win long",
-        outputMode="append", timeoutConf=GroupStateTimeout.NoTimeout)
+    order); rows inside a batch are put in order by ``order``. A task holds
+    one shard's rows of one micro-batch and ``emit`` windows, so bound the
+    batches (``maxBytesPerTrigger``, ``maxFilesPerTrigger``) and let the
+    number of shards grow with the input."""
+    return stream.select(shard, order, "ids").groupBy(shard).transformWithStateInPandas(
+        PackWindows(context, order), outputStructType=f"shard int, win long, first_{order} long, input_ids array<int>",
+        outputMode="append", timeMode="none")
 
 
 def _plateau_state(limit: int, order: list[str], loss: str, event: str):
@@ -138,14 +172,14 @@ def plateau_stream(stream: DataFrame, limit: int, run: str = "run", order=("ts",
 
 
 def run_to_parquet(stream_df: DataFrame, out_dir: str, checkpoint: str,
-                   state_partitions: int | None = None) -> None:
+                   state_partitions: int | None = None, rocksdb: bool = False) -> None:
     """Drain a streaming DataFrame (available input only) into Parquet,
     one overwritten folder per micro-batch. Stateful queries get
     ``state_partitions`` state-store partitions (default: the context's
-    parallelism, i.e. one per core)."""
+    parallelism, i.e. one per core); ``rocksdb`` is needed by ``pack_stream``."""
     spark = stream_df.sparkSession
     parts = state_partitions or spark.sparkContext.defaultParallelism
 
     def batch(df: DataFrame, epoch: int) -> None:
         df.write.mode("overwrite").parquet(os.path.join(out_dir, f"batch={epoch}"))
-    _run(stream_df.writeStream.foreachBatch(batch), checkpoint, spark, parts)
+    _run(stream_df.writeStream.foreachBatch(batch), checkpoint, spark, parts, rocksdb)
