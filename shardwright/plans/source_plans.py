@@ -13,9 +13,10 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import names
+from ..functions.hashing import hash52
 from ..operators import splits
 from ..session import scratch_path
-from ..sources import readers, sinks
+from ..sources import quarantine, readers, sinks
 from . import packing_plans as pp
 from .chat_plans import raw_from_value
 from .registry import query
@@ -86,6 +87,33 @@ def q_scan_limit_skip(spark, sf_dir):
     return readers.skip_limit_by_file(df, "source", skip=5, limit=100).select("doc_id")
 
 
+# Records broken on purpose: a cut line, and a number that is a word.
+_CUT, _WORD = 3, 7
+
+
+@query("scan_quarantine", sql=f"""
+WITH d AS (SELECT *, CASE n_chars % 50 WHEN {_CUT} THEN 'not JSON' WHEN {_WORD} THEN 'does not fit the schema' END AS reason FROM documents)
+SELECT source, coalesce(reason, 'good') AS side, count(*) AS n_rows,
+       sum(CASE WHEN reason IS NULL THEN ('0x' || substr(md5(text), 1, 13))::BIGINT::HUGEINT END)::VARCHAR AS text_hash,
+       (SELECT count(*) FROM d WHERE reason IS NULL) AS n_good, (SELECT count(*) FROM d WHERE reason IS NOT NULL) AS n_bad
+FROM d GROUP BY source, reason""")
+def q_scan_quarantine(spark, sf_dir):
+    """JSON Lines with broken records; good rows, bad rows by
+    reason, and the counts taken while both sides were written."""
+    out = scratch_path(spark, "broken-jsonl")
+    kind = F.col("n_chars") % 50
+    d = _docs(spark, sf_dir).withColumn("line", F.to_json(F.struct("doc_id", "text", "lang", "n_chars")))
+    broken = F.when(kind == _CUT, F.expr("left(line, length(line) - 1)")) \
+        .when(kind == _WORD, F.regexp_replace("line", r'"n_chars":\d+', '"n_chars":"many"')).otherwise(F.col("line"))
+    d.select("source", broken.alias("value")).write.partitionBy("source").text(out)
+    got = quarantine.quarantine(quarantine.read_checked(spark, out, "doc_id long, text string, lang string, n_chars long", pattern="*.txt"))
+    rows = got.good.select("file_path", F.lit("good").alias("side"), hash52(F.md5("text")).cast("decimal(38,0)").alias("h")) \
+        .unionByName(got.bad.select("file_path", F.col("reason").alias("side"), F.lit(None).cast("decimal(38,0)").alias("h")))
+    return rows.groupBy(F.regexp_extract("file_path", "source=([^/]+)", 1).alias("source"), "side").agg(
+        F.count("*").alias("n_rows"), F.sum("h").cast("string").alias("text_hash")) \
+        .withColumn("n_good", F.lit(got.n_good).cast("bigint")).withColumn("n_bad", F.lit(got.n_bad).cast("bigint"))
+
+
 def _write_json_arrays(spark, sf_dir):
     """JSON array files of GROUP_ROWS documents each (doc_id order)."""
     out = scratch_path(spark, "jsonarray")
