@@ -26,12 +26,39 @@ def op5_exact_dedup(spark, sf_dir):
     return exact_dedup.find_copies(table(spark, sf_dir, "documents"))
 
 
-@query("op9_jaccard_join")
+@query("op9_jaccard_join", sql=r"""WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(list_slice(ws, i, i + 3), ' ')))) END AS sh FROM w),
+t AS (SELECT doc_id, len(sh) AS n, CASE WHEN len(sh) > 0 THEN min(doc_id) OVER (PARTITION BY md5(array_to_string(sh, chr(10)))) ELSE doc_id END AS rep, sh FROM s),
+g AS (SELECT rep, n, unnest(sh) AS x FROM t WHERE doc_id = rep),
+p AS (SELECT a.rep AS a, b.rep AS b FROM g a JOIN g b ON a.x = b.x AND a.rep < b.rep
+      GROUP BY a.rep, b.rep HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a, min(b) AS b FROM r GROUP BY a)
+SELECT t.doc_id, t.n::BIGINT AS n_shingles, least(t.rep, coalesce(c.b, t.rep)) AS component_id FROM t LEFT JOIN c ON c.a = t.rep""")
 def op9_jaccard_join(spark, sf_dir):
     return jaccard_join.find_near(table(spark, sf_dir, "documents"), n_words=4, num=85, den=100)
 
 
-@query("op10_suffix_dedup")
+@query("op10_suffix_dedup", sql="""WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+b AS (SELECT doc_id, hx, len(hx) // 2 AS n FROM h),
+f AS (SELECT doc_id, n, c, substr(hx, 800 * c + 1, 1600) AS part FROM (SELECT doc_id, n, hx, unnest(range(0, n // 400)) AS c FROM b)),
+k AS (SELECT doc_id, 400 * c + j AS i, md5(substr(part, 2 * j + 1, 800)) AS key
+      FROM (SELECT *, unnest(range(0, least(400, n - 399 - 400 * c))) AS j FROM f)),
+d AS (SELECT doc_id, i FROM k WHERE key IN (SELECT key FROM k GROUP BY key HAVING count(*) > 1)),
+o AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 1 ELSE 0 END AS fresh FROM d),
+u AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM o),
+s AS (SELECT doc_id, run, min(i) AS lo, max(i) + 400 AS hi FROM u GROUP BY doc_id, run),
+q AS (SELECT *, lag(hi, 1, 0) OVER (PARTITION BY doc_id ORDER BY lo) AS prev FROM s),
+m AS (SELECT q.doc_id, sum(hi - lo)::BIGINT AS n_removed, count(*) AS n_spans, max(hi) AS last,
+             string_agg(substr(b.hx, 2 * prev + 1, 2 * (lo - prev)), '' ORDER BY lo) AS kept
+      FROM q JOIN b USING (doc_id) GROUP BY q.doc_id)
+SELECT b.doc_id, b.n::BIGINT AS n_bytes, coalesce(m.n_removed, 0)::BIGINT AS n_removed, coalesce(m.n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN m.doc_id IS NULL THEN b.hx ELSE m.kept || substr(b.hx, 2 * m.last + 1) END)) AS kept_sha256
+FROM b LEFT JOIN m ON m.doc_id = b.doc_id""")
 def op10_suffix_dedup(spark, sf_dir):
     return suffix_dedup.find_repeats(table(spark, sf_dir, "documents"), length=400)
 
