@@ -95,7 +95,8 @@ def declared_language(page: str) -> str | None:
 def blocks(page: str) -> list[Block]:
     """Non-empty leaf blocks in page order. Character references are
     decoded, white space is one space. Time grows with the page's length
-    whatever its depth, unclosed tags or unclosed quotes. A quote that is
+    whatever its depth, unclosed tags or quotes (names that are new at every
+    level are features of all below, and add up). A quote that is
     never closed belongs to its tag up to the next ``>``; a tag that never
     ends reaches to the next ``<``."""
     out: list[Block] = []
