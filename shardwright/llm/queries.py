@@ -98,7 +98,43 @@ def op4_quality(spark, sf_dir):
     return quality.weigh(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@query("op2_sentence_dedup")
+@query("op2_sentence_dedup", """
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+         string_split(regexp_replace(regexp_replace(coalesce(text, ''), '([.!?])([\\x20\\x09-\\x0D])', '\\1' || chr(1) || '\\2', 'g'),
+                                     '\\n', chr(10) || chr(1), 'g'), chr(1)) AS parts
+  FROM documents),
+parts AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS pos FROM cut),
+words AS (
+  SELECT *, regexp_extract_all(translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                               '[0-9A-Za-z\\x{80}-\\x{10FFFF}]+') AS w,
+         regexp_extract(part, '^[^0-9A-Za-z\\x{80}-\\x{10FFFF}]*') AS head
+  FROM parts),
+-- white space and signs before a sentence's first word belong to the sentence before it
+bits AS (
+  SELECT doc_id, pos, 0 AS side, head AS bit FROM words
+  UNION ALL SELECT doc_id, pos, 1, substr(part, length(head) + 1) FROM words WHERE len(w) > 0),
+placed AS (
+  SELECT *, greatest(1, count(*) FILTER (WHERE side = 1) OVER (PARTITION BY doc_id ORDER BY pos, side)) AS place FROM bits),
+body AS (SELECT doc_id, place, string_agg(bit, '' ORDER BY pos, side) AS body FROM placed GROUP BY doc_id, place),
+sentence AS (
+  SELECT doc_id, row_number() OVER d AS place, len(w) AS n, array_to_string(w, ' ') AS s,
+         lead(array_to_string(w, ' '), 1) OVER d AS s2, lead(len(w), 1) OVER d AS n2, lead(array_to_string(w, ' '), 2) OVER d AS s3
+  FROM words WHERE len(w) > 0 WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
+runs AS (
+  SELECT doc_id, place, 3 AS k, concat_ws('.', s, s2, s3) AS run FROM sentence WHERE s3 IS NOT NULL
+  UNION ALL SELECT doc_id, place, 2, concat_ws('.', s, s2) FROM sentence WHERE n + n2 >= 25
+  UNION ALL SELECT doc_id, place, 1, s FROM sentence WHERE n >= 50),
+later AS (
+  SELECT doc_id, place, k FROM runs QUALIFY row_number() OVER (PARTITION BY k, run ORDER BY doc_id, place) > 1),
+gone AS (SELECT DISTINCT doc_id, place + i AS place FROM later, unnest(range(k)) AS r(i))
+SELECT c.doc_id, coalesce(s.n, 0) AS n_sentences, coalesce(g.n, 0) AS n_removed,
+       CASE WHEN s.n IS NULL THEN c.text ELSE coalesce(b.text, '') END AS text
+FROM cut c
+LEFT JOIN (SELECT doc_id, count(*) AS n FROM sentence GROUP BY doc_id) s USING (doc_id)
+LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g USING (doc_id)
+LEFT JOIN (SELECT doc_id, string_agg(body, '' ORDER BY place) AS text FROM body ANTI JOIN gone USING (doc_id, place)
+           GROUP BY doc_id) b USING (doc_id)""")
 def op2_sentence_dedup(spark, sf_dir):
     return sentence_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 

@@ -1,19 +1,19 @@
 """Operator 2: substring dedup by sliding sentence spans.
 
-A text is cut into sentences; every run of several consecutive sentences is
-hashed (three with 10 words at least, two with 25, a single one with 50).
-Where three sentences have fewer words the run grows until it holds 10, to
-ten sentences of one word at most: any repeated passage of three sentences
-and 10 words is covered, however short its lines are.
+A text is cut into sentences; every run of three consecutive sentences is
+hashed, whatever its length. Passages of fewer sentences count too where they
+are long: runs of two sentences with 25 words, single ones with 50.
 Runs are joined over the whole corpus; the first occurrence of a run stays
 and every sentence covered by a later one is removed.
 
 Two passes: the first counts run hashes (folded per block, then by a grouped
 sum) and leaves a bitmap of those seen twice; the second emits only runs in
-the bitmap, finds the first occurrence of each by a grouped minimum and
-joins it back. A passage that stands in a third of all texts is one row per
-task in the first shuffle; in the second it is a skewed join of narrow rows,
-which AQE splits. Texts move only if a sentence of theirs goes.
+the bitmap, finds the first occurrence of each by a grouped minimum, writes
+it, and joins it back. A passage that stands in a third of all texts is one
+row per task in the first shuffle. In the join, runs that hold at least a
+``1 / HOT`` share of the rows (so at most ``HOT`` runs) are broadcast and
+their rows stay where they are; only rows of the others are shuffled. Texts
+move only if a sentence of theirs goes.
 """
 
 from __future__ import annotations
@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from . import sketches, textops
 
-RUNS = (*((k, 10) for k in range(3, 11)), (2, 25), (1, 50))  # (sentences, words at least)
+SPAN = 3                        # sentences of a run, of any length
+LONG = ((2, 25), (1, 50))       # (sentences, words at least) of shorter runs
+HOT, HOT_ROWS = 100_000, 1000   # a hot run holds 1/HOT of all rows and HOT_ROWS at least
 _U = np.uint64
 
 
@@ -58,18 +60,17 @@ def _spans(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return textops.mix((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64))
 
 
-def runs(doc: np.ndarray, size: np.ndarray, h: np.ndarray, n_docs: int):
-    """``(doc, first sentence, sentences, hash)`` of every run."""
+def runs(doc: np.ndarray, size: np.ndarray, h: np.ndarray, n_docs: int, spans=((SPAN, 0), *LONG)):
+    """``(doc, first sentence, sentences, hash)`` of every run; ``spans``
+    holds (sentences, words at least)."""
     first = np.searchsorted(doc, np.arange(n_docs))
     words = np.append(0, np.cumsum(size))
     out = []
-    for k, least in RUNS:
+    for k, least in spans:
         if len(doc) < k:
             continue
         at = np.flatnonzero(doc[:len(doc) - k + 1] == doc[k - 1:])
         at = at[words[at + k] - words[at] >= least]
-        if k > 3:  # else two runs of one sentence less cover it, and stand wherever it stands
-            at = at[(words[at + k - 1] - words[at] < least) | (words[at + k] - words[at + 1] < least)]
         out.append((doc[at], at - first[doc[at]], np.full(len(at), k), _spans(h, at, at + k) ^ _U(k)))
     if not out:
         z = np.zeros(0, np.int64)
@@ -85,15 +86,18 @@ def _blocks(column):
         yield a, b, o, doc, start, size, h
 
 
-def find_spans(base: DataFrame, bitmap_bits: int = 25) -> DataFrame:
+def find_spans(base: DataFrame, bitmap_bits: int = 25, span: int = SPAN, min_words: int = 0, long=LONG) -> DataFrame:
     """``(id, t, runs)`` of texts with removed sentences; ``runs`` holds
-    (first sentence, sentences) pairs. ``t`` is the text's hash."""
+    (first sentence, sentences) pairs. ``t`` is the text's hash. Runs are of
+    ``span`` sentences with ``min_words`` words (none asked by default), and
+    the shorter ones of ``long``."""
     spark = base.sparkSession
+    spans = ((span, min_words), *long)
 
     def count(batches):
         for batch in batches:
             for a, b, _, doc, _, size, h in _blocks(batch.column(0)):
-                u, c = np.unique(runs(doc, size, h, b - a)[3], return_counts=True)
+                u, c = np.unique(runs(doc, size, h, b - a, spans)[3], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(textops.signed(u)), pa.array(c)], names=["run", "n"])
 
     twice = base.select("text").mapInArrow(count, "run bigint, n bigint").groupBy("run").agg(F.sum("n").alias("n")).filter("n > 1")
@@ -103,7 +107,7 @@ def find_spans(base: DataFrame, bitmap_bits: int = 25) -> DataFrame:
     def emit(batches):
         for batch in batches:
             for a, b, _, doc, _, size, h in _blocks(batch.column(2)):
-                d, s, k, r = runs(doc, size, h, b - a)
+                d, s, k, r = runs(doc, size, h, b - a, spans)
                 hit = np.flatnonzero(sketches.in_bitmap(bitmap.value, r))
                 rows = pa.array(a + d[hit])
                 yield pa.RecordBatch.from_arrays(
@@ -113,8 +117,14 @@ def find_spans(base: DataFrame, bitmap_bits: int = 25) -> DataFrame:
     rows = base.select("id", "t", "text").mapInArrow(emit, f"id {kind}, t bigint, first int, size int, run bigint")
     rows = materialize(spark, rows, "sentence-runs")
     place = F.struct(F.col("id").isNull().alias("x"), "id", "t", "first")
-    origin = rows.groupBy("run").agg(F.min(place).alias("origin"), F.count("*").alias("n")).filter("n > 1").select("run", "origin")
-    later = rows.join(origin, "run").filter(~((F.col("id").eqNullSafe(F.col("origin.id"))) & (F.col("t") == F.col("origin.t")) & (F.col("first") == F.col("origin.first"))))
+    origin = rows.groupBy("run").agg(F.min(place).alias("origin"), F.count("*").alias("n")).filter("n > 1")
+    origin = materialize(spark, origin, "sentence-origins")
+    n_rows = origin.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    is_hot = F.col("n") >= max(HOT_ROWS, -(-n_rows // HOT))
+    hot = F.broadcast(origin.filter(is_hot).drop("n"))  # at most HOT rows
+    cold = origin.filter(~is_hot).drop("n")
+    told = rows.join(hot, "run").unionByName(rows.join(hot.select("run"), "run", "left_anti").join(cold, "run"))
+    later = told.filter(~((F.col("id").eqNullSafe(F.col("origin.id"))) & (F.col("t") == F.col("origin.t")) & (F.col("first") == F.col("origin.first"))))
     return later.groupBy("id", "t").agg(F.collect_set(F.struct("first", "size")).alias("runs"))  # a text's own runs
 
 

@@ -18,21 +18,38 @@ def test_passage_of_short_lines(spark):
         assert got[k].n_removed == 20 and got[k].text.split() == f"{head} {tail}".split()
 
 
-def test_short_runs_need_ten_words(spark):
+def test_short_runs(spark):
+    """Three lines of a word each are a run; a floor is a parameter."""
     rows = [(k, f"first {k} " + "x" * 5 + "\nyes\nno\nyes\nlast " + f"word{k}") for k in range(4)]
-    got = sentence_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), bitmap_bits=20).collect()
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.n_removed for r in sentence_dedup.remove_repeats(df, bitmap_bits=20).collect()}
+    assert got == {0: 0, 1: 3, 2: 3, 3: 3}
+    got = sentence_dedup.remove_repeats(df, bitmap_bits=20, min_words=10).collect()
     assert {r.n_removed for r in got} == {0}
 
 
-def test_grown_runs():
+def test_every_run_of_three():
     """Against all runs by hand; none twice."""
     rng = np.random.default_rng(8)
     for _ in range(50):
         doc, size = np.sort(rng.integers(0, 3, 25)), rng.integers(1, 6, 25)
-        words = np.append(0, np.cumsum(size))
         d, first, k, _ = sentence_dedup.runs(doc, size, rng.integers(0, 2**63, 25).astype(np.uint64), 3)
-        got = [(int(x + np.searchsorted(doc, y)), int(n)) for y, x, n in zip(d, first, k) if n >= 3]
-        enough = lambda a, b: words[b] - words[a] >= 10
-        want = {(a, b - a) for a in range(25) for b in range(a + 3, 26) if doc[a] == doc[b - 1] and enough(a, b)
-                and (b - a == 3 or not enough(a, b - 1) or not enough(a + 1, b))}
-        assert len(got) == len(set(got)) and set(got) == want
+        got = [int(x + np.searchsorted(doc, y)) for y, x, n in zip(d, first, k) if n == 3]
+        assert got == [a for a in range(23) if doc[a] == doc[a + 2]]
+
+
+def test_hot_run(spark, monkeypatch):
+    """A run of a third of all texts beside rare ones; the same with and without the broadcast."""
+    rng = random.Random(5)
+    line = lambda: " ".join(f"z{rng.randrange(10**6)}" for _ in range(6)) + "."
+    hot, rare = [[line() for _ in range(3)] for _ in range(2)]
+    rows = []
+    for k in range(300):
+        own = [line() for _ in range(2)]
+        rows.append((k, " ".join(own[:1] + (hot if k % 3 == 0 else rare if k in (50, 70) else []) + own[1:])))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)
+    want = {k: 3 if (k % 3 == 0 and k) or k == 70 else 0 for k in range(300)}
+    for least in (10, 10**6):
+        monkeypatch.setattr(sentence_dedup, "HOT_ROWS", least)
+        got = {r.doc_id: r.n_removed for r in sentence_dedup.remove_repeats(df, bitmap_bits=20).collect()}
+        assert got == want

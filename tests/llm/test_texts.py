@@ -103,7 +103,7 @@ def dedup_by_hand(rows):
     split = {}
     for i, t in set(texts):
         s = split[i, t] = sentences_by_hand(t)
-        for k, least in sentence_dedup.RUNS:
+        for k, least in ((sentence_dedup.SPAN, 0), *sentence_dedup.LONG):
             for a in range(len(s) - k + 1):
                 run = tuple(w for _, x in s[a:a + k] for w in x)
                 if len(run) >= least:
