@@ -56,11 +56,12 @@ def data_map(df: DataFrame, cols: Sequence[str]) -> Column:
 
 def adapt(df: DataFrame, dataset_name: str | None = None, text_key: str = "text", id_key: str = "id",
           default_id: Column | None = None, media_key: str = "media", metadata_key: str = "metadata",
-          text: Column | None = None) -> DataFrame:
+          text: Column | None = None, keep: Sequence[str] = (), drop: Sequence[str] = ()) -> DataFrame:
     """The document form of raw records. ``default_id`` (P4) stands
-    for ``path/position`` when the record has no (or an empty) id."""
+    for ``path/position`` when the record has no (or an empty) id. Columns of
+    ``keep`` stay beside it; those of ``drop`` are no metadata."""
     cols = df.columns
-    used = {text_key, id_key, media_key, metadata_key}
+    used = {text_key, id_key, media_key, metadata_key, *drop}
     rest = [c for c in cols if c not in used]
     raw_id = F.nullif(_as_text(df, id_key), F.lit("")) if id_key in cols else F.lit(None).cast("string")
     doc_id = F.coalesce(raw_id, default_id) if default_id is not None else raw_id
@@ -73,7 +74,7 @@ def adapt(df: DataFrame, dataset_name: str | None = None, text_key: str = "text"
         if media_key in cols else F.array().cast("array<string>")
     return df.select(doc_id.alias("id"), (text if text is not None else F.col(text_key)).cast("string").alias("text"),
                      media.alias("media"), merge_metadata(meta, data_map(df, rest)).alias("metadata"),
-                     F.lit(dataset_name).cast("string").alias("dataset_name"))
+                     F.lit(dataset_name).cast("string").alias("dataset_name"), *keep)
 
 
 def metadata_string(meta: Column | str) -> Column:

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from ..functions.hashing import hash52
-from ..operators import splits
+from ..operators import documents, splits
 from ..session import scratch_path
-from ..sources import quarantine, readers, sinks
+from ..sources import position_index, quarantine, readers, sinks
 from . import packing_plans as pp
 from .chat_plans import raw_from_value
 from .registry import query
@@ -87,6 +87,39 @@ def q_scan_limit_skip(spark, sf_dir):
     return readers.skip_limit_by_file(df, "source", skip=5, limit=100).select("doc_id")
 
 
+@query("scan_position_index", sql="""
+WITH d AS (SELECT *, row_number() OVER (ORDER BY source, doc_id) - 1 AS position,
+                  row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS n FROM documents),
+-- files are read in the order of md5('7:<source>')
+f AS (SELECT source, count(*) AS n, md5('7:' || source) AS k FROM documents GROUP BY source),
+b AS (SELECT source, sum(n) OVER (ORDER BY k, source) - n AS base FROM f)
+SELECT 'skip' AS part, position, doc_id::VARCHAR AS id, md5(text) AS text_md5, 'lang=' || lang || ';n_chars=' || n_chars || ';split=all' AS metadata
+FROM d WHERE position >= n // 3 AND position < n // 3 + n // 2
+UNION ALL
+SELECT 'shuffled', (base + pos)::BIGINT, source || '/' || pos, md5(lang), 'doc_id=' || doc_id || ';n_chars=' || n_chars || ';text=' || md5(text)
+FROM d JOIN b USING (source)""")
+def q_scan_position_index(spark, sf_dir):
+    """Plain files with skip and limit, and compressed files
+    in a seeded order with other text and id keys, all by a stored index."""
+    d = _docs(spark, sf_dir)
+    plain = _write_jsonl_by_source(spark, sf_dir, compression="none")
+    index = position_index.build_index(spark, plain, scratch_path(spark, "index"), pattern="*.json", split_bytes=1 << 20)
+    n = d.count()
+    some = position_index.read_documents(index, "doc_id long, text string, lang string, n_chars long", id_key="doc_id",
+                                         default_metadata={"split": "all", "lang": "?"}, skip=n // 3, limit=n // 2)
+    some = some.select(F.lit("skip").alias("part"), "position", "id", F.md5("text").alias("text_md5"),
+                       documents.metadata_string("metadata").alias("metadata"))
+    source = F.regexp_extract("file_path", "source=([^/]+)", 1)
+    packed = scratch_path(spark, "jsonl-md5")
+    (d.select("source", "doc_id", F.md5("text").alias("text"), "lang", "n_chars").repartition("source").sortWithinPartitions("source", "doc_id")
+     .write.option("compression", "gzip").partitionBy("source").json(packed))
+    index = position_index.build_index(spark, packed, scratch_path(spark, "index"), pattern="*.json.gz", order=F.md5(F.concat(F.lit("7:"), source)))
+    rest = position_index.read_documents(index, "doc_id long, text string, lang string, n_chars long", text_key="lang")
+    rest = rest.select(F.lit("shuffled").alias("part"), "position", F.concat_ws("/", F.regexp_extract("id", "source=([^/]+)", 1), F.substring_index("id", "/", -1)).alias("id"),
+                       F.md5("text").alias("text_md5"), documents.metadata_string("metadata").alias("metadata"))
+    return some.unionByName(rest)
+
+
 # Records broken on purpose: a cut line, and a number that is a word.
 _CUT, _WORD = 3, 7
 
