@@ -96,26 +96,30 @@ b AS (SELECT source, sum(n) OVER (ORDER BY k, source) - n AS base FROM f)
 SELECT 'skip' AS part, position, doc_id::VARCHAR AS id, md5(text) AS text_md5, 'lang=' || lang || ';n_chars=' || n_chars || ';split=all' AS metadata
 FROM d WHERE position >= n // 3 AND position < n // 3 + n // 2
 UNION ALL
-SELECT 'shuffled', (base + pos)::BIGINT, source || '/' || pos, md5(lang), 'doc_id=' || doc_id || ';n_chars=' || n_chars || ';text=' || md5(text)
+SELECT 'shuffled', (base + pos)::BIGINT, source, md5(lang), 'doc_id=' || doc_id || ';n_chars=' || n_chars || ';text=' || md5(text)
 FROM d JOIN b USING (source)""")
 def q_scan_position_index(spark, sf_dir):
     """Plain files with skip and limit, and compressed files
     in a seeded order with other text and id keys, all by a stored index."""
     d = _docs(spark, sf_dir)
-    plain = _write_jsonl_by_source(spark, sf_dir, compression="none")
-    index = position_index.build_index(spark, plain, scratch_path(spark, "index"), pattern="*.json", split_bytes=1 << 20)
     n = d.count()
+
+    def lines(docs, codec):  # in ranges of (source, doc_id): a large source has many files, in name order
+        out = scratch_path(spark, "jsonl-ranges")
+        docs.repartitionByRange("source", "doc_id").sortWithinPartitions("source", "doc_id") \
+            .write.option("compression", codec).partitionBy("source").json(out)
+        return out
+
+    index = position_index.build_index(spark, lines(d, "none"), scratch_path(spark, "index"), pattern="*.json")
     some = position_index.read_documents(index, "doc_id long, text string, lang string, n_chars long", id_key="doc_id",
                                          default_metadata={"split": "all", "lang": "?"}, skip=n // 3, limit=n // 2)
     some = some.select(F.lit("skip").alias("part"), "position", "id", F.md5("text").alias("text_md5"),
                        documents.metadata_string("metadata").alias("metadata"))
-    source = F.regexp_extract("file_path", "source=([^/]+)", 1)
-    packed = scratch_path(spark, "jsonl-md5")
-    (d.select("source", "doc_id", F.md5("text").alias("text"), "lang", "n_chars").repartition("source").sortWithinPartitions("source", "doc_id")
-     .write.option("compression", "gzip").partitionBy("source").json(packed))
-    index = position_index.build_index(spark, packed, scratch_path(spark, "index"), pattern="*.json.gz", order=F.md5(F.concat(F.lit("7:"), source)))
+    packed = lines(d.select("source", "doc_id", F.md5("text").alias("text"), "lang", "n_chars"), "gzip")
+    by_source = F.md5(F.concat(F.lit("7:"), F.regexp_extract("file_path", "source=([^/]+)", 1)))
+    index = position_index.build_index(spark, packed, scratch_path(spark, "index"), pattern="*.json.gz", order=by_source)
     rest = position_index.read_documents(index, "doc_id long, text string, lang string, n_chars long", text_key="lang")
-    rest = rest.select(F.lit("shuffled").alias("part"), "position", F.concat_ws("/", F.regexp_extract("id", "source=([^/]+)", 1), F.substring_index("id", "/", -1)).alias("id"),
+    rest = rest.select(F.lit("shuffled").alias("part"), "position", F.regexp_extract("id", "source=([^/]+)/[^/]+/\\d+$", 1).alias("id"),
                        F.md5("text").alias("text_md5"), documents.metadata_string("metadata").alias("metadata"))
     return some.unionByName(rest)
 
