@@ -69,16 +69,22 @@ def plateau(evals: DataFrame, run: str, order: Sequence[str], loss: str, limit:
     """Per evaluation, ``best`` (lowest loss so far, starting at 1000.0),
     ``improved`` (strictly lower than every earlier loss and the start),
     ``bad`` (evaluations since the last improvement) and ``alert`` (bad
-    reaches ``limit``; it only alerts). Running min / max split by
-    ``bucket`` (non-decreasing in ``order``) so a long run is not one task."""
-    x = ordinal(evals, list(order), by=[run], bucket=bucket, out="step") if bucket is not None else \
-        running(evals.withColumn("__one", F.lit(1)), "__one", "sum", list(order), by=[run], out="step") \
-        .withColumn("step", F.col("step") - 1).drop("__one")
-    x = running(x, F.col(loss), "min", list(order), by=[run], bucket=bucket, out="__prior", inclusive=False)
-    prior = F.least(F.coalesce(F.col("__prior"), F.lit(PLATEAU_START_LOSS)), F.lit(PLATEAU_START_LOSS))
-    x = x.withColumn("improved", F.col(loss) < prior) \
-        .withColumn("best", F.least(prior, F.col(loss)))
-    x = running(x, F.when(F.col("improved"), F.col("step")).otherwise(F.lit(-1)), "max", list(order),
-                by=[run], bucket=bucket, out="__last")
-    return x.withColumn("bad", (F.col("step") - F.col("__last")).cast("int")) \
-        .withColumn("alert", F.col("bad") >= F.lit(limit)).drop("__prior", "__last")
+    reaches ``limit``; it only alerts). The running minimum of ``(loss,
+    step)`` holds the best loss with the step that reached it first, which
+    is the last improvement. Both running steps are split by ``bucket``
+    (non-decreasing in ``order``) so a long run is not one task."""
+    if bucket is not None:
+        # one column, so that its inputs are worked out once for both steps
+        evals = evals.withColumn("__evals", bucket)
+        bucket = F.col("__evals")
+        x = ordinal(evals, list(order), by=[run], bucket=bucket, out="step")
+    else:
+        x = running(evals.withColumn("__one", F.lit(1)), "__one", "sum", list(order), by=[run], out="step") \
+            .withColumn("step", F.col("step") - 1).drop("__one")
+    reached = F.when(F.col(loss).isNotNull(), F.struct(F.col(loss).alias("loss"), F.col("step").alias("step")))
+    x = running(x, reached, "min", list(order), by=[run], bucket=bucket, out="__best")
+    below = F.coalesce(F.col("__best.loss") < PLATEAU_START_LOSS, F.lit(False))
+    x = x.withColumn("improved", F.when(F.col(loss).isNotNull(), below & (F.col("__best.step") == F.col("step")))) \
+        .withColumn("best", F.least(F.lit(PLATEAU_START_LOSS), F.col("__best.loss"))) \
+        .withColumn("bad", (F.col("step") - F.when(below, F.col("__best.step")).otherwise(F.lit(-1))).cast("int"))
+    return x.withColumn("alert", F.col("bad") >= F.lit(limit)).drop("__best", "__evals")

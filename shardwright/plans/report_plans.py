@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import packing, reports
+from ..operators.ordering import with_adaptive_bucket
 from .registry import query
 from .tables import table
 
@@ -76,6 +77,7 @@ def q_score_average(spark, sf_dir):
 
 
 PLATEAU_LIMIT = 3
+PLATEAU_ROWS = 1 << 15   # evaluations of a run per bucket
 
 
 ORACLE_PLATEAU = f"""
@@ -96,6 +98,8 @@ FROM l"""
 @query("plateau_alert", sql=ORACLE_PLATEAU)
 def q_plateau_alert(spark, sf_dir):
     ev = table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), "event_id", "ts", "value")
-    p = reports.plateau(ev, "run", ["ts", "event_id"], "value", PLATEAU_LIMIT,
-                        bucket=F.unix_date(F.to_date("ts")) * 24 + F.hour("ts"))   # hourly, no time zone
+    # seconds without a time zone; a run is cut by its own span and number of rows
+    second = F.unix_date(F.to_date("ts")).cast("bigint") * 86400 + F.hour("ts") * 3600 + F.minute("ts") * 60 + F.floor(F.second("ts"))
+    ev = with_adaptive_bucket(ev.withColumn("second", second), "second", ["run"], PLATEAU_ROWS)
+    p = reports.plateau(ev, "run", ["ts", "event_id"], "value", PLATEAU_LIMIT, bucket=F.col("__abucket"))
     return p.select("run", "event_id", "step", "best", "improved", "bad", "alert")
