@@ -24,6 +24,7 @@ from .tables import table
 
 DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 GROUP_ROWS = 100   # rows per written JSON-array file / archive
+FOLDER_GROUPS = 10  # groups of text files per folder
 
 
 def _docs(spark, sf_dir):
@@ -206,11 +207,12 @@ def q_scan_tar(spark, sf_dir):
 @query("scan_whole_text", sql="SELECT doc_id, md5(text) AS text_md5 FROM documents")
 def q_scan_whole_text(spark, sf_dir):
     out = scratch_path(spark, "text")
-    os.makedirs(out, exist_ok=True)
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        folder = os.path.join(out, str(int(pdf["grp"].iloc[0]) // FOLDER_GROUPS))   # many folders are listed by tasks
+        os.makedirs(folder, exist_ok=True)
         for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-            with open(os.path.join(out, f"doc-{int(doc_id)}.txt"), "w", encoding="utf-8") as f:
+            with open(os.path.join(folder, f"doc-{int(doc_id)}.txt"), "w", encoding="utf-8") as f:
                 f.write(text)
         return pd.DataFrame({"n": [len(pdf)]})
     d = _docs(spark, sf_dir).select("doc_id", "text").withColumn("grp", F.floor(F.col("doc_id") / GROUP_ROWS))

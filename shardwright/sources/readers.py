@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.ordering import ordinal, running_sum, with_range_bucket
+from ..session import small_file_session
 from .storage import open_input
 
 # File patterns of each reader format; a folder is read with
@@ -31,6 +32,8 @@ PATTERN_MAP = {
 }
 
 
+_PLAIN_TEXT = (".txt", ".json", ".xml")
+
 # JSON Lines files that are not archives
 PLAIN_JSONL = "{*.jsonl,*json,*.json.gz,*.jsonl.gz}"
 
@@ -240,9 +243,18 @@ def pretty_text(texts: pa.Array) -> pa.Array:
 
 def read_whole_text(spark: SparkSession, root, pattern: str | None = None, pretty: bool = True) -> DataFrame:
     """One row per file ``(file_path, text)``; unreadable files are
-    skipped when ``spark.sql.files.ignoreCorruptFiles`` is on."""
-    t = _reader(spark, pattern).text(root, wholetext=True)
+    skipped when ``spark.sql.files.ignoreCorruptFiles`` is on. A task reads
+    about two thousand small files (``small_file_session``). Files that the
+    pattern says are stored plain are read as bytes: the text reader sets up
+    a job and all codecs for each file, which costs more than reading it."""
+    r = _reader(small_file_session(spark), pattern)
+    if pattern and all(p.endswith(_PLAIN_TEXT) for p in pattern.strip("{}").split(",")):
+        t = r.format("binaryFile").load(root).withColumn("value", F.col("content").cast("string"))
+    else:
+        t = r.text(root, wholetext=True)
     t = t.select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("text"))
+    # the rows belong to the caller's session, whose views and settings hold for what follows
+    t = spark.createDataFrame([], "file_path string, text string").unionByName(t)
     return t.withColumn("text", pretty_text("text")) if pretty else t
 
 
