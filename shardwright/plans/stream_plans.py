@@ -14,25 +14,30 @@ from . import report_plans
 from .registry import query
 from .tables import table
 
-ARRIVALS = 6   # files the events arrive in, one per trigger
+ARRIVALS = 6   # triggers the events arrive in
+FILE_EVENTS = 1 << 17   # events per file
+GROUP_EVENTS, LEAST_GROUPS = 1 << 13, 64   # events of an arrival per group of runs
 C = 2048
 # Documents: sqrt(n / 320) arrivals dealt to sqrt(n / 16) shards, so a shard
 # gets about 70 documents an arrival however large the table is.
 ARRIVAL_ROWS, SHARD_ROWS = 320, 16
 
 
-def _write_ordered_files(df, key: str, out_dir: str):
-    """Write ``df`` as JSON Lines, one file per value of ``key`` in
-    increasing order, and stamp increasing modification times so that a
-    file source with one file per trigger reads them in that order."""
-    df.repartition(key).sortWithinPartitions(*df.columns).write.partitionBy(key).json(out_dir)
+def _write_ordered_files(df, key: str, files: int, out_dir: str) -> int:
+    """Write ``df`` as about ``files`` JSON Lines files, each a range of
+    ``key`` (nulls last, equal keys together), and stamp increasing
+    modification times: a file source reads them in the order of ``key``,
+    however many it takes per trigger. Returns the number of files."""
+    by = F.col(key).asc_nulls_last()
+    df.repartitionByRange(files, by).sortWithinPartitions(by).write.json(out_dir)
     jvm = df.sparkSession.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(out_dir)
     store = root.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
-    found = [(int(d.getPath().getName().split("=", 1)[1]), d.getPath()) for d in store.listStatus(root) if d.isDirectory()]
-    for k, folder in found:
-        for f in store.listStatus(folder):
-            store.setTimes(f.getPath(), (1_600_000_000 + k) * 1000, -1)
+    found = sorted((f.getPath() for f in store.listStatus(root) if f.getPath().getName().startswith("part-")),
+                   key=lambda p: p.getName())
+    for k, path in enumerate(found):
+        store.setTimes(path, (1_600_000_000 + k) * 1000, -1)
+    return len(found)
 
 
 @query("stream_new_files", sql="""
@@ -76,11 +81,11 @@ def q_stream_pack(spark, sf_dir):
     base = scratch_path(spark, "streampack")
     inp, out, ckpt = f"{base}/in", f"{base}/out", f"{base}/ckpt"
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    top, n = docs.agg(F.max("doc_id"), F.count("*")).first()
+    n = docs.count()
     arrivals, shards = (max(1, math.ceil(math.sqrt(n / per))) for per in (ARRIVAL_ROWS, SHARD_ROWS))
-    docs = docs.withColumn("grp", F.floor(F.col("doc_id") * arrivals / F.lit((top or 0) + 1)).cast("long"))
-    _write_ordered_files(docs, "grp", inp)
-    stream = spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", 1).json(inp)
+    files = _write_ordered_files(docs, "doc_id", arrivals, inp)
+    stream = spark.readStream.schema("doc_id long, text string") \
+        .option("maxFilesPerTrigger", math.ceil(files / arrivals)).json(inp)
     tok = packing.assign_shard(packing.tokenize(stream, "text"), "doc_id", shards)
     incremental.run_to_parquet(incremental.pack_stream(tok, C), out, ckpt, rocksdb=True)
     w = spark.read.parquet(out)
@@ -89,15 +94,16 @@ def q_stream_pack(spark, sf_dir):
 
 @query("stream_plateau", sql=report_plans.ORACLE_PLATEAU)
 def q_stream_plateau(spark, sf_dir):
-    """Z3: evaluation events arrive in event order in ARRIVALS files, one
-    per trigger; the plateau counters of each run live in state."""
+    """Z3: evaluation events arrive in the order of their time, in ARRIVALS
+    triggers; the plateau counters of each run live in state. Files and
+    groups of runs grow with the table."""
     base = scratch_path(spark, "streamplateau")
     inp, out, ckpt = f"{base}/in", f"{base}/out", f"{base}/ckpt"
     ev = table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), "event_id", "ts", "value")
-    n = ev.agg(F.max("event_id")).first()[0] + 1
-    ev = ev.withColumn("grp", F.floor(F.col("event_id") * ARRIVALS / F.lit(n)).cast("long"))
-    _write_ordered_files(ev, "grp", inp)
+    n = ev.count()
+    files = _write_ordered_files(ev, "ts", ARRIVALS * math.ceil(max(n, 1) / (ARRIVALS * FILE_EVENTS)), inp)
     stream = spark.readStream.schema("run long, event_id long, ts timestamp_ntz, value double") \
-        .option("maxFilesPerTrigger", 1).json(inp)
-    incremental.run_to_parquet(incremental.plateau_stream(stream, report_plans.PLATEAU_LIMIT), out, ckpt)
+        .option("maxFilesPerTrigger", math.ceil(files / ARRIVALS)).json(inp)
+    groups = max(LEAST_GROUPS, math.ceil(n / (ARRIVALS * GROUP_EVENTS)))
+    incremental.run_to_parquet(incremental.plateau_stream(stream, report_plans.PLATEAU_LIMIT, groups=groups), out, ckpt)
     return spark.read.parquet(out).select("run", "event_id", "step", "best", "improved", "bad", "alert")
