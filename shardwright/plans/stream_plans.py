@@ -7,6 +7,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from ..functions import tokens
 from ..operators import packing
 from ..session import scratch_path
 from ..streaming import incremental
@@ -89,7 +90,7 @@ def q_stream_pack(spark, sf_dir):
     tok = packing.assign_shard(packing.tokenize(stream, "text"), "doc_id", shards)
     incremental.run_to_parquet(incremental.pack_stream(tok, C), out, ckpt, rocksdb=True)
     w = spark.read.parquet(out)
-    return w.select("shard", "win", "first_doc_id", F.md5(F.array_join("input_ids", ",")).alias("ids_md5"))
+    return w.select("shard", "win", "first_doc_id", F.md5(tokens.joined("input_ids")).alias("ids_md5"))
 
 
 @query("stream_plateau", sql=report_plans.ORACLE_PLATEAU)
