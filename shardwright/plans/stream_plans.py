@@ -88,9 +88,9 @@ def q_stream_pack(spark, sf_dir):
     stream = spark.readStream.schema("doc_id long, text string") \
         .option("maxFilesPerTrigger", math.ceil(files / arrivals)).json(inp)
     tok = packing.assign_shard(packing.tokenize(stream, "text"), "doc_id", shards)
-    incremental.run_to_parquet(incremental.pack_stream(tok, C), out, ckpt, rocksdb=True)
+    incremental.run_to_parquet(incremental.pack_stream(tok, C, as_bytes=True), out, ckpt, rocksdb=True)
     w = spark.read.parquet(out)
-    return w.select("shard", "win", "first_doc_id", F.md5(tokens.joined("input_ids")).alias("ids_md5"))
+    return w.select("shard", "win", "first_doc_id", F.md5(tokens.joined(tokens.from_bytes("input_ids"))).alias("ids_md5"))
 
 
 @query("stream_plateau", sql=report_plans.ORACLE_PLATEAU)

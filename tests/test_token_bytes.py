@@ -42,3 +42,7 @@ def test_ids_cross_the_state_step_as_bytes(spark, tmp_path):
     flat = [x for k in range(8) for x in ([9 + k] * 50 if k != 4 else [80000] * 50)]
     got = {r.win: (r.first_doc_id, r.input_ids) for r in spark.read.parquet(out).collect()}
     assert got == {i: (i * 64 // 50, flat[i * 64:i * 64 + 64]) for i in range(len(flat) // 64)}
+    kept = incremental.pack_stream(stream.withColumn("shard", F.lit(0)), 64, as_bytes=True)
+    incremental.run_to_parquet(kept, out + "2", ckpt + "2", state_partitions=1, rocksdb=True)
+    back = spark.read.parquet(out + "2").select("win", "first_doc_id", tokens.from_bytes("input_ids").alias("input_ids"))
+    assert {r.win: (r.first_doc_id, r.input_ids) for r in back.collect()} == got
