@@ -118,6 +118,21 @@ def test_repeats(docs, texts, length, shard, bits):
     assert rows_of(got) == repeats_by_hand(texts, length)
 
 
+def test_planted_passages_around_the_length(spark):
+    """Passages of over 50 words go by their bytes: 399 stay, 400 and more go, wherever they lie."""
+    def words(tag, n):
+        return (" ".join(f"{tag}{i:03d}" for i in range(200)) + " ")[:n]
+
+    planted = {399: words("kor", 399), 400: words("lim", 400), 900: words("nav", 900)}
+    texts = [(0, words("own", 700)), (1, planted[400]), (2, None)]
+    for k, (n, passage) in enumerate(planted.items()):
+        assert len(passage.split()) > 50 and len(passage) == n
+        texts += [(10 * k + 11, f"a{k} " + words(f"f{k}", 500) + "\n" + passage), (10 * k + 12, f"{passage}\tb{k} " + words(f"g{k}", 450))]
+    got = rows_of(suffix_dedup.find_repeats(spark.createDataFrame(texts, "doc_id bigint, text string"), length=400))
+    assert got == repeats_by_hand(texts, 400)
+    assert {r[0]: r[2] for r in got} == {0: 0, 1: 400, 2: 0, 11: 0, 12: 0, 21: 400, 22: 400, 31: 900, 32: 900}
+
+
 def test_repeats_text_and_empty(docs, texts, empty):
     got = suffix_dedup.find_repeats(docs, length=100, with_text=True).collect()
     assert all(hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256 for r in got) and len(got) == len(texts)
