@@ -38,13 +38,15 @@ def _rows(spark: SparkSession, files: DataFrame, root, fmt: str, schema: str | N
 
 def pretokenize(spark: SparkSession, root: str, fmt: str, out_dir: str, prefix: str | Column, spec: packing.PackSpec,
                 schema: str | None = None, text: str | Column = "text", fn: Callable[[DataFrame], DataFrame] | None = None,
-                tokenizer=None, dtype: str = "i4") -> DataFrame:
+                tokenizer=None, dtype: str = "i4", accept: Callable[[DataFrame], None] | None = None) -> DataFrame:
     """Run the job on the files of ``root`` that are not done yet; returns
     ``(file_name, num_tokens, num_special_tokens)`` of the files written.
 
     ``prefix`` names the corpus (a literal or a column of the rows), ``text``
     picks the field, ``fn`` is the row hook. Writer part of a document:
     hash of its file mod ``spec.shards``; documents keep their file's order.
+    ``accept`` is given the written files before the run is recorded; what it
+    raises fails the run, whose files stay where they are.
     """
     from ..sources import readers, sinks
     manifest = f"{out_dir}/_manifest"
@@ -70,6 +72,8 @@ def pretokenize(spark: SparkSession, root: str, fmt: str, out_dir: str, prefix:
         .withColumn("file_no", F.col("file_no") + F.coalesce("next_no", F.lit(0))).drop("next_no")
     batch = str(_runs(spark, manifest).count())  # the number of a run that failed is used again; a run without rows has one too
     written = materialize(spark, sinks.export_shards(pieces, out_dir, prefix="prefix", dtype=dtype), "written-files")
+    if accept is not None:
+        accept(written)
     written.write.mode("overwrite").parquet(f"{manifest}/outputs/batch={batch}")
     sinks.append_manifest(new.select("path"), f"{manifest}/inputs", batch=batch)
     return written

@@ -8,6 +8,7 @@ import io
 import json
 import os
 import tarfile
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -332,6 +333,14 @@ def q_resume_new_files(spark, sf_dir):
     return sinks.new_files(d, sinks.read_manifest(spark, manifest_path)).select("path", "sig")
 
 
+class _Stopped(Exception):
+    """Ends a tokenize run that has written its files."""
+
+
+def _stop(written):
+    raise _Stopped
+
+
 @query("pretokenize_resume", sql="""
 SELECT source AS prefix, sum(strlen(text) + 1)::BIGINT AS num_tokens, count(*) AS num_special_tokens
 FROM documents GROUP BY source""")
@@ -347,7 +356,13 @@ def q_pretokenize_resume(spark, sf_dir):
     for wave in (0, 1):
         d.filter(F.pmod("doc_id", F.lit(2)) == wave).withColumn("s", F.col("source")).repartition("source") \
             .write.partitionBy("source").json(f"{root}/wave{wave}")
-        pretokenize(spark, root, "jsonl", out, prefix, spec, schema="doc_id long, text string")
+        run = partial(pretokenize, spark, root, "jsonl", out, prefix, spec, schema="doc_id long, text string")
+        if wave:
+            try:
+                run(accept=_stop)
+            except _Stopped:
+                pass
+        run()
     heads = sinks.shard_headers(spark, out)
     return heads.groupBy(names.shard_prefix("path").alias("prefix")).agg(
         F.sum("num_tokens").cast("bigint").alias("num_tokens"), F.sum("num_special_tokens").cast("bigint").alias("num_special_tokens"))
