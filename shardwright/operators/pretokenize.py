@@ -6,6 +6,11 @@ numbered after those already there, writes them, and records the inputs
 (files without rows too) and the outputs last. A run that fails before that
 leaves no record: the next one takes the same inputs, gives the same numbers
 and replaces what was half written.
+
+A shard file takes four bytes a token, several times its text. What a run
+needs on disk besides the files stays small: ids are shuffled in 16 bits
+where they fit, shuffle files go after each step, and the table of token ids
+goes at the end of the run.
 """
 
 from __future__ import annotations
@@ -15,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, shuffles_removed, written_meanwhile
 from . import packing
 
 ORDER_ROWS = 1 << 40  # rows a raw file may hold
@@ -48,6 +53,11 @@ def pretokenize(spark: SparkSession, root: str, fmt: str, out_dir: str, prefix:
     ``accept`` is given the written files before the run is recorded; what it
     raises fails the run, whose files stay where they are.
     """
+    with shuffles_removed(spark):
+        return _run(spark, root, fmt, out_dir, prefix, spec, schema, text, fn, tokenizer, dtype, accept)
+
+
+def _run(spark, root, fmt, out_dir, prefix, spec, schema, text, fn, tokenizer, dtype, accept) -> DataFrame:
     from ..sources import readers, sinks
     manifest = f"{out_dir}/_manifest"
     pattern = readers.PLAIN_JSONL if fmt == "jsonl" else readers.glob_filter(fmt)  # archives are unpacked beforehand
@@ -64,14 +74,14 @@ def pretokenize(spark: SparkSession, root: str, fmt: str, out_dir: str, prefix:
     docs = rows.select(pre.alias("prefix"), F.pmod(F.xxhash64("file_path"), F.lit(spec.shards)).alias("shard"),
                        (F.col("file_rank") * ORDER_ROWS + F.col("id_in_file")).alias("doc_order"), body.alias("text"))
     tok = packing.tokenize(docs, "text", tokenizer=tokenizer, add_bos=spec.add_bos, add_eos=spec.add_eos).drop("text")
-    tok = materialize(spark, tok, "pretokenized")
-    pieces = packing.pack_shards(tok, spec, ["prefix", "shard"], "doc_order")
     done = _done(spark, manifest)
     first = sinks.next_file_no(done)
-    pieces = pieces.join(first, ["prefix", "shard"], "left") \
-        .withColumn("file_no", F.col("file_no") + F.coalesce("next_no", F.lit(0))).drop("next_no")
     batch = str(_runs(spark, manifest).count())  # the number of a run that failed is used again; a run without rows has one too
-    written = materialize(spark, sinks.export_shards(pieces, out_dir, prefix="prefix", dtype=dtype), "written-files")
+    with written_meanwhile(spark, tok, "pretokenized") as tok:
+        pieces = packing.pack_shards(tok, spec, ["prefix", "shard"], "doc_order")
+        pieces = pieces.join(first, ["prefix", "shard"], "left") \
+            .withColumn("file_no", F.col("file_no") + F.coalesce("next_no", F.lit(0))).drop("next_no")
+        written = materialize(spark, sinks.export_shards(pieces, out_dir, prefix="prefix", dtype=dtype), "written-files")
     if accept is not None:
         accept(written)
     written.write.mode("overwrite").parquet(f"{manifest}/outputs/batch={batch}")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import names
 from ..functions.hashing import hash52
 from ..operators import documents, splits
-from ..session import scratch_path
+from ..session import scratch_path, shuffles_removed
 from ..sources import position_index, quarantine, readers, sinks
 from . import packing_plans as pp
 from .chat_plans import raw_from_value
@@ -354,8 +354,10 @@ def q_pretokenize_resume(spark, sf_dir):
     spec = packing.PackSpec(context=2048, file_tokens=50_000, shards=4)
     prefix = F.regexp_extract("file_path", "source=([^/]+)", 1)
     for wave in (0, 1):
-        d.filter(F.pmod("doc_id", F.lit(2)) == wave).withColumn("s", F.col("source")).repartition("source") \
-            .write.partitionBy("source").json(f"{root}/wave{wave}")
+        # a large source has many files, as a gzip file is read by one task
+        with shuffles_removed(spark):
+            d.filter(F.pmod("doc_id", F.lit(2)) == wave).withColumn("s", F.col("source")).hint("rebalance", "source") \
+                .write.option("compression", "gzip").partitionBy("source").json(f"{root}/wave{wave}")
         run = partial(pretokenize, spark, root, "jsonl", out, prefix, spec, schema="doc_id long, text string")
         if wave:
             try:
