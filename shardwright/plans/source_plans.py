@@ -11,6 +11,7 @@ import tarfile
 from functools import partial
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import names
@@ -209,15 +210,20 @@ def q_scan_tar(spark, sf_dir):
 def q_scan_whole_text(spark, sf_dir):
     out = scratch_path(spark, "text")
 
-    def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        folder = os.path.join(out, str(int(pdf["grp"].iloc[0]) // FOLDER_GROUPS))   # many folders are listed by tasks
-        os.makedirs(folder, exist_ok=True)
-        for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-            with open(os.path.join(folder, f"doc-{int(doc_id)}.txt"), "w", encoding="utf-8") as f:
-                f.write(text)
-        return pd.DataFrame({"n": [len(pdf)]})
-    d = _docs(spark, sf_dir).select("doc_id", "text").withColumn("grp", F.floor(F.col("doc_id") / GROUP_ROWS))
-    d.groupBy("grp").applyInPandas(write, "n long").write.format("noop").mode("overwrite").save()
+    def write(batches):
+        made = set()
+        for batch in batches:
+            for k in range(0, batch.num_rows, GROUP_ROWS):   # texts of a few rows at a time
+                for r in batch.slice(k, GROUP_ROWS).to_pylist():
+                    folder = os.path.join(out, str(r["doc_id"] // (GROUP_ROWS * FOLDER_GROUPS)))   # many folders are listed by tasks
+                    if folder not in made:
+                        os.makedirs(folder, exist_ok=True)
+                        made.add(folder)
+                    with open(os.path.join(folder, f"doc-{r['doc_id']}.txt"), "w", encoding="utf-8") as f:
+                        f.write(r["text"])
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+    os.makedirs(out, exist_ok=True)
+    _docs(spark, sf_dir).select("doc_id", "text").mapInArrow(write, "n long").write.format("noop").mode("overwrite").save()
     t = readers.read_whole_text(spark, out, pattern=readers.glob_filter("text"))
     return t.select(F.regexp_extract("file_path", r"doc-(\d+)\.txt$", 1).cast("bigint").alias("doc_id"),
                     F.md5("text").alias("text_md5"))

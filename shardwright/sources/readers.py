@@ -9,6 +9,7 @@ UDF, one archive or one batch per call.
 from __future__ import annotations
 
 import json
+import re
 import tarfile
 from collections.abc import Callable, Sequence
 
@@ -18,8 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.ordering import ordinal, running_sum, with_range_bucket
-from ..session import small_file_session
-from .storage import open_input
+from ..session import SMALL_FILE_COST, small_file_session
+from . import listing
+from .storage import open_input, resolve
 
 # File patterns of each reader format; a folder is read with
 # the union of its format's patterns.
@@ -33,6 +35,7 @@ PATTERN_MAP = {
 
 
 _PLAIN_TEXT = (".txt", ".json", ".xml")
+WHOLE_BYTES, WHOLE_ROWS = 4 << 20, 1024  # of whole files, per output batch
 
 # JSON Lines files that are not archives
 PLAIN_JSONL = "{*.jsonl,*json,*.json.gz,*.jsonl.gz}"
@@ -241,14 +244,76 @@ def pretty_text(texts: pa.Array) -> pa.Array:
     return pa.array([_pretty_one(t) for t in texts.to_pylist()], type=pa.string())
 
 
+def _plain_suffixes(pattern: str | None) -> list[str] | None:
+    """The endings a pattern asks for, if it asks for those of files stored
+    plain and nothing else."""
+    parts = pattern.strip("{}").split(",") if pattern else []
+    ok = parts and all(re.fullmatch(r"\*[\w.-]+", p) and p.endswith(_PLAIN_TEXT) for p in parts)
+    return [p[1:] for p in parts] if ok else None
+
+
+def _read_whole(skip_bad: bool, skip_missing: bool):
+    """mapInArrow body: the files' bytes in batches of bounded size."""
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.binary()))], names=["file_path", "content"])
+
+    def run(batches):
+        stores, rows, held = {}, [], 0
+        for b in batches:
+            for r in b.to_pylist():
+                root = r["root"]
+                if root not in stores:
+                    stores[root] = resolve(root)[0]
+                try:
+                    with stores[root].open_input_stream(r["path"], compression=None) as f:
+                        data = f.read()
+                except FileNotFoundError:
+                    if not skip_missing:
+                        raise
+                    continue
+                except OSError:
+                    if not skip_bad:
+                        raise
+                    continue
+                rows.append((listing.uri_of(root, r["path"]), data))
+                held += len(data)
+                if held >= WHOLE_BYTES or len(rows) >= WHOLE_ROWS:
+                    yield batch(rows)
+                    rows, held = [], 0
+        if rows:
+            yield batch(rows)
+    return run
+
+
+def _whole_files(spark: SparkSession, roots: Sequence[str], suffixes: Sequence[str]) -> DataFrame:
+    """``(file_path, value)`` of plain files that tasks list, deal out and
+    read: the driver holds none of their names."""
+    files = listing.list_by_tasks(spark, roots, suffixes)
+    n, size = files.agg(F.count("*"), F.coalesce(F.sum(F.col("length") + SMALL_FILE_COST), F.lit(0))).first()
+    most = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    tasks = max(1, min(n, spark.sparkContext.defaultParallelism), -(-size // most))
+    on = lambda key: spark.conf.get(f"spark.sql.files.{key}", "false").lower() == "true"
+    got = files.repartition(tasks, F.xxhash64("path")).mapInArrow(
+        _read_whole(on("ignoreCorruptFiles"), on("ignoreMissingFiles")), "file_path string, content binary")
+    return got.select("file_path", F.col("content").cast("string").alias("value"))
+
+
 def read_whole_text(spark: SparkSession, root, pattern: str | None = None, pretty: bool = True) -> DataFrame:
     """One row per file ``(file_path, text)``; unreadable files are
     skipped when ``spark.sql.files.ignoreCorruptFiles`` is on. A task reads
-    about two thousand small files (``small_file_session``). Files that the
-    pattern says are stored plain are read as bytes: the text reader sets up
-    a job and all codecs for each file, which costs more than reading it."""
+    about two thousand small files. Files that the pattern says are stored
+    plain are listed and read as bytes by tasks (``listing``): Spark's reader
+    holds the status of every file on the driver, and its text reader sets up
+    a job and all codecs for each file, which costs more than reading it.
+    Other files, and stores that tasks can't open, go through Spark's reader,
+    which leaves out files of no bytes."""
+    suffixes = _plain_suffixes(pattern)
+    roots = listing.qualified(spark, root) if suffixes else None
+    if roots:
+        t = _whole_files(spark, roots, suffixes).select("file_path", F.col("value").alias("text"))
+        return t.withColumn("text", pretty_text("text")) if pretty else t
     r = _reader(small_file_session(spark), pattern)
-    if pattern and all(p.endswith(_PLAIN_TEXT) for p in pattern.strip("{}").split(",")):
+    if suffixes:
         t = r.format("binaryFile").load(root).withColumn("value", F.col("content").cast("string"))
     else:
         t = r.text(root, wholetext=True)
