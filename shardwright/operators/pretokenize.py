@@ -78,10 +78,10 @@ def _run(spark, root, fmt, out_dir, prefix, spec, schema, text, fn, tokenizer, d
     first = sinks.next_file_no(done)
     batch = str(_runs(spark, manifest).count())  # the number of a run that failed is used again; a run without rows has one too
     with written_meanwhile(spark, tok, "pretokenized") as tok:
-        pieces = packing.pack_shards(tok, spec, ["prefix", "shard"], "doc_order")
+        pieces = packing.pack_shards(tok, spec, ["prefix", "shard"], "doc_order", narrow=True)
         pieces = pieces.join(first, ["prefix", "shard"], "left") \
             .withColumn("file_no", F.col("file_no") + F.coalesce("next_no", F.lit(0))).drop("next_no")
-        written = materialize(spark, sinks.export_shards(pieces, out_dir, prefix="prefix", dtype=dtype), "written-files")
+        written = materialize(spark, sinks.export_shards(pieces, out_dir, prefix="prefix", dtype=dtype, narrow=True), "written-files")
     if accept is not None:
         accept(written)
     written.write.mode("overwrite").parquet(f"{manifest}/outputs/batch={batch}")

@@ -111,23 +111,26 @@ def _write_files(out_dir: str, dtype: str):
 
 
 def export_shards(pieces: DataFrame, out_dir: str, prefix: str = "source", shard: str = "shard",
-                  dtype: str = "i4") -> DataFrame:
+                  dtype: str = "i4", narrow: bool = False) -> DataFrame:
     """K1 / K3: write ``prefix-UUU-CCCCC.data`` files from the shard pieces
     (``pack_shards``). The pieces of a file meet in one task (hash by file
     name; AQE merges small partitions) in offset order and are streamed to
-    its file, ids in 16 bits where they fit. Returns ``(file_name, num_tokens, num_special_tokens)``; the
-    export runs when that is evaluated. ``out_dir`` is any folder or URI that
+    its file; with ``narrow``, ids are shuffled in 16 bits where they fit.
+    Returns ``(file_name, num_tokens, num_special_tokens)``; the export runs
+    when that is evaluated. ``out_dir`` is any folder or URI that
     all executors share; a file that is there already is replaced, so a
     second run into one folder needs other file numbers (``next_file_no``)."""
     from ..operators.packing import full_ids, narrow_ids
     spark = pieces.sparkSession
     p = pieces.select(names.shard_file_name(F.col(prefix), F.col(shard), F.col("file_no")).alias("file_name"),
-                      "file_offset", "piece_len", "num_special_tokens", narrow_ids("ids").alias("ids"))
+                      "file_offset", "piece_len", "num_special_tokens", narrow_ids("ids").alias("ids") if narrow else "ids")
     whole = Window.partitionBy("file_name")
     p = p.repartition("file_name").select(
         "file_name", "file_offset", "ids", F.sum("piece_len").over(whole).cast("bigint").alias("num_tokens"),
         F.sum("num_special_tokens").over(whole).cast("bigint").alias("num_special_tokens"))
-    p = p.sortWithinPartitions("file_name", "file_offset").withColumn("ids", full_ids(F.col("ids")))
+    p = p.sortWithinPartitions("file_name", "file_offset")
+    if narrow:
+        p = p.withColumn("ids", full_ids(F.col("ids")))
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(out_dir)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(folder)

@@ -105,9 +105,9 @@ def test_ids_of_more_than_16_bits_are_exported(spark, tmp_path):
     rows = [("c", 0, i, ids, len(ids)) for i, ids in enumerate(docs)]
     tok = spark.createDataFrame(rows, "source string, shard int, doc_id long, ids array<int>, n_tokens long")
     spec = packing.PackSpec(context=4, file_tokens=5, shards=1)
-    pieces = packing.pack_shards(tok, spec, ["source", "shard"], "doc_id")
+    pieces = packing.pack_shards(tok, spec, ["source", "shard"], "doc_id", narrow=True)
     assert dict(pieces.dtypes)["ids"] == "array<int>"
-    written = sinks.export_shards(pieces, str(tmp_path))
+    written = sinks.export_shards(pieces, str(tmp_path), narrow=True)
     assert "array<smallint>" in written._jdf.queryExecution().analyzed().toString().replace("ARRAY<SMALLINT>", "array<smallint>")
     assert written.count() == 7
     chunks = sorted(sinks.import_shards(spark, str(tmp_path), 100).collect(), key=lambda r: r.path)
